@@ -1,0 +1,14 @@
+"""Windows over whole series."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window, WindowSpec
+
+
+def per_series(keys: list[str]) -> WindowSpec:
+    """One partition per series.
+
+    Only for frames that are down to a few rows per series and year: with a single series, Spark warns that the window
+    has one partition, and that partition is as long as the years are many.
+    """
+    return Window.partitionBy(*keys)
