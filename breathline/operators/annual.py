@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import quadrature
 from ..rules import Rules
 
 
-def expected_readings(year: Column, measurement: Column, rules: Rules) -> Column:
+def expected_readings(rules: Rules) -> str:
     """Readings an instrument gives in a full year; every fourth year counts as a leap year, centuries too."""
-    days = F.when(year % 4 == 0, 366).otherwise(365)
-    per_day = None
-    for name, count in rules.readings_per_day.items():
-        per_day = (F.when if per_day is None else per_day.when)(measurement == name, F.lit(float(count)))
-    return days * per_day
+    per_day = " ".join(f"WHEN '{name}' THEN {float(n)}D" for name, n in rules.readings_per_day.items())
+    return f"(if(year % 4 = 0, 366, 365) * CASE measurement {per_day} END)"
 
 
 def annual_site_stats(readings: DataFrame, rules: Rules) -> DataFrame:
@@ -31,16 +28,15 @@ def annual_site_stats(readings: DataFrame, rules: Rules) -> DataFrame:
         F.count("value").alias("n_ok"),
         F.stddev_samp("value").alias("sd"),
     )
-    error = F.try_divide(F.col("sd"), F.sqrt("n_ok"))
+    error = "try_divide(sd, sqrt(n_ok))"
     if rules.measurement_error:
-        error = quadrature(error, F.col("mean") * rules.measurement_error)
-    expected = expected_readings(F.col("year"), F.col("measurement"), rules)
+        error = quadrature(error, f"mean * {rules.measurement_error!r}D")
     return stats.select(
         *keys,
         "site",
         "year",
         "mean",
-        error.alias("se_sampling_within_site"),
-        (F.col("n_ok") / expected * 100).alias("capture"),
+        F.expr(error).alias("se_sampling_within_site"),
+        F.expr(f"n_ok / {expected_readings(rules)} * 100").alias("capture"),
         "measurement",
     )

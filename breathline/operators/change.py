@@ -6,48 +6,47 @@ independent, although they share years and sites; that is part of the published
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import quadrature, round_half_up, running_sum
-from ..functions.series import per_series
+from ..functions.numeric import half_up, quadrature, running_sum
+from ..functions.series import window
 from ..rules import Rules
-from .indicators import ALONE, PEI, RI, three_year_mean
+from .indicators import ALONE, PEI, RI, in_base, three_year_mean
 
 MEASURES = ("PEI", "delta_PEI", "delta_PEI_cumulative", "perc_change")
+CHANGES = ("delta_PEI", "se_delta_PEI", "delta_PEI_cumulative", "se_delta_PEI_cumulative")
 
 
-def _increment_columns(rules: Rules, kind: str) -> dict[str, Column]:
-    """Three-year means and errors of RI and PEI side by side; all NULL where a year has no such indicator."""
-    columns = {}
+def _columns(texts: dict[str, str]) -> list[Column]:
+    return [F.expr(text).alias(name) for name, text in texts.items()]
+
+
+def _side_by_side(rules: Rules, kind: str) -> dict[str, str]:
+    """Three-year means and errors of RI and PEI as columns; NULL where a year has no such indicator."""
+    texts = {}
     for name in (RI, PEI):
-        only = F.col(kind) == name
+        only = f"{kind} = '{name}'"
         mean, error = three_year_mean(rules, only)
-        columns[f"mean_{name}"] = mean
-        columns[f"se_{name}"] = F.when(F.count_if(only) > 0, error)
-    return columns
-
-
-def _with_delta(df: DataFrame) -> DataFrame:
-    """A fall in concentration is a positive increment."""
-    return df.withColumns(
-        {
-            "delta_PEI": round_half_up(F.col("mean_RI") - F.col("mean_PEI"), 2),
-            "se_delta_PEI": quadrature(F.col("se_PEI"), F.col("se_RI")),
-        }
-    )
+        texts[f"mean_{name}"] = mean
+        texts[f"se_{name}"] = f"CASE WHEN count_if({only}) > 0 THEN {error} END"
+    return texts
+
+
+# A fall in concentration is a positive increment.
+DELTA = {
+    "delta_PEI": half_up("(mean_RI - mean_PEI)", 2),
+    "se_delta_PEI": quadrature("se_PEI", "se_RI"),
+}
 
 
-def _with_running_totals(df: DataFrame, year: str, rules: Rules) -> DataFrame:
+def _running_totals(keys: list[str], year: str) -> dict[str, str]:
     """A missing increment leaves the total unknown from there on."""
-    so_far = per_series(rules.keys(df)).orderBy(year).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    squared = F.col("se_delta_PEI") * F.col("se_delta_PEI")
-    return df.withColumns(
-        {
-            "delta_PEI_cumulative": running_sum(F.col("delta_PEI"), so_far),
-            "se_delta_PEI_cumulative": F.sqrt(running_sum(squared, so_far)),
-        }
-    )
+    so_far = window(keys, year, "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")
+    return {
+        "delta_PEI_cumulative": running_sum("delta_PEI", so_far),
+        "se_delta_PEI_cumulative": f"sqrt({running_sum('se_delta_PEI * se_delta_PEI', so_far)})",
+    }
 
 
 def increment_deltas(increments: DataFrame, rules: Rules) -> DataFrame:
@@ -55,16 +54,15 @@ def increment_deltas(increments: DataFrame, rules: Rules) -> DataFrame:
 
     ``increments`` is the result of ``indicators.increment_indicators``.
     """
-    columns = _increment_columns(rules, "indicator")
     means = increments.groupBy(*rules.keys(increments), "increment_year").agg(
-        *[c.alias(name) for name, c in columns.items()]
+        *_columns(_side_by_side(rules, "indicator"))
     )
-    return _with_delta(means)
+    return means.select("*", *_columns(DELTA))
 
 
 def cumulative_change(deltas: DataFrame, rules: Rules) -> DataFrame:
     """Running total of the increments and of their errors, in year order."""
-    return _with_running_totals(deltas, "increment_year", rules)
+    return deltas.select("*", *_columns(_running_totals(rules.keys(deltas), "increment_year")))
 
 
 def reduction_summary(profile: DataFrame, rules: Rules) -> DataFrame:
@@ -74,53 +72,51 @@ def reduction_summary(profile: DataFrame, rules: Rules) -> DataFrame:
     window, not by a join.
     """
     keys = rules.keys(profile)
-    is_base = F.col("kind") == ALONE
+    is_base, at_base = f"kind = '{ALONE}'", f"year = {rules.base_year}"
     base_mean, base_error = three_year_mean(rules, is_base)
-    in_use = ~is_base | (F.col("year").between(*rules.base_window) & (F.col("n_sites") > 0))
     means = (
-        profile.where(in_use)
-        .withColumn("_year", F.coalesce("increment_year", F.lit(rules.base_year)))
-        .groupBy(*keys, F.col("_year").alias("year"))
-        .agg(
-            round_half_up(base_mean, 2).alias("_base"),
-            F.when(F.count_if(is_base) > 0, base_error).alias("_se_base"),
-            *[c.alias(name) for name, c in _increment_columns(rules, "kind").items()],
-        )
+        profile.where(f"kind <> '{ALONE}' OR {in_base(rules)}")
+        .select(*keys, "kind", F.expr(f"coalesce(increment_year, {rules.base_year}) AS year"), "mean", "se_total")
+        .groupBy(*keys, "year")
+        .agg(*_columns({"_base": half_up(base_mean, 2), "_se_base": base_error, **_side_by_side(rules, "kind")}))
     )
-    at_base = F.col("year") == rules.base_year
-    whole = per_series(keys)
     # the base row is no increment: it starts the running totals at nothing and shows NULL itself
-    changes = _with_delta(means).withColumns(
-        {c: F.when(at_base, F.lit(0.0)).otherwise(F.col(c)) for c in ("delta_PEI", "se_delta_PEI")}
-    )
-    totals = _with_running_totals(changes, "year", rules).withColumns(
-        {
-            "base_PEI": F.max(F.when(at_base, F.col("_base"))).over(whole),
-            "base_se_PEI": F.max(F.when(at_base, F.col("_se_base"))).over(whole),
-        }
+    changes = means.select(
+        *keys,
+        "year",
+        *_columns({name: f"if({at_base}, 0D, {text})" for name, text in DELTA.items()}),
+        *_columns(
+            {
+                "base_PEI": f"max(if({at_base}, _base, NULL)) OVER {window(keys)}",
+                "base_se_PEI": f"max(if({at_base}, _se_base, NULL)) OVER {window(keys)}",
+            }
+        ),
     )
-    change, error = F.col("delta_PEI_cumulative"), F.col("se_delta_PEI_cumulative")
-    base, base_se = F.col("base_PEI"), F.col("base_se_PEI")
-    changed = ("delta_PEI", "se_delta_PEI", "delta_PEI_cumulative", "se_delta_PEI_cumulative")
-    percent = round_half_up(100 * F.try_divide(change, base), 2)
+    totals = changes.select("*", *_columns(_running_totals(keys, "year")))
+    change, change_error = "delta_PEI_cumulative", "se_delta_PEI_cumulative"
+    percent = f"try_divide(100 * {change}, base_PEI)"
     # error of a ratio of two uncertain values, to first order
     percent_error = quadrature(
-        F.try_divide(F.lit(100.0), base) * error, F.try_divide(100 * change, base * base) * base_se
+        f"try_divide(100, base_PEI) * {change_error}", f"try_divide(100 * {change}, base_PEI * base_PEI) * base_se_PEI"
     )
     return totals.select(
         *keys,
         "year",
-        F.when(at_base, base).otherwise(base - change).alias("PEI"),
-        F.when(at_base, base_se).otherwise(quadrature(base_se, error)).alias("se_PEI"),
-        *[F.when(~at_base, F.col(c)).alias(c) for c in changed],
-        F.when(~at_base, percent).alias("perc_change"),
-        F.when(~at_base, percent_error).alias("se_perc_change"),
+        *_columns(
+            {
+                "PEI": f"if({at_base}, base_PEI, base_PEI - {change})",
+                "se_PEI": f"if({at_base}, base_se_PEI, {quadrature('base_se_PEI', change_error)})",
+                **{name: f"if({at_base}, NULL, {name})" for name in CHANGES},
+                "perc_change": f"if({at_base}, NULL, {half_up(percent, 2)})",
+                "se_perc_change": f"if({at_base}, NULL, {percent_error})",
+            }
+        ),
     )
 
 
 def confidence_half_widths(summary: DataFrame, rules: Rules) -> DataFrame:
     """Add ``ci_*``: the half-width of the normal confidence interval of each measure, in two digits."""
-    return summary.withColumns({f"ci_{m}": round_half_up(rules.z * F.col(f"se_{m}"), 2) for m in MEASURES})
+    return summary.select("*", *_columns({f"ci_{m}": half_up(f"({rules.z!r}D * se_{m})", 2) for m in MEASURES}))
 
 
 def summary_with_bounds(intervals: DataFrame, rules: Rules) -> DataFrame:
@@ -128,12 +124,11 @@ def summary_with_bounds(intervals: DataFrame, rules: Rules) -> DataFrame:
 
     Percent bounds come from the two-digit percent and are then rounded to whole numbers, as is the percent itself.
     """
-    columns = []
+    texts = {}
     for m in MEASURES:
-        value, width = F.col(m), F.col(f"ci_{m}")
-        trio = {m: value, f"ci_{m}_lower": value - width, f"ci_{m}_upper": value + width}
-        columns += [(round_half_up(c) if m == "perc_change" else c).alias(name) for name, c in trio.items()]
-    return intervals.select(*rules.keys(intervals), "year", *columns)
+        trio = {m: m, f"ci_{m}_lower": f"({m} - ci_{m})", f"ci_{m}_upper": f"({m} + ci_{m})"}
+        texts |= {name: half_up(text) if m == "perc_change" else text for name, text in trio.items()}
+    return intervals.select(*rules.keys(intervals), "year", *_columns(texts))
 
 
 def summary_absolute(intervals: DataFrame, rules: Rules) -> DataFrame:

@@ -8,47 +8,43 @@ year is looped over and no range join is needed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.series import window
 from ..rules import DAILY, HOURLY, Rules
 
-
-def captured(rules: Rules) -> Column:
-    return F.col("capture") >= rules.capture_threshold
+COUNTS_ALONE = "_counts_alone"
 
 
-def usable(rules: Rules) -> Column:
-    """Operational and well captured; unknown counts as no."""
-    return F.coalesce(F.col("operational_all_year") & captured(rules), F.lit(False))
+def counts(lead: int) -> str:
+    """Name of the flag: the row counts in the cohort of ``year + lead``."""
+    return f"_counts_{lead}"
 
 
-def not_superseded(candidate: Column, site_year: WindowSpec) -> Column:
-    """``candidate`` rows, less the daily ones whose site and year also has an hourly candidate."""
-    hourly_too = F.bool_or(candidate & (F.col("measurement") == HOURLY)).over(site_year)
-    return candidate & ~((F.col("measurement") == DAILY) & hourly_too)
+def _in_cohort(lead: int) -> str:
+    return f"_in_cohort_{lead}"
 
 
-def prefer_hourly(df: DataFrame, rules: Rules, by: tuple[str, ...] = ()) -> DataFrame:
-    """Drop daily rows of a site and year that has hourly rows as well."""
-    site_year = Window.partitionBy(*rules.keys(df), *by, "site", "year")
-    hourly_too = F.bool_or(F.col("measurement") == HOURLY).over(site_year)
-    return (
-        df.withColumn("_superseded", (F.col("measurement") == DAILY) & hourly_too)
-        .where(~F.col("_superseded"))
-        .drop("_superseded")
-    )
+def captured(rules: Rules) -> str:
+    return f"capture >= {rules.capture_threshold}"
 
 
-def _in_cohort(lead: int) -> str:
-    return f"_in_cohort_{lead}"
+def usable(rules: Rules) -> str:
+    """Operational and well captured; unknown counts as no."""
+    return f"coalesce(operational_all_year AND {captured(rules)}, false)"
 
 
-def _counts(lead: int) -> str:
-    return f"_counts_{lead}"
+def not_superseded(candidate: str, keys: list[str]) -> str:
+    """``candidate`` rows, less the daily ones whose site and year also has an hourly candidate."""
+    hourly_too = f"bool_or({candidate} AND measurement = '{HOURLY}') OVER {window([*keys, 'site', 'year'])}"
+    return f"{candidate} AND NOT (measurement = '{DAILY}' AND {hourly_too})"
 
 
-COUNTS_ALONE = "_counts_alone"
+def prefer_hourly(df: DataFrame, rules: Rules, by: tuple[str, ...] = ()) -> DataFrame:
+    """Drop daily rows of a site and year that has hourly rows as well."""
+    kept = not_superseded("true", [*rules.keys(df), *by])
+    return df.withColumn("_kept", F.expr(kept)).where("_kept").drop("_kept")
 
 
 def with_cohort_flags(site_years: DataFrame, rules: Rules) -> DataFrame:
@@ -56,15 +52,15 @@ def with_cohort_flags(site_years: DataFrame, rules: Rules) -> DataFrame:
 
     Whether that year is an increment year at all (some site reports in it) is settled later, on yearly totals.
     """
-    instrument = Window.partitionBy(*rules.keys(site_years), "site", "measurement").orderBy("year")
-    operational = F.coalesce(F.col("operational_all_year"), F.lit(False))
+    instrument = [*rules.keys(site_years), "site", "measurement"]
     flags = {}
     for lead in rules.leads:
-        window = instrument.rangeBetween(lead - rules.cohort_years + 1, lead)
-        flags[_in_cohort(lead)] = (
-            (F.col("year") + lead > rules.base_year)
-            & F.bool_and(operational).over(window)
-            & (F.count_if(captured(rules)).over(window) >= rules.cohort_min_captured)
+        frame = f"RANGE BETWEEN {rules.cohort_years - 1 - lead} PRECEDING AND {lead} FOLLOWING"
+        over = window(instrument, "year", frame)
+        flags[_in_cohort(lead)] = F.expr(
+            f"year + {lead} > {rules.base_year}"
+            f" AND bool_and(coalesce(operational_all_year, false)) OVER {over}"
+            f" AND count_if({captured(rules)}) OVER {over} >= {rules.cohort_min_captured}"
         )
     return site_years.withColumns(flags)
 
@@ -72,34 +68,25 @@ def with_cohort_flags(site_years: DataFrame, rules: Rules) -> DataFrame:
 def with_counting_flags(site_years: DataFrame, rules: Rules) -> DataFrame:
     """Add, per lead, whether the row counts in the annual mean of the cohort of ``year + lead`` (operational, captured
     and not superseded by an hourly instrument in that cohort), and whether it counts without any cohort."""
-    flagged = with_cohort_flags(site_years, rules)
-    site_year = Window.partitionBy(*rules.keys(site_years), "site", "year")
-    return flagged.withColumns(
-        {
-            COUNTS_ALONE: not_superseded(usable(rules), site_year),
-            **{
-                _counts(lead): not_superseded(usable(rules) & F.col(_in_cohort(lead)), site_year)
-                for lead in rules.leads
-            },
-        }
+    keys = rules.keys(site_years)
+    candidates = {COUNTS_ALONE: usable(rules)}
+    for lead in rules.leads:
+        candidates[counts(lead)] = f"({usable(rules)} AND {_in_cohort(lead)})"
+    return with_cohort_flags(site_years, rules).withColumns(
+        {name: F.expr(not_superseded(candidate, keys)) for name, candidate in candidates.items()}
     )
 
 
-def counts(lead: int) -> Column:
-    return F.col(_counts(lead))
-
-
 def cohort_members(site_years: DataFrame, rules: Rules, increment_year: int | None = None) -> DataFrame:
     """Site-years of every cohort, one copy per ``increment_year`` they belong to (or of one increment year only)."""
     keys = rules.keys(site_years)
+    others = [c for c in site_years.columns if c not in keys]
     if increment_year is not None:
-        window = F.col("year").between(increment_year - rules.cohort_years + 1, increment_year)
-        site_years = site_years.where(window)
-    years = F.array(*[F.when(F.col(_in_cohort(lead)), F.col("year") + lead) for lead in rules.leads])
-    members = (
-        with_cohort_flags(site_years, rules)
-        .withColumn("increment_year", F.explode(F.array_compact(years)))
-        .select(*keys, "increment_year", *[c for c in site_years.columns if c not in keys])
+        span = F.col("year").between(increment_year - rules.cohort_years + 1, increment_year)
+        site_years = site_years.where(span)
+    years = ", ".join(f"if({_in_cohort(lead)}, year + {lead}, NULL)" for lead in rules.leads)
+    members = with_cohort_flags(site_years, rules).select(
+        *keys, F.expr(f"explode(array_compact(array({years})))").alias("increment_year"), *others
     )
     if increment_year is not None:
         return members.where(F.col("increment_year") == increment_year)

@@ -6,17 +6,27 @@ A fall is negative here, while ``perc_change`` of the summary is positive for a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import round_half_up, sum_or_null
-from ..functions.series import per_series
+from ..functions.numeric import half_up, sum_or_null
+from ..functions.series import window
 from ..rules import Rules
-from .indicators import ALONE, BASE_LABEL, PEI, RI, three_year_mean
+from .indicators import ALONE, BASE_LABEL, INCREMENT_YEAR, PEI, RI, three_year_mean
 
+IS_BASE = f"indicator = '{BASE_LABEL}'"
+IS_RI = f"startswith(indicator, '{RI}')"
+# also true for the base label
+IS_PEI = f"startswith(indicator, '{PEI}')"
+# unknown (at either end of the order) is not a duplicate
+IN_CORE = "(NOT is_duplicate_adjacent OR is_duplicate_adjacent IS NULL)"
 
-def _is_base() -> Column:
-    return F.col("indicator") == BASE_LABEL
+# Totals of the annual means of the base window, of the first years after it, and of the last years.
+COMPONENTS = {
+    "PEI_base": IS_BASE,
+    "PEI_base_plus_3": "indicator RLIKE '^RI'",
+    "PEI_target_minus_3": "indicator RLIKE '^PEI [0-9]'",
+}
 
 
 def edge_rows(indicators: DataFrame, rules: Rules) -> DataFrame:
@@ -26,35 +36,31 @@ def edge_rows(indicators: DataFrame, rules: Rules) -> DataFrame:
     ``is_duplicate_adjacent`` tells whether one of them is the same year (NULL if unknown at either end).
     """
     keys = rules.keys(indicators)
-    years = Window.partitionBy(*keys, "indicator")
-    first = F.row_number().over(years.orderBy("year")) == 1
-    last = F.row_number().over(years.orderBy(F.desc("year"))) == 1
-    label = F.col("indicator")
-    edges = (
-        indicators.withColumns({"_first": first, "_last": last})
-        .where(
-            _is_base()
-            | (label.startswith(RI) & F.col("_first"))
-            | (~_is_base() & label.startswith(PEI) & F.col("_last"))
-        )
-        .select(*keys, "indicator", "year", "mean", "n_sites")
-    )
+    years = [*keys, "indicator"]
+    first = f"row_number() OVER {window(years, 'year')} = 1"
+    last = f"row_number() OVER {window(years, 'year DESC')} = 1"
     # rows of the same year keep the order of the indicator table: by increment year, RI before PEI
-    in_order = per_series(keys).orderBy(
-        F.desc(_is_base()), "year", F.regexp_extract("indicator", r"(\d+)$", 1), F.desc(label.startswith(RI))
+    in_order = window(keys, f"{IS_BASE} DESC, year, {INCREMENT_YEAR}, {IS_RI} DESC")
+    return (
+        indicators.select(
+            *keys, "indicator", "year", "mean", "n_sites", F.expr(f"{first} AS _first"), F.expr(f"{last} AS _last")
+        )
+        .where(f"{IS_BASE} OR ({IS_RI} AND _first) OR ({IS_PEI} AND _last)")
+        .drop("_first", "_last")
+        .select(
+            "*",
+            F.expr(f"lag(year) OVER {in_order} AS year_prev"),
+            F.expr(f"lead(year) OVER {in_order} AS year_next"),
+        )
+        .withColumn("is_duplicate_adjacent", F.expr("year = year_prev OR year = year_next"))
     )
-    year, before, after = F.col("year"), F.col("year_prev"), F.col("year_next")
-    return edges.withColumns(
-        {"year_prev": F.lag("year").over(in_order), "year_next": F.lead("year").over(in_order)}
-    ).withColumn("is_duplicate_adjacent", (year == before) | (year == after))
 
 
 def turnover_change(edges: DataFrame, rules: Rules) -> DataFrame:
     """Years with both an RI and a PEI edge: how the annual mean changed because the cohort did."""
-    kind = F.when(F.col("indicator").rlike("^PEI"), PEI).otherwise(RI)
     return (
-        edges.where(F.col("is_duplicate_adjacent"))
-        .withColumn("type", kind)
+        edges.where("is_duplicate_adjacent")
+        .withColumn("type", F.expr(f"if(indicator RLIKE '^PEI', '{PEI}', '{RI}')"))
         .groupBy(*rules.keys(edges), "year")
         .pivot("type", [PEI, RI])
         .agg(F.max("mean"))
@@ -62,29 +68,13 @@ def turnover_change(edges: DataFrame, rules: Rules) -> DataFrame:
     )
 
 
-# Total of the annual means of the base window, of the first years after it, and of the last years.
-COMPONENTS = ("PEI_base", "PEI_base_plus_3", "PEI_target_minus_3")
-
-
-def _component() -> Column:
-    label = F.col("indicator")
-    return (
-        F.when(_is_base(), COMPONENTS[0])
-        .when(label.rlike("^RI"), COMPONENTS[1])
-        .when(label.rlike(r"^PEI \d"), COMPONENTS[2])
-    )
-
-
-def _in_core() -> Column:
-    flag = F.col("is_duplicate_adjacent")
-    return ~flag | flag.isNull()
+def _component_totals(rows: str) -> list:
+    return [F.expr(f"sum(if({rows} AND {which}, mean, NULL))").alias(name) for name, which in COMPONENTS.items()]
 
 
 def core_reduction(edges: DataFrame, rules: Rules) -> DataFrame:
     """The three totals of all other edge rows, in one row per series."""
-    return edges.where(_in_core()).groupBy(*rules.keys(edges)).agg(
-        *[F.sum(F.when(_component() == name, F.col("mean"))).alias(name) for name in COMPONENTS]
-    )
+    return edges.groupBy(*rules.keys(edges)).agg(*_component_totals(IN_CORE))
 
 
 def decomposed_reduction(edges: DataFrame, rules: Rules) -> DataFrame:
@@ -93,43 +83,36 @@ def decomposed_reduction(edges: DataFrame, rules: Rules) -> DataFrame:
     Both parts come from the same edge rows, so they are summed together, first by year and then over the years.
     """
     keys = rules.keys(edges)
-    flagged = F.col("is_duplicate_adjacent")
-    is_pei = F.col("indicator").rlike("^PEI")
+    turned_over = "coalesce(bool_or(is_duplicate_adjacent), false)"
+    before, after = (f"max(if(is_duplicate_adjacent AND {side}, mean, NULL))" for side in (f"NOT {IS_PEI}", IS_PEI))
     by_year = edges.groupBy(*keys, "year").agg(
-        *[F.sum(F.when(_in_core() & (_component() == name), F.col("mean"))).alias(name) for name in COMPONENTS],
-        F.coalesce(F.bool_or(flagged), F.lit(False)).alias("_turnover"),
-        (F.max(F.when(flagged & ~is_pei, F.col("mean"))) - F.max(F.when(flagged & is_pei, F.col("mean")))).alias(
-            "_change"
-        ),
+        *_component_totals(IN_CORE),
+        # a turned-over year without one of its two sides makes the turnover unknown
+        F.expr(f"if({turned_over}, {before} - {after}, 0D) AS _change"),
     )
-    # a flagged year without one of its two sides makes the turnover unknown
-    change = F.when(F.col("_turnover"), F.col("_change")).otherwise(F.lit(0.0))
     totals = by_year.groupBy(*keys).agg(
-        *[F.sum(name).alias(name) for name in COMPONENTS], sum_or_null(change).alias("_change")
+        *[F.sum(name).alias(name) for name in COMPONENTS], F.expr(f"{sum_or_null('_change')} AS _change")
     )
-    base, early, late = (F.col(name) for name in COMPONENTS)
     return totals.select(
         *keys,
-        F.try_divide(100 * (late - early), base).alias("core_component"),
-        F.try_divide(100 * F.col("_change"), base).alias("turnover_component"),
-    ).withColumn("decomposed_reduction", F.col("core_component") - F.col("turnover_component"))
+        F.expr("try_divide(100 * (PEI_target_minus_3 - PEI_base_plus_3), PEI_base) AS core_component"),
+        F.expr("try_divide(100 * _change, PEI_base) AS turnover_component"),
+    ).withColumn("decomposed_reduction", F.expr("core_component - turnover_component"))
 
 
 def simplified_years(profile: DataFrame, rules: Rules) -> DataFrame:
     """Annual means without cohorts, of the base window and of the target window (up to the latest year with data)."""
     keys = rules.keys(profile)
-    year = F.col("year")
+    first, last = rules.base_window
     return (
-        profile.where(F.col("kind") == ALONE)
-        .withColumn("latest_year", F.max("year").over(per_series(keys)))
-        .withColumns(
-            {
-                "in_base": year.between(*rules.base_window),
-                "in_target": year > F.col("latest_year") - rules.indicator_years,
-            }
+        profile.where(f"kind = '{ALONE}'")
+        .select(*keys, "year", F.expr(f"max(year) OVER {window(keys)} AS latest_year"), "mean", "se_total", "n_sites")
+        .select(
+            "*",
+            F.expr(f"year BETWEEN {first} AND {last} AS in_base"),
+            F.expr(f"year > latest_year - {rules.indicator_years} AS in_target"),
         )
-        .where((F.col("in_base") | F.col("in_target")) & (F.col("n_sites") > 0))
-        .select(*keys, "year", "latest_year", "in_base", "in_target", "mean", "se_total", "n_sites")
+        .where("(in_base OR in_target) AND n_sites > 0")
     )
 
 
@@ -137,13 +120,13 @@ def simplified_reduction(profile: DataFrame, rules: Rules) -> DataFrame:
     """Percent change between the base and the target three-year mean, each year judged on its own
     (negative for a fall)."""
     keys = rules.keys(profile)
-    columns = []
+    columns = [F.max("latest_year").alias("year")]
     for name in ("base", "target"):
-        mean, error = three_year_mean(rules, F.col(f"in_{name}"))
-        columns += [round_half_up(mean, 2).alias(f"{name}_PEI"), error.alias(f"{name}_se_PEI")]
-    summary = simplified_years(profile, rules).groupBy(*keys).agg(F.max("latest_year").alias("year"), *columns)
-    change = F.col("target_PEI") - F.col("base_PEI")
-    return summary.withColumn("simplified_reduction", F.try_divide(100 * change, F.col("base_PEI")))
+        mean, error = three_year_mean(rules, f"in_{name}")
+        columns += [F.expr(f"{half_up(mean, 2)} AS {name}_PEI"), F.expr(f"{error} AS {name}_se_PEI")]
+    summary = simplified_years(profile, rules).groupBy(*keys).agg(*columns)
+    change = "try_divide(100 * (target_PEI - base_PEI), base_PEI)"
+    return summary.withColumn("simplified_reduction", F.expr(change))
 
 
 def relative_error(summary: DataFrame, simplified: DataFrame, rules: Rules) -> DataFrame:
@@ -155,18 +138,19 @@ def relative_error(summary: DataFrame, simplified: DataFrame, rules: Rules) -> D
     keys = rules.keys(summary)
     true = summary.groupBy(*keys).agg(F.max_by("perc_change", "year").alias("true_reduction"))
     sizes = true.unionByName(simplified.select(*keys, "simplified_reduction"), allowMissingColumns=True)
-    found, plain = F.col("true_reduction"), F.col("simplified_reduction")
     return (
         sizes.groupBy(*keys)
-        .agg(F.max(found).alias("true_reduction"), F.max(plain).alias("simplified_reduction"))
-        .withColumn("relative_error", F.try_divide(-100 * (found + plain), found))
+        .agg(*[F.max(c).alias(c) for c in ("true_reduction", "simplified_reduction")])
+        .withColumn(
+            "relative_error", F.expr("try_divide(-100 * (true_reduction + simplified_reduction), true_reduction)")
+        )
     )
 
 
 def site_count_comparison(profile: DataFrame, edges: DataFrame, rules: Rules) -> DataFrame:
     """Sites behind the target years: without cohorts, and (where the year is an edge) with them."""
     keys = rules.keys(profile)
-    plain = simplified_years(profile, rules).where(F.col("in_target"))
+    plain = simplified_years(profile, rules).where("in_target")
     matched = edges.select(*keys, "year", F.col("n_sites").alias("true_sites"))
     return plain.select(*keys, "year", F.col("n_sites").alias("simplified_sites")).join(
         matched, [*keys, "year"], "left"

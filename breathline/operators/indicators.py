@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import quadrature, root_sum_of_squares, round_half_up
-from ..functions.series import per_series
+from ..functions.numeric import half_up, root_sum_of_squares
+from ..functions.series import window
 from ..rules import Rules
 from ..schemas import INDICATOR_INPUT, require_columns
 from . import cohorts
@@ -15,24 +15,27 @@ from . import cohorts
 ALONE, RI, PEI = "ALONE", "RI", "PEI"
 # Label of the base indicator (fixed value); those of the increments are "RI 2019", "PEI 2019" and so on.
 BASE_LABEL = "PEI base"
+# The increment year within a label, as text.
+INCREMENT_YEAR = r"regexp_extract(indicator, '[0-9]+$', 0)"
 
 
-def _over_sites(mean: Column, rows: Column) -> list[Column]:
-    """n_sites counts rows, also those without a mean; the standard error is between sites only."""
-    between = F.try_divide(F.stddev_samp(mean), F.sqrt(rows))
-    return [F.avg(mean).alias("mean"), between.alias("se_total"), rows.alias("n_sites")]
+def _over_sites(counted: str) -> dict[str, str]:
+    """Aggregates over the ``counted`` rows: n_sites counts rows, also those without a mean, and the standard error is
+    the one between sites."""
+    mean, rows = f"if({counted}, mean, NULL)", f"count_if({counted})"
+    return {
+        "mean": f"avg({mean})",
+        "se_total": f"try_divide(stddev_samp({mean}), sqrt({rows}))",
+        "n_sites": rows,
+    }
 
 
 def _yearly(site_years: DataFrame, rules: Rules, keys: list[str]) -> DataFrame:
     """Annual means over sites; a year in which no site counts stays, with ``n_sites`` 0."""
     require_columns(site_years, INDICATOR_INPUT)
-    site_year = Window.partitionBy(*keys, "site", "year")
-    counted = F.col("_counted")
-    return (
-        site_years.withColumn("_counted", cohorts.not_superseded(cohorts.usable(rules), site_year))
-        .groupBy(*keys, "year")
-        .agg(*_over_sites(F.when(counted, F.col("mean")), F.count_if(counted)))
-    )
+    counted = cohorts.not_superseded(cohorts.usable(rules), keys)
+    aggregates = [F.expr(text).alias(name) for name, text in _over_sites("_counted").items()]
+    return site_years.withColumn("_counted", F.expr(counted)).groupBy(*keys, "year").agg(*aggregates)
 
 
 def annual_indicator(site_years: DataFrame, rules: Rules, by: tuple[str, ...] = ()) -> DataFrame:
@@ -52,17 +55,19 @@ def population_indicator(site_years: DataFrame, rules: Rules, end_year: int | No
         return annual_indicator(site_years.where(span), rules)
     return (
         _yearly(site_years, rules, keys)
-        .withColumn("_latest", F.max("year").over(per_series(keys)))
-        .where((F.col("year") > F.col("_latest") - rules.indicator_years) & (F.col("n_sites") > 0))
+        .withColumn("_latest", F.expr(f"max(year) OVER {window(keys)}"))
+        .where(f"year > _latest - {rules.indicator_years} AND n_sites > 0")
         .drop("_latest")
     )
 
 
 def split_by_indicator(cohort_years: DataFrame, rules: Rules) -> DataFrame:
     """Annual means per ``increment_year`` as rows of its RI (all but the last year) and PEI (all but the first)."""
-    lead = F.col("increment_year") - F.col("year")
-    kinds = F.array(F.when(lead > 0, F.lit(RI)), F.when(lead < rules.indicator_years, F.lit(PEI)))
-    return cohort_years.withColumn("indicator", F.explode(F.array_compact(kinds)))
+    kinds = (
+        f"array(if(increment_year > year, '{RI}', NULL),"
+        f" if(increment_year < year + {rules.indicator_years}, '{PEI}', NULL))"
+    )
+    return cohort_years.withColumn("indicator", F.expr(f"explode(array_compact({kinds}))"))
 
 
 def indicator_profile(site_years: DataFrame, rules: Rules) -> DataFrame:
@@ -72,103 +77,94 @@ def indicator_profile(site_years: DataFrame, rules: Rules) -> DataFrame:
     cohort of ``increment_year`` n) and PEI (years n-2..n), with ``year, mean, se_total, n_sites``.
 
     A single aggregate by year carries the five variants of the mean side by side (no cohort, and one per lead), so
-    tasks condense their site-years to a row per year before the only shuffle, whatever their distribution.  The rest
-    works on those few rows.
+    tasks condense their site-years to a row per year before the shuffle, whatever their distribution.  The rest works
+    on those few rows, brought together per series.
     """
     require_columns(site_years, INDICATOR_INPUT)
     keys = rules.keys(site_years)
-    variants = {"alone": F.col(cohorts.COUNTS_ALONE), **{f"lead_{k}": cohorts.counts(k) for k in rules.leads}}
-    totals = (
-        cohorts.with_counting_flags(site_years, rules)
-        .groupBy(*keys, "year")
-        .agg(
-            *[
-                F.struct(*_over_sites(F.when(counted, F.col("mean")), F.count_if(counted))).alias(name)
-                for name, counted in variants.items()
-            ]
-        )
-    )
+    variants = {"alone": cohorts.COUNTS_ALONE, **{f"lead_{k}": cohorts.counts(k) for k in rules.leads}}
+    structs = []
+    for name, counted in variants.items():
+        fields = ", ".join(f"{text} AS {field}" for field, text in _over_sites(counted).items())
+        structs.append(F.expr(f"struct({fields}) AS {name}"))
+    totals = cohorts.with_counting_flags(site_years, rules).groupBy(*keys, "year").agg(*structs)
 
-    def row(kind: str, increment_year: Column, stats: str) -> Column:
-        return F.struct(
-            F.lit(kind).alias("kind"), increment_year.cast("int").alias("increment_year"), F.col(stats).alias("stats")
-        )
+    def row(kind: str, increment_year: str, stats: str) -> str:
+        return f"struct('{kind}' AS kind, {increment_year} AS increment_year, {stats} AS stats)"
 
-    rows = [row(ALONE, F.lit(None), "alone")]
+    rows = [row(ALONE, "int(NULL)", "alone")]
     for lead in rules.leads:
-        increment_year = F.col("year") + lead
         if lead > 0:
-            rows.append(row(RI, increment_year, f"lead_{lead}"))
+            rows.append(row(RI, f"year + {lead}", f"lead_{lead}"))
         if lead < rules.indicator_years:
-            rows.append(row(PEI, increment_year, f"lead_{lead}"))
-    # an increment year is one some site reports in: its own year then gives a row with lead 0, be it an empty one
-    reported = F.bool_or(F.col("year") == F.col("increment_year")).over(Window.partitionBy(*keys, "increment_year"))
+            rows.append(row(PEI, f"year + {lead}", f"lead_{lead}"))
+    # an increment year is one that some site reports in
     return (
-        totals.select(*keys, "year", F.inline(F.array(*rows)))
-        .withColumn("_reported", reported)
-        .where((F.col("kind") == ALONE) | (F.col("_reported") & (F.col("stats.n_sites") > 0)))
+        totals.withColumn("_reported", F.expr(f"collect_set(year) OVER {window(keys)}"))
+        .select(*keys, "year", "_reported", F.expr(f"inline(array({', '.join(rows)}))"))
+        .where(f"kind = '{ALONE}' OR (array_contains(_reported, increment_year) AND stats.n_sites > 0)")
         .select(*keys, "kind", "increment_year", "year", "stats.mean", "stats.se_total", "stats.n_sites")
     )
 
 
 def increment_indicators(profile: DataFrame, rules: Rules) -> DataFrame:
     """The RI and PEI rows of every increment year."""
-    return profile.where(F.col("kind") != ALONE).select(
-        *rules.keys(profile),
-        "increment_year",
-        F.col("kind").alias("indicator"),
-        "year",
-        "mean",
-        "se_total",
-        "n_sites",
+    kind = F.col("kind").alias("indicator")
+    return profile.where(f"kind <> '{ALONE}'").select(
+        *rules.keys(profile), "increment_year", kind, "year", "mean", "se_total", "n_sites"
     )
 
 
+def in_base(rules: Rules) -> str:
+    """Profile rows that make up the base indicator."""
+    first, last = rules.base_window
+    return f"(kind = '{ALONE}' AND year BETWEEN {first} AND {last} AND n_sites > 0)"
+
+
 def base_indicator(profile: DataFrame, rules: Rules) -> DataFrame:
     """Annual means of the base window."""
-    return profile.where(
-        (F.col("kind") == ALONE) & F.col("year").between(*rules.base_window) & (F.col("n_sites") > 0)
-    ).select(*rules.keys(profile), "year", "mean", "se_total", "n_sites")
+    return profile.where(in_base(rules)).select(*rules.keys(profile), "year", "mean", "se_total", "n_sites")
 
 
-def three_year_mean(rules: Rules, only: Column | None = None) -> tuple[Column, Column]:
+def three_year_mean(rules: Rules, only: str = "true") -> tuple[str, str]:
     """Aggregates giving a three-year mean and its error.  The divisor stays three if years are missing."""
-    mean, error = F.col("mean"), F.col("se_total")
-    if only is not None:
-        mean, error = F.when(only, mean), F.when(only, error)
-    return F.avg(mean), root_sum_of_squares(error) / rules.indicator_years
+    return (
+        f"avg(if({only}, mean, NULL))",
+        f"{root_sum_of_squares(f'if({only}, se_total, NULL)')} / {rules.indicator_years}",
+    )
 
 
 def base_summary(profile: DataFrame, rules: Rules) -> DataFrame:
     """The base indicator: mean of the base window, rounded to two digits, and its standard error."""
+    keys = rules.keys(profile)
     mean, error = three_year_mean(rules)
     return (
         base_indicator(profile, rules)
-        .groupBy(*rules.keys(profile))
-        .agg(round_half_up(mean, 2).alias("PEI"), error.alias("se_PEI"))
-        .select(*rules.keys(profile), F.lit(rules.base_year).alias("year"), "PEI", "se_PEI")
+        .groupBy(*keys)
+        .agg(F.expr(f"{half_up(mean, 2)} AS PEI"), F.expr(f"{error} AS se_PEI"))
+        .select(*keys, F.lit(rules.base_year).alias("year"), "PEI", "se_PEI")
     )
 
 
 def indicator_table(profile: DataFrame, rules: Rules) -> DataFrame:
     """One row per labelled indicator and year: the base window, then each increment's RI and PEI."""
-    is_base = F.col("kind") == ALONE
-    label = F.when(is_base, F.lit(BASE_LABEL)).otherwise(F.concat_ws(" ", "kind", "increment_year"))
-    wanted = ~is_base | F.col("year").between(*rules.base_window)
-    return profile.where(wanted & (F.col("n_sites") > 0)).select(
-        *rules.keys(profile), label.alias("indicator"), "year", "mean", "se_total", "n_sites"
+    label = F.expr(f"if(kind = '{ALONE}', '{BASE_LABEL}', concat_ws(' ', kind, increment_year)) AS indicator")
+    return profile.where(f"kind <> '{ALONE}' OR {in_base(rules)}").select(
+        *rules.keys(profile), label, "year", "mean", "se_total", "n_sites"
     )
 
 
 __all__ = [
     "ALONE",
     "BASE_LABEL",
+    "INCREMENT_YEAR",
     "PEI",
     "RI",
     "annual_indicator",
     "base_indicator",
     "base_summary",
     "increment_indicators",
+    "in_base",
     "indicator_profile",
     "indicator_table",
     "population_indicator",

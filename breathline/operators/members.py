@@ -7,12 +7,13 @@ continues in further rows (``part`` 1, 2, ..).  A network below that size has on
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.series import window
 from ..rules import Rules
 from . import cohorts
-from .indicators import BASE_LABEL, PEI, RI
+from .indicators import BASE_LABEL, INCREMENT_YEAR, PEI, RI
 
 # Fixed value: what stands between two site names.
 SEPARATOR = "; "
@@ -24,17 +25,14 @@ def indicator_members(site_years: DataFrame, indicators: DataFrame, rules: Rules
     The indicator rows are few; joining them last keeps only increment years that exist and brings ``n_sites`` along.
     """
     keys = rules.keys(site_years)
-
-    def label(kind: str, lead: int) -> Column:
-        return F.when(cohorts.counts(lead), F.concat_ws(" ", F.lit(kind), F.col("year") + lead))
-
-    in_base = F.col(cohorts.COUNTS_ALONE) & F.col("year").between(*rules.base_window)
-    labels = [F.when(in_base, F.lit(BASE_LABEL))]
-    labels += [label(RI, lead) for lead in rules.leads if lead > 0]
-    labels += [label(PEI, lead) for lead in rules.leads if lead < rules.indicator_years]
+    first, last = rules.base_window
+    labels = [f"if({cohorts.COUNTS_ALONE} AND year BETWEEN {first} AND {last}, '{BASE_LABEL}', NULL)"]
+    for lead in rules.leads:
+        kinds = [RI] * (lead > 0) + [PEI] * (lead < rules.indicator_years)
+        labels += [f"if({cohorts.counts(lead)}, concat('{kind} ', year + {lead}), NULL)" for kind in kinds]
     members = (
         cohorts.with_counting_flags(site_years, rules)
-        .select(*keys, F.explode(F.array_compact(F.array(*labels))).alias("indicator"), "year", "site")
+        .select(*keys, F.expr(f"explode(array_compact(array({', '.join(labels)}))) AS indicator"), "year", "site")
         .dropDuplicates()
     )
     on = [*keys, "indicator", "year"]
@@ -44,10 +42,9 @@ def indicator_members(site_years: DataFrame, indicators: DataFrame, rules: Rules
 def annual_members(site_years: DataFrame, yearly: DataFrame, rules: Rules) -> DataFrame:
     """Distinct (year, site) behind the annual means of ``indicators.population_indicator`` without ``by``."""
     keys = rules.keys(site_years)
-    site_year = Window.partitionBy(*keys, "site", "year")
     members = (
-        site_years.withColumn("_counted", cohorts.not_superseded(cohorts.usable(rules), site_year))
-        .where(F.col("_counted"))
+        site_years.withColumn("_counted", F.expr(cohorts.not_superseded(cohorts.usable(rules), keys)))
+        .where("_counted")
         .select(*keys, "year", "site")
         .dropDuplicates()
     )
@@ -60,10 +57,10 @@ def site_lists(members: DataFrame, rules: Rules, by: list[str]) -> DataFrame:
 
     ``members`` carries ``n_sites`` of its group, from which the number of cells follows.
     """
-    cells = F.ceil(F.col("n_sites") / rules.sites_per_cell)
-    part = F.when(cells > 1, F.pmod(F.xxhash64("site"), cells)).otherwise(0).cast("int")
+    cells = f"ceil(n_sites / {rules.sites_per_cell})"
+    part = f"int(if({cells} > 1, pmod(xxhash64(site), {cells}), 0))"
     return (
-        members.withColumn("part", part)
+        members.withColumn("part", F.expr(part))
         .groupBy(*by, "part")
         .agg(F.array_join(F.array_sort(F.collect_set("site")), SEPARATOR).alias("sites"))
     )
@@ -84,14 +81,9 @@ def fullest_indicator(indicators: DataFrame, rules: Rules) -> DataFrame:
 
     Ties go to the base window, then to the earlier increment year, then to RI.
     """
-    order = [
-        F.desc("n_sites"),
-        F.desc(F.col("indicator") == BASE_LABEL),
-        F.regexp_extract("indicator", r"(\d+)$", 1),
-        F.desc(F.col("indicator").startswith(RI)),
-    ]
-    year = Window.partitionBy(*rules.keys(indicators), "year").orderBy(*order)
-    return indicators.withColumn("_rank", F.row_number().over(year)).where(F.col("_rank") == 1).drop("_rank")
+    order = f"n_sites DESC, indicator = '{BASE_LABEL}' DESC, {INCREMENT_YEAR}, startswith(indicator, '{RI}') DESC"
+    rank = f"row_number() OVER {window([*rules.keys(indicators), 'year'], order)}"
+    return indicators.withColumn("_rank", F.expr(rank)).where("_rank = 1").drop("_rank")
 
 
 def sites_to_include(site_years: DataFrame, indicators: DataFrame, rules: Rules) -> DataFrame:
@@ -141,9 +133,9 @@ def capture_statistics(site_years: DataFrame, rules: Rules) -> DataFrame:
     return (
         site_years.where(F.col("operational_all_year") & (F.col("year") >= rules.statistics_from))
         .groupBy(*rules.keys(site_years), "year")
-        .agg(F.count("*").alias("total_sites"), F.count_if(cohorts.captured(rules)).alias("sites_meeting_threshold"))
-        .withColumn(
-            "percent_meeting_threshold",
-            F.bround(100 * F.col("sites_meeting_threshold") / F.col("total_sites"), 1),
+        .agg(
+            F.count("*").alias("total_sites"),
+            F.expr(f"count_if({cohorts.captured(rules)}) AS sites_meeting_threshold"),
         )
+        .withColumn("percent_meeting_threshold", F.expr("bround(100 * sites_meeting_threshold / total_sites, 1)"))
     )

@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import round_half_up
+from ..functions.numeric import half_up
 from ..rules import OPEN_ENDED, Rules
 
+REGISTER_COLUMNS = (
+    "site",
+    "code",
+    "latitude",
+    "longitude",
+    "site_type",
+    "zone",
+    "measurement",
+    "start_date",
+    "end_date",
+)
 
-def _year_of(date: Column) -> Column:
-    return F.year(F.try_to_date(F.substring(date.cast("string"), 1, 10), "yyyy-MM-dd"))
+
+def _year_of(date: str) -> str:
+    return f"year(try_to_date(left({date}, 10), 'yyyy-MM-dd'))"
 
 
 def clean_stations(stations: DataFrame, rules: Rules) -> DataFrame:
@@ -18,38 +30,20 @@ def clean_stations(stations: DataFrame, rules: Rules) -> DataFrame:
 
     An open-ended station has a NULL end year.
     """
-    measurement = None
-    for variable, name in rules.station_variables.items():
-        measurement = (F.when if measurement is None else measurement.when)(F.col("variable") == variable, name)
+    keys = [k for k in rules.keys(stations) if k not in REGISTER_COLUMNS]
+    instruments = " ".join(f"WHEN '{v}' THEN '{name}'" for v, name in rules.station_variables.items())
     kept = (
         stations.where(F.col("variable").isin(*rules.station_variables))
-        .withColumn("measurement", measurement)
-        .select(
-            *rules.keys(stations),
-            *[
-                c
-                for c in (
-                    "site",
-                    "code",
-                    "latitude",
-                    "longitude",
-                    "site_type",
-                    "zone",
-                    "measurement",
-                    "start_date",
-                    "end_date",
-                )
-                if c not in rules.series
-            ],
-        )
+        .withColumn("measurement", F.expr(f"CASE variable {instruments} END"))
+        .select(*keys, *REGISTER_COLUMNS)
         .distinct()
     )
     if rules.renamed_sites:
         kept = kept.replace(dict(rules.renamed_sites), subset=["site"])
     return kept.withColumns(
         {
-            "start_date": _year_of(F.col("start_date")),
-            "end_date": _year_of(F.nullif(F.col("end_date").cast("string"), F.lit(OPEN_ENDED))),
+            "start_date": F.expr(_year_of("string(start_date)")),
+            "end_date": F.expr(_year_of(f"nullif(string(end_date), '{OPEN_ENDED}')")),
         }
     )
 
@@ -60,25 +54,19 @@ def operational_site_years(site_years: DataFrame, stations: DataFrame, rules: Ru
     ``operational_all_year`` needs a start in an earlier and an end in a later year (or none).  A site-year without a
     register row keeps NULLs.  Several register rows for one instrument repeat the site-year, as in any left join.
 
-    The register grows with the number of sites, so its join strategy is left to Spark's size checks.  Site-years are
-    laid out by site first: the layout serves this join when it shuffles, and the windows that follow.
+    Site-years are laid out by site, and the register, which grows with the number of sites, is brought to them by a
+    merge join.  That layout then serves the windows of the cohort and instrument rules as well, so this is the only
+    time site-years move.
     """
     shared = [k for k in rules.keys(site_years) if k in stations.columns]
     brought = [k for k in rules.keys(stations) if k not in shared]
-    details = stations.select(
-        *shared,
-        *brought,
-        "site",
-        "measurement",
-        *[c for c in ("site_type", "zone") if c not in shared + brought],
-        "start_date",
-        "end_date",
-    )
-    open_at_end = F.col("end_date").isNull() | (F.col("end_date") > F.col("year"))
+    names = dict.fromkeys([*shared, *brought, "site", "measurement", "site_type", "zone", "start_date", "end_date"])
     return (
         site_years.repartition("site")
-        .join(details, [*shared, "site", "measurement"], "left")
-        .withColumn("operational_all_year", (F.col("start_date") < F.col("year")) & open_at_end)
+        .join(stations.select(*names).hint("merge"), [*shared, "site", "measurement"], "left")
+        .withColumn(
+            "operational_all_year", F.expr("start_date < year AND (end_date IS NULL OR end_date > year)")
+        )
     )
 
 
@@ -87,8 +75,7 @@ def eligible_site_years(site_years: DataFrame, rules: Rules) -> DataFrame:
 
     An unknown zone or site type excludes a site-year.
     """
-    rounded = site_years.withColumn("capture", round_half_up(F.col("capture")))
-    kept = rounded.where(
+    kept = site_years.withColumn("capture", F.expr(half_up("capture"))).where(
         (F.col("capture") > 0)
         & ~F.col("zone").rlike(rules.excluded_zones)
         & F.col("site_type").isin(*rules.site_types)

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import round_half_even
-
 # The published headers.
 BOUNDS_HEADERS = {
     "year": "Year",
@@ -42,10 +40,10 @@ CAPTURE_HEADERS = {
 
 
 def round_numbers(df: DataFrame, digits: int = 2) -> DataFrame:
-    """Round every floating-point column, which also clears the noise of sums of rounded values."""
+    """Round every floating-point column (ties to even), which also clears the noise of sums of rounded values."""
     return df.select(
         *[
-            round_half_even(F.col(f"`{name}`"), digits).alias(name) if kind == "double" else F.col(f"`{name}`")
+            F.bround(F.col(f"`{name}`"), digits).alias(name) if kind == "double" else F.col(f"`{name}`")
             for name, kind in df.dtypes
         ]
     )

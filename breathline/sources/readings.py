@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..rules import DAILY, HOURLY, Rules
@@ -24,19 +22,18 @@ def select_readings(df: DataFrame, rules: Rules) -> DataFrame:
 
     A NaN value is a missing reading, so it becomes NULL here, before anything counts or averages it.
     """
-    admitted: list[Column] = [
-        ((F.col("measurement") == HOURLY) & (F.col("averaging") == rules.hourly_averaging))
-        | (F.col("measurement") == DAILY)
+    admitted = [
+        f"((measurement = '{HOURLY}' AND averaging = '{rules.hourly_averaging}') OR measurement = '{DAILY}')"
     ]
     if rules.pollutant is not None:
-        admitted.append(F.col("pollutant") == rules.pollutant)
+        admitted.append(f"pollutant = '{rules.pollutant}'")
     if rules.first_year is not None:
-        admitted.append(F.col("year") >= rules.first_year)
-    return df.where(reduce(lambda a, b: a & b, admitted)).select(
+        admitted.append(f"year >= {rules.first_year}")
+    return df.where(" AND ".join(admitted)).select(
         *rules.keys(df),
         "site",
         "year",
         "measurement",
         *[c for c in ("date",) if c in df.columns],
-        F.nullif(F.col("value"), F.lit(float("nan"))).alias("value"),
+        F.expr("nullif(value, double('NaN')) AS value"),
     )

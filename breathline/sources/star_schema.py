@@ -7,11 +7,20 @@ zero tax (daily) marks a missing reading.  The readings need no join: a supplier
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..rules import DAILY, HOURLY, HOURLY_AVERAGING, POLLUTANT, Rules
 
+# The columns in use; declaring them spares a job that looks them up in the files.
+TABLES = {
+    "lineitem": "l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, l_discount DOUBLE, l_tax DOUBLE, "
+    "l_shipdate TIMESTAMP_NTZ",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT",
+    "nation": "n_nationkey INT, n_regionkey INT",
+    "region": "r_regionkey INT, r_name STRING",
+}
+
 # The period of the sales data, and instruments that report every fourth day.
 SALES_RULES = Rules(
     first_year=None,
@@ -27,57 +36,53 @@ SALES_RULES = Rules(
 OTHER_POLLUTANT = "NO2"
 
 
-def _instruments(key: Column) -> Column:
-    return (
-        F.when(key % 4 == 0, F.array(F.lit(HOURLY), F.lit(DAILY)))
-        .when(key % 4 == 3, F.array(F.lit(DAILY)))
-        .otherwise(F.array(F.lit(HOURLY)))
-    )
+def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
 
 
-def _site(key: Column) -> Column:
-    return F.concat(F.lit("Supplier#"), F.lpad(key.cast("string"), 9, "0"))
+def _instruments(key: str) -> str:
+    both, daily, hourly = f"array('{HOURLY}', '{DAILY}')", f"array('{DAILY}')", f"array('{HOURLY}')"
+    return f"explode(CASE {key} % 4 WHEN 0 THEN {both} WHEN 3 THEN {daily} ELSE {hourly} END) AS measurement"
 
 
 def sales_readings(spark: SparkSession, folder: str, mixed_pollutants: bool = False) -> DataFrame:
     """Readings as in ``schemas.READINGS``; ``mixed_pollutants`` gives the seventh line of an order another one."""
-    hourly = F.when(F.col("l_discount") != 0, F.col("l_quantity"))
-    daily = F.when(F.col("l_tax") != 0, F.col("l_quantity") * 1.1)
-    pollutant = F.lit(POLLUTANT)
+    pollutant = f"'{POLLUTANT}'"
     if mixed_pollutants:
-        pollutant = F.when(F.col("l_linenumber") == 7, F.lit(OTHER_POLLUTANT)).otherwise(pollutant)
-    lines = spark.read.parquet(f"{folder}/lineitem.parquet")
-    return lines.withColumn("measurement", F.explode(_instruments(F.col("l_suppkey")))).select(
-        _site(F.col("l_suppkey")).alias("site"),
-        F.year("l_shipdate").alias("year"),
-        F.col("l_shipdate").alias("date"),
-        F.when(F.col("measurement") == HOURLY, hourly).otherwise(daily).alias("value"),
-        "measurement",
-        F.lit(HOURLY_AVERAGING).alias("averaging"),
-        pollutant.alias("pollutant"),
+        pollutant = f"if(l_linenumber = 7, '{OTHER_POLLUTANT}', {pollutant})"
+    hourly, daily = "if(l_discount = 0, NULL, l_quantity)", "if(l_tax = 0, NULL, l_quantity * 1.1D)"
+    return (
+        _table(spark, folder, "lineitem")
+        .select("*", F.expr(_instruments("l_suppkey")))
+        .selectExpr(
+            "concat('Supplier#', lpad(string(l_suppkey), 9, '0')) AS site",
+            "year(l_shipdate) AS year",
+            "l_shipdate AS date",
+            f"if(measurement = '{HOURLY}', {hourly}, {daily}) AS value",
+            "measurement",
+            f"'{HOURLY_AVERAGING}' AS averaging",
+            f"{pollutant} AS pollutant",
+        )
     )
 
 
 def sales_stations(spark: SparkSession, folder: str) -> DataFrame:
     """Station register as in ``schemas.STATIONS``: one row per supplier and instrument."""
-    supplier, nation, region = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("supplier", "nation", "region"))
-    key = F.col("s_suppkey")
-    site_type = (
-        F.when(key % 10 == 9, "Urban Traffic").when(key % 10 == 8, "Suburban Background").otherwise("Urban Background")
-    )
+    supplier, nation, region = (_table(spark, folder, name) for name in ("supplier", "nation", "region"))
     return (
         supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
         .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-        .withColumn("measurement", F.explode(_instruments(key)))
-        .select(
-            F.col("s_name").alias("site"),
-            F.concat(F.lit("S"), key.cast("string")).alias("code"),
-            (50 + key % 100 / 20).cast("double").alias("latitude"),
-            (key % 60 / 10 - 4).cast("double").alias("longitude"),
-            site_type.alias("site_type"),
-            F.col("r_name").alias("zone"),
-            F.when(F.col("measurement") == HOURLY, "PM2.5").otherwise("GR2.5").alias("variable"),
-            F.when(key % 7 == 5, "1996-03-01").otherwise("1990-01-01").alias("start_date"),
-            F.when(key % 11 == 10, "2000-06-30").otherwise("ongoing").alias("end_date"),
+        .select("*", F.expr(_instruments("s_suppkey")))
+        .selectExpr(
+            "s_name AS site",
+            "concat('S', s_suppkey) AS code",
+            "50 + s_suppkey % 100 / 20 AS latitude",
+            "s_suppkey % 60 / 10 - 4 AS longitude",
+            "CASE s_suppkey % 10 WHEN 9 THEN 'Urban Traffic' WHEN 8 THEN 'Suburban Background'"
+            " ELSE 'Urban Background' END AS site_type",
+            "r_name AS zone",
+            f"if(measurement = '{HOURLY}', 'PM2.5', 'GR2.5') AS variable",
+            "if(s_suppkey % 7 = 5, '1996-03-01', '1990-01-01') AS start_date",
+            "if(s_suppkey % 11 = 10, '2000-06-30', 'ongoing') AS end_date",
         )
     )
