@@ -53,6 +53,7 @@ def sales_readings(spark: SparkSession, folder: str, mixed_pollutants: bool = Fa
     hourly, daily = "if(l_discount = 0, NULL, l_quantity)", "if(l_tax = 0, NULL, l_quantity * 1.1D)"
     return (
         _table(spark, folder, "lineitem")
+        .where("l_suppkey IS NOT NULL")
         .select("*", F.expr(_instruments("l_suppkey")))
         .selectExpr(
             "concat('Supplier#', lpad(string(l_suppkey), 9, '0')) AS site",

@@ -161,14 +161,14 @@ def steps(k: str = "", exceptions: dict[str, int] | None = None) -> dict[str, st
                sum(mean) FILTER (indicator LIKE 'PEI%' AND indicator <> 'PEI base') AS PEI_target_minus_3
         FROM edges WHERE is_duplicate_adjacent IS NOT TRUE {group}"""
     changes = f"""
-        SELECT {k}CASE WHEN count(*) = count(change_in_annual_mean) THEN coalesce(sum(change_in_annual_mean), 0) END AS change
+        SELECT {k}count(*) AS years, CASE WHEN count(*) = count(change_in_annual_mean) THEN sum(change_in_annual_mean) END AS change
         FROM turnover {group}"""
     join = f"LEFT JOIN changes USING ({kn})" if kn else "CROSS JOIN changes"
     s["changes"] = changes
     s["decomposed"] = f"""
         SELECT *, core_component - turnover_component AS decomposed_reduction FROM (
             SELECT {k}100 * (PEI_target_minus_3 - PEI_base_plus_3) / PEI_base AS core_component,
-                   100 * coalesce(change, 0) / PEI_base AS turnover_component FROM core {join})"""
+                   100 * CASE WHEN coalesce(years, 0) = 0 THEN 0 ELSE change END / PEI_base AS turnover_component FROM core {join})"""
     s["target_rows"] = """
         SELECT * FROM yearly WHERE year > (SELECT max(year) FROM eligible) - 3"""
     s["simplified"] = f"""
