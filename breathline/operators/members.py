@@ -22,7 +22,7 @@ SEPARATOR = "; "
 def indicator_members(site_years: DataFrame, indicators: DataFrame, rules: Rules) -> DataFrame:
     """Distinct (indicator, year, site) of the rows in ``indicators`` (see ``indicators.indicator_table``).
 
-    The indicator rows are few; joining them last keeps only increment years that exist and brings ``n_sites`` along.
+    Joining the indicator rows last keeps only increment years that exist and brings ``n_sites`` along.
     """
     keys = rules.keys(site_years)
     first, last = rules.base_window
@@ -36,7 +36,7 @@ def indicator_members(site_years: DataFrame, indicators: DataFrame, rules: Rules
         .dropDuplicates()
     )
     on = [*keys, "indicator", "year"]
-    return members.join(indicators.select(*on, "n_sites"), on)
+    return members.join(cohorts.few_if_single(indicators.select(*on, "n_sites"), rules), on)
 
 
 def annual_members(site_years: DataFrame, yearly: DataFrame, rules: Rules) -> DataFrame:
@@ -49,7 +49,7 @@ def annual_members(site_years: DataFrame, yearly: DataFrame, rules: Rules) -> Da
         .dropDuplicates()
     )
     on = [*keys, "year"]
-    return members.join(yearly.select(*on, "n_sites"), on)
+    return members.join(cohorts.few_if_single(yearly.select(*on, "n_sites"), rules), on)
 
 
 def site_lists(members: DataFrame, rules: Rules, by: list[str]) -> DataFrame:

@@ -62,7 +62,7 @@ def operational_site_years(site_years: DataFrame, stations: DataFrame, rules: Ru
     brought = [k for k in rules.keys(stations) if k not in shared]
     names = dict.fromkeys([*shared, *brought, "site", "measurement", "site_type", "zone", "start_date", "end_date"])
     return (
-        site_years.repartition("site")
+        site_years.repartition(*shared, "site")
         .join(stations.select(*names).hint("merge"), [*shared, "site", "measurement"], "left")
         .withColumn(
             "operational_all_year", F.expr("start_date < year AND (end_date IS NULL OR end_date > year)")

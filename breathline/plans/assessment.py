@@ -93,7 +93,7 @@ class Assessment:
         spark = self.site_years.sparkSession
         folder = folder.rstrip("/")
         saved.save_frame(self.site_years, f"{folder}/site_years")
-        site_years = saved.load_site_years(spark, f"{folder}/site_years")
+        site_years = saved.load_site_years(spark, f"{folder}/site_years", self.rules.series)
         saved.save_frame(op.indicator_profile(site_years, self.rules), f"{folder}/profile")
         return Assessment(self.rules, self.stations, site_years, saved.load_frame(spark, f"{folder}/profile"))
 

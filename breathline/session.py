@@ -16,7 +16,15 @@ SETTINGS = {
 }
 
 
+# Shuffles start with this many partitions per core of a cluster and are then coalesced by their measured size.
+PARTITIONS_PER_CORE = 4
+INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
+
 def configure(spark: SparkSession) -> SparkSession:
     for name, value in SETTINGS.items():
         spark.conf.set(name, value)
+    context = spark.sparkContext
+    if spark.conf.get(INITIAL_PARTITIONS, None) is None and not context.master.startswith("local"):
+        spark.conf.set(INITIAL_PARTITIONS, str(PARTITIONS_PER_CORE * context.defaultParallelism))
     return spark

@@ -13,12 +13,12 @@ def load_frame(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def load_site_years(spark: SparkSession, path: str) -> DataFrame:
-    """Saved site-years, laid out by site.
+def load_site_years(spark: SparkSession, path: str, series: tuple[str, ...] = ()) -> DataFrame:
+    """Saved site-years, laid out by series and site.
 
     The cohort and instrument rules look at (site, measurement) and at (site, year); this one shuffle serves both.
     """
-    return spark.read.parquet(path).repartition("site")
+    return spark.read.parquet(path).repartition(*series, "site")
 
 
 def save_bucketed(df: DataFrame, table: str, buckets: int) -> None:
