@@ -1,4 +1,4 @@
-"""Window text.
+"""SQL text of windows and literals.
 
 A window per series alone (no further partition column) is only for frames that are down to a few rows per series and
 year.  With a single series Spark warns that such a window has one partition; that partition is as long as the years
@@ -10,6 +10,12 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 
+def text(value: str) -> str:
+    """A string literal."""
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
 def quoted(names: Iterable[str]) -> str:
     return ", ".join(f"`{n}`" for n in names)
 

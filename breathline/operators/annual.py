@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import quadrature
+from ..functions.sql import text
 from ..rules import Rules
 
 
 def expected_readings(rules: Rules) -> str:
     """Readings an instrument gives in a full year; every fourth year counts as a leap year, centuries too."""
-    per_day = " ".join(f"WHEN '{name}' THEN {float(n)}D" for name, n in rules.readings_per_day.items())
+    per_day = " ".join(f"WHEN {text(name)} THEN {float(n)}D" for name, n in rules.readings_per_day.items())
     return f"(if(year % 4 = 0, 366, 365) * CASE measurement {per_day} END)"
 
 

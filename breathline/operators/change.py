@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import half_up, quadrature, running_sum
-from ..functions.series import window
+from ..functions.sql import window
 from ..rules import Rules
 from .indicators import ALONE, PEI, RI, in_base, three_year_mean
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.series import window
+from ..functions.sql import window
 from ..rules import DAILY, HOURLY, Rules
 
 COUNTS_ALONE = "_counts_alone"

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import half_up, sum_or_null
-from ..functions.series import window
+from ..functions.sql import window
 from ..rules import Rules
 from .indicators import ALONE, BASE_LABEL, INCREMENT_YEAR, PEI, RI, three_year_mean
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import half_up, root_sum_of_squares
-from ..functions.series import window
+from ..functions.sql import window
 from ..rules import Rules
 from ..schemas import INDICATOR_INPUT, require_columns
 from . import cohorts

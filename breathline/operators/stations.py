@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import half_up
+from ..functions.sql import text
 from ..rules import OPEN_ENDED, Rules
 
 REGISTER_COLUMNS = (
@@ -31,7 +32,7 @@ def clean_stations(stations: DataFrame, rules: Rules) -> DataFrame:
     An open-ended station has a NULL end year.
     """
     keys = [k for k in rules.keys(stations) if k not in REGISTER_COLUMNS]
-    instruments = " ".join(f"WHEN '{v}' THEN '{name}'" for v, name in rules.station_variables.items())
+    instruments = " ".join(f"WHEN {text(v)} THEN {text(name)}" for v, name in rules.station_variables.items())
     kept = (
         stations.where(F.col("variable").isin(*rules.station_variables))
         .withColumn("measurement", F.expr(f"CASE variable {instruments} END"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.sql import text
 from ..rules import DAILY, HOURLY, Rules
 
 
@@ -23,10 +24,10 @@ def select_readings(df: DataFrame, rules: Rules) -> DataFrame:
     A NaN value is a missing reading, so it becomes NULL here, before anything counts or averages it.
     """
     admitted = [
-        f"((measurement = '{HOURLY}' AND averaging = '{rules.hourly_averaging}') OR measurement = '{DAILY}')"
+        f"((measurement = '{HOURLY}' AND averaging = {text(rules.hourly_averaging)}) OR measurement = '{DAILY}')"
     ]
     if rules.pollutant is not None:
-        admitted.append(f"pollutant = '{rules.pollutant}'")
+        admitted.append(f"pollutant = {text(rules.pollutant)}")
     if rules.first_year is not None:
         admitted.append(f"year >= {rules.first_year}")
     return df.where(" AND ".join(admitted)).select(

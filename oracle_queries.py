@@ -169,18 +169,22 @@ def steps(k: str = "", exceptions: dict[str, int] | None = None) -> dict[str, st
         SELECT *, core_component - turnover_component AS decomposed_reduction FROM (
             SELECT {k}100 * (PEI_target_minus_3 - PEI_base_plus_3) / PEI_base AS core_component,
                    100 * CASE WHEN coalesce(years, 0) = 0 THEN 0 ELSE change END / PEI_base AS turnover_component FROM core {join})"""
-    s["target_rows"] = """
-        SELECT * FROM yearly WHERE year > (SELECT max(year) FROM eligible) - 3"""
+    s["latest"] = f"SELECT {k}max(year) AS year FROM eligible {group}"
+    same = f"AND a.{kn} = b.{kn}" if kn else ""
+    s["target_rows"] = f"SELECT a.* FROM yearly a JOIN latest b ON a.year > b.year - 3 {same}"
+    s["target"] = f"""
+        SELECT {k}{half_up("avg(mean)", 2)} AS target_PEI,
+               sqrt(coalesce(sum(se_total * se_total), 0)) / 3 AS target_se_PEI FROM target_rows {group}"""
+    matched = f"LEFT JOIN base USING ({kn}) LEFT JOIN target USING ({kn})" if kn else "CROSS JOIN base CROSS JOIN target"
     s["simplified"] = f"""
         SELECT *, 100 * (target_PEI - base_PEI) / base_PEI AS simplified_reduction FROM (
-            SELECT (SELECT max(year) FROM eligible) AS year,
-                   (SELECT PEI FROM base) AS base_PEI, (SELECT se_PEI FROM base) AS base_se_PEI,
-                   {half_up("avg(mean)", 2)} AS target_PEI,
-                   sqrt(coalesce(sum(se_total * se_total), 0)) / 3 AS target_se_PEI FROM target_rows)"""
-    s["error"] = """
+            SELECT {"latest." + k if k else ""}latest.year, PEI AS base_PEI, se_PEI AS base_se_PEI, target_PEI, target_se_PEI
+            FROM latest {matched})"""
+    s["true_change"] = f"SELECT {k}arg_max(coalesce(perc_change, 'NaN'), year) AS true_reduction FROM summary {group}"
+    matched = f"JOIN simplified USING ({kn})" if kn else "CROSS JOIN simplified"
+    s["error"] = f"""
         SELECT *, -100 * (true_reduction + simplified_reduction) / true_reduction AS relative_error
-        FROM (SELECT (SELECT perc_change FROM summary ORDER BY year DESC LIMIT 1) AS true_reduction,
-                     simplified_reduction FROM simplified)"""
+        FROM (SELECT {k}nullif(true_reduction, 'NaN') AS true_reduction, simplified_reduction FROM true_change {matched})"""
     return s
 
 
@@ -244,6 +248,12 @@ def oracle_sql() -> dict[str, str]:
         FROM eligible WHERE operational_all_year AND year >= 1995"""
     components = ("PEI_base", "PEI_base_plus_3", "PEI_target_minus_3")
     decomposed = ("core_component", "turnover_component", "decomposed_reduction")
+    detail = f"""SELECT i.site, code, {_doubles(("latitude", "longitude"))}, i.year, {out("mean")},
+        {out("se_sampling_within_site", "se")}, {out("capture")}, e.measurement, e.site_type, e.zone
+        FROM included i LEFT JOIN eligible e ON i.site = e.site AND i.year = e.year
+            LEFT JOIN (SELECT site, measurement, code, latitude, longitude FROM stations) p
+            ON p.site = i.site AND p.measurement = e.measurement
+        QUALIFY NOT (e.measurement = 'Daily' AND bool_or(e.measurement = 'Hourly') OVER (PARTITION BY i.year, i.site))"""
     selects = {
         "scan_filtered_readings": "SELECT site, year, measurement, date, round(value, 9) + 0.0 AS value FROM readings "
         "WHERE year >= 1996 AND l_linenumber <> 7",
@@ -275,12 +285,7 @@ def oracle_sql() -> dict[str, str]:
         "indicator_members": "SELECT indicator, year, unnest(string_split(sites, '; ')) AS site FROM indicators",
         "sites_per_year": "SELECT year, n_sites, 0 AS part, sites FROM fullest",
         "site_list_rows": "SELECT year, site FROM included",
-        "site_detail": f"""SELECT i.site, code, {_doubles(("latitude", "longitude"))}, i.year, {out("mean")},
-            {out("se_sampling_within_site", "se")}, {out("capture")}, e.measurement, e.site_type, e.zone
-            FROM included i LEFT JOIN eligible e ON i.site = e.site AND i.year = e.year
-                 LEFT JOIN (SELECT site, measurement, code, latitude, longitude FROM stations) p
-                 ON p.site = i.site AND p.measurement = e.measurement
-            QUALIFY NOT (e.measurement = 'Daily' AND bool_or(e.measurement = 'Hourly') OVER (PARTITION BY i.year, i.site))""",
+        "site_detail": detail,
         "capture_statistics": f"SELECT year, {capture} GROUP BY year",
         "edge_rows": f"""SELECT indicator, year, {out("mean")}, n_sites, year_prev, year_next, is_duplicate_adjacent FROM edges""",
         "turnover_change": f"SELECT year, {_doubles(('PEI', 'RI', 'change_in_annual_mean'))} FROM turnover",
@@ -297,6 +302,12 @@ def oracle_sql() -> dict[str, str]:
         "reduction_summary_by_zone": f"SELECT zone, year, {_doubles(SUMMARY + PERCENT)} FROM summary",
         "decomposed_reduction_by_zone": f"SELECT zone, {_doubles(decomposed)} FROM decomposed",
         "capture_statistics_by_zone": f"SELECT zone, year, {capture} GROUP BY zone, year",
+        "indicator_table_by_zone": f"SELECT zone, indicator, year, {stats}, 0 AS part, sites FROM indicators",
+        "sites_per_year_by_zone": "SELECT zone, year, n_sites, 0 AS part, sites FROM fullest",
+        "site_detail_by_zone": detail,
+        "relative_error_by_zone": f"SELECT zone, {_doubles(('true_reduction', 'simplified_reduction', 'relative_error'))} FROM error",
+        "site_count_comparison_by_zone": """SELECT t.zone, t.year, t.n_sites AS simplified_sites, e.n_sites AS true_sites
+            FROM target_rows t LEFT JOIN edges e ON t.year = e.year AND t.zone = e.zone""",
     }
     return {
         **{name: _query(select) for name, select in selects.items()},

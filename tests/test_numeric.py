@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from breathline.functions.numeric import half_up, quadrature, root_sum_of_squares, running_sum, sum_or_null
-from breathline.functions.series import window
+from breathline.functions.sql import window
 
 
 @pytest.mark.parametrize(
