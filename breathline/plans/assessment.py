@@ -124,7 +124,15 @@ class Assessment:
 
 def assess(readings: DataFrame, stations: DataFrame, rules: Rules) -> Assessment:
     """Plan an assessment of selected readings (``sources.select_readings``) and a station register."""
+    return assess_annual(op.annual_site_stats(readings, rules), stations, rules)
+
+
+def assess_annual(annual: DataFrame, stations: DataFrame, rules: Rules) -> Assessment:
+    """Plan an assessment from annual statistics per site.
+
+    Readings may carry a compact site key; the annual statistics, of which there are thousands of times fewer, are then
+    the place to put the names that the register uses.
+    """
     register = op.clean_stations(stations, rules)
-    annual = op.annual_site_stats(readings, rules)
     site_years = op.eligible_site_years(op.operational_site_years(annual, register, rules), rules)
     return Assessment(rules, register, site_years, op.indicator_profile(site_years, rules))
