@@ -37,10 +37,8 @@ from .members import (
     indicator_members,
     site_detail,
     site_lists,
-    sites_per_year,
     sites_to_include,
     split_sites,
-    with_site_lists,
 )
 from .stations import clean_stations, eligible_site_years, operational_site_years
 
@@ -75,12 +73,10 @@ __all__ = [
     "site_count_comparison",
     "site_detail",
     "site_lists",
-    "sites_per_year",
     "sites_to_include",
     "split_by_indicator",
     "split_sites",
     "summary_absolute",
     "summary_with_bounds",
     "turnover_change",
-    "with_site_lists",
 ]

@@ -20,9 +20,9 @@ SEPARATOR = "; "
 
 
 def indicator_members(site_years: DataFrame, indicators: DataFrame, rules: Rules) -> DataFrame:
-    """Distinct (indicator, year, site) of the rows in ``indicators`` (see ``indicators.indicator_table``).
+    """The rows of ``indicators`` (see ``indicators.indicator_table``), one for each distinct ``site`` behind them.
 
-    Joining the indicator rows last keeps only increment years that exist and brings ``n_sites`` along.
+    Joining the indicator rows last keeps only increment years that exist and brings their columns along.
     """
     keys = rules.keys(site_years)
     first, last = rules.base_window
@@ -35,12 +35,11 @@ def indicator_members(site_years: DataFrame, indicators: DataFrame, rules: Rules
         .select(*keys, F.expr(f"explode(array_compact(array({', '.join(labels)}))) AS indicator"), "year", "site")
         .dropDuplicates()
     )
-    on = [*keys, "indicator", "year"]
-    return members.join(cohorts.few_if_single(indicators.select(*on, "n_sites"), rules), on)
+    return members.join(cohorts.few_if_single(indicators, rules), [*keys, "indicator", "year"])
 
 
 def annual_members(site_years: DataFrame, yearly: DataFrame, rules: Rules) -> DataFrame:
-    """Distinct (year, site) behind the annual means of ``indicators.population_indicator`` without ``by``."""
+    """The rows of ``yearly`` (see ``indicators.population_indicator``), one for each distinct ``site`` behind them."""
     keys = rules.keys(site_years)
     members = (
         site_years.withColumn("_counted", F.expr(cohorts.not_superseded(cohorts.usable(rules), keys)))
@@ -48,29 +47,24 @@ def annual_members(site_years: DataFrame, yearly: DataFrame, rules: Rules) -> Da
         .select(*keys, "year", "site")
         .dropDuplicates()
     )
-    on = [*keys, "year"]
-    return members.join(cohorts.few_if_single(yearly.select(*on, "n_sites"), rules), on)
+    return members.join(cohorts.few_if_single(yearly, rules), [*keys, "year"])
 
 
-def site_lists(members: DataFrame, rules: Rules, by: list[str]) -> DataFrame:
-    """Sorted text lists of the sites in each ``by`` group, as columns ``part`` and ``sites``.
+def site_lists(members: DataFrame, rules: Rules) -> DataFrame:
+    """Members as sorted text lists: their other columns, once for each group, then ``part`` and ``sites``.
 
-    ``members`` carries ``n_sites`` of its group, from which the number of cells follows.
+    The number of cells follows from ``n_sites`` of the group.
     """
     cells = f"ceil(n_sites / {rules.sites_per_cell})"
     part = f"int(if({cells} > 1, pmod(xxhash64(site), {cells}), 0))"
+    group = [c for c in members.columns if c != "site"]
     return (
         members.withColumn("part", F.expr(part))
-        .groupBy(*by, "part")
+        .groupBy(*group, "part")
         .agg(F.array_join(F.array_sort(F.collect_set("site")), SEPARATOR).alias("sites"))
     )
 
 
-def with_site_lists(indicators: DataFrame, members: DataFrame, rules: Rules, by: list[str]) -> DataFrame:
-    """The indicator rows with their site lists; ``by`` are the columns that identify a row."""
-    return indicators.join(site_lists(members, rules, by), by)
-
-
 def split_sites(lists: DataFrame) -> DataFrame:
     """Inverse of :func:`site_lists`, for published tables: one row per name in ``sites``."""
     return lists.withColumn("site", F.explode(F.split("sites", r";\s*"))).drop("sites", "part")
@@ -87,18 +81,12 @@ def fullest_indicator(indicators: DataFrame, rules: Rules) -> DataFrame:
 
 
 def sites_to_include(site_years: DataFrame, indicators: DataFrame, rules: Rules) -> DataFrame:
-    """(year, n_sites, site): the sites behind the fullest indicator of each year."""
+    """(year, n_sites, site): the sites behind the fullest indicator of each year; :func:`site_lists` gives the text."""
     keys = rules.keys(site_years)
     members = indicator_members(site_years, fullest_indicator(indicators, rules), rules)
     return members.select(*keys, "year", "n_sites", "site")
 
 
-def sites_per_year(included: DataFrame, rules: Rules) -> DataFrame:
-    """The included sites as text: (year, n_sites, part, sites)."""
-    by = [*rules.keys(included), "year", "n_sites"]
-    return site_lists(included, rules, by).select(*by, "part", "sites")
-
-
 def site_detail(included: DataFrame, site_years: DataFrame, stations: DataFrame, rules: Rules) -> DataFrame:
     """Annual statistics and position of every included site and year.
 

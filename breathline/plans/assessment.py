@@ -59,7 +59,8 @@ class Assessment:
 
     @cached_property
     def members(self) -> DataFrame:
-        return op.indicator_members(self.site_years, self.indicators, self.rules)
+        members = op.indicator_members(self.site_years, self.indicators, self.rules)
+        return members.select(*self.rules.keys(members), "indicator", "year", "site")
 
     @cached_property
     def included(self) -> DataFrame:
@@ -81,8 +82,11 @@ class Assessment:
 
     def published_indicators(self) -> DataFrame:
         """The indicator table with its site lists."""
-        by = [*self.rules.keys(self.indicators), "indicator", "year"]
-        return op.with_site_lists(self.indicators, self.members, self.rules, by)
+        return op.site_lists(op.indicator_members(self.site_years, self.indicators, self.rules), self.rules)
+
+    def published_sites(self) -> DataFrame:
+        """The included sites of each year as lists."""
+        return op.site_lists(self.included, self.rules)
 
     def _published(self, df: DataFrame, headers: dict[str, str]) -> DataFrame:
         rounded = published.round_numbers(df).orderBy(*self.rules.keys(df), "year")
@@ -110,7 +114,7 @@ class Assessment:
         published.write_csv(done.published_indicators(), f"{tables}/indicator_data")
         published.write_tables(
             {
-                "sites_to_include": op.sites_per_year(done.included, done.rules),
+                "sites_to_include": done.published_sites(),
                 "site_data": done.site_detail,
                 "data_capture_statistics": published.with_headers(
                     done.capture_statistics, published.CAPTURE_HEADERS

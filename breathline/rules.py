@@ -76,6 +76,10 @@ class Rules:
     # most site names that one published text cell holds; longer lists continue in further rows
     sites_per_cell: int = 10_000
 
+    def __post_init__(self) -> None:
+        if self.cohort_years != self.indicator_years + 1:
+            raise ValueError("a cohort spans the years of two successive indicators: indicator_years + 1")
+
     def keys(self, df: DataFrame) -> list[str]:
         """Series columns that ``df`` has (readings may lack those that come with the stations)."""
         return [k for k in self.series if k in df.columns]

@@ -305,3 +305,8 @@ def test_series_are_independent(spark):
         close(found, {r.year: tuple(r)[1:] for r in alone.collect()})
     # without a base there is nothing to compare with
     assert {r.PEI for r in joint.where("zone = 'East'").collect()} <= {None}
+
+
+def test_cohort_and_indicator_lengths_belong_together():
+    with pytest.raises(ValueError, match="two successive indicators"):
+        Rules(cohort_years=5)

@@ -6,7 +6,7 @@ from frames import plan_of, rows_of
 
 import run
 from breathline.functions.lineage import materialise, shared_folder
-from breathline.operators import indicator_profile, reduction_summary
+from breathline.operators import annual_site_stats, indicator_profile, reduction_summary
 from breathline.plans import assess
 from breathline.plans.analysis import analyse, analyse_saved
 from breathline.sources import load_frame, load_site_years, read_stations, select_readings
@@ -152,3 +152,23 @@ def test_bucketed_site_years_do_not_move_at_all(spark, planned):
     profile = indicator_profile(df, SALES_RULES)
     assert "hashpartitioning(site" not in plan_of(profile)
     assert rows_of(round_numbers(profile, 9)) == rows_of(round_numbers(planned.profile, 9))
+
+
+def test_bucketed_readings_are_aggregated_and_laid_out_in_place(spark):
+    readings = select_readings(sales_readings(spark, DATA), SALES_RULES)
+    save_bucketed(readings, "readings_by_site", 4)
+    annual = annual_site_stats(spark.table("readings_by_site"), SALES_RULES)
+    assert exchanges(plan_of(annual)) == 0
+    assert rows_of(round_numbers(annual, 9)) == rows_of(round_numbers(annual_site_stats(readings, SALES_RULES), 9))
+
+
+def test_a_hot_site_is_condensed_before_the_shuffle(spark):
+    """One site holds a third of all readings; what is shuffled is a few rows per task all the same."""
+    readings = spark.range(0, 300_000, 1, 6).selectExpr(
+        "if(id % 3 = 0, 'hot', concat('s', id % 50)) AS site", "2019 AS year", "'Hourly' AS measurement", "1D AS value"
+    )
+    annual = annual_site_stats(readings, SALES_RULES)
+    assert annual.where("site = 'hot'").first().capture == pytest.approx(100_000 / (365 * 0.25) * 100)
+    # operators are listed bottom up: a partial aggregate, the exchange, the final one
+    details = plan_of(annual)
+    assert 0 < details.index("partial_avg(value") < details.index("Arguments: hashpartitioning(site")

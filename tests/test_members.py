@@ -14,10 +14,8 @@ from breathline.operators import (
     population_indicator,
     site_detail,
     site_lists,
-    sites_per_year,
     sites_to_include,
     split_sites,
-    with_site_lists,
 )
 from breathline.schemas import STATIONS
 
@@ -49,25 +47,25 @@ def test_most_sites_wins_and_ties_go_to_base_then_early_then_ri(spark):
 
 def test_lists_are_sorted_and_whole(spark):
     members = spark.createDataFrame([(2018, s, 3) for s in ("b", "A", "a")], "year INT, site STRING, n_sites BIGINT")
-    assert rows_of(site_lists(members, RULES, ["year"])) == [(2018, 0, "A; a; b")]
+    assert rows_of(site_lists(members, RULES)) == [(2018, 3, 0, "A; a; b")]
 
 
 def test_long_lists_continue_in_further_cells_and_lose_nothing(spark):
     members = spark.range(1000).selectExpr("2018 AS year", "concat('site ', id) AS site", "1000L AS n_sites")
     rules = replace(RULES, sites_per_cell=100)
-    lists = site_lists(members, rules, ["year"])
+    lists = site_lists(members, rules)
     cells = lists.collect()
     assert sorted(r.part for r in cells) == list(range(10))
     assert all(r.sites.split("; ") == sorted(r.sites.split("; ")) for r in cells)
     assert max(len(r.sites.split("; ")) for r in cells) < 2 * rules.sites_per_cell
-    assert rows_of(split_sites(lists)) == rows_of(members.select("year", "site"))
+    assert rows_of(split_sites(lists).select("year", "site")) == rows_of(members.select("year", "site"))
 
 
 def test_published_indicators_have_one_cell_each(spark):
     df = site_years(spark, random_rows(31))
     table = indicator_table(indicator_profile(df, RULES), RULES)
     members = indicator_members(df, table, RULES)
-    listed = with_site_lists(table, members, RULES, ["indicator", "year"])
+    listed = site_lists(members, RULES)
     assert listed.count() == table.count()
     assert rows_of(split_sites(listed).select("indicator", "year", "site")) == rows_of(
         members.select("indicator", "year", "site")
@@ -85,7 +83,7 @@ def test_sites_per_year_is_the_fullest_indicator(spark):
     df = site_years(spark, random_rows(33))
     table = indicator_table(indicator_profile(df, RULES), RULES)
     included = sites_to_include(df, table, RULES)
-    per_year = sites_per_year(included, RULES)
+    per_year = site_lists(included, RULES)
     assert rows_of(per_year.select("year", "n_sites")) == rows_of(fullest_indicator(table, RULES).select("year", "n_sites"))
     assert rows_of(split_sites(per_year).select("year", "site")) == rows_of(included.select("year", "site"))
 
