@@ -165,7 +165,7 @@ def test_bucketed_readings_are_aggregated_and_laid_out_in_place(spark):
 def test_a_hot_site_is_condensed_before_the_shuffle(spark):
     """One site holds a third of all readings; what is shuffled is a few rows per task all the same."""
     readings = spark.range(0, 300_000, 1, 6).selectExpr(
-        "if(id % 3 = 0, 'hot', concat('s', id % 50)) AS site", "2019 AS year", "'Hourly' AS measurement", "1D AS value"
+        "if(id % 3 = 0, 'hot', concat('s', id % 50)) AS site", "2019 AS year", "'Hourly' AS measurement", "double(id % 7) AS value"
     )
     annual = annual_site_stats(readings, SALES_RULES)
     assert annual.where("site = 'hot'").first().capture == pytest.approx(100_000 / (365 * 0.25) * 100)
