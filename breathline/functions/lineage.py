@@ -34,7 +34,8 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Several outputs can then start from it without repeating the scan of the readings.  A lost executor costs a
-    re-read of the table, and columns still prune, which a checkpoint of whole rows does not allow.
+    re-read of the table, and columns still prune, which a checkpoint of whole rows does not allow.  Like checkpoints,
+    the tables stay until the folder is cleaned up.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/breathline/{uuid.uuid4().hex}"

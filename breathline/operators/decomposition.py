@@ -21,7 +21,7 @@ IS_PEI = f"startswith(indicator, '{PEI}')"
 # unknown (at either end of the order) is not a duplicate
 IN_CORE = "(NOT is_duplicate_adjacent OR is_duplicate_adjacent IS NULL)"
 
-# Totals of the annual means of the base window, of the first years after it, and of the last years.
+# Totals of the annual means of the base window, of the first years after it, and of the last years (of any increment).
 COMPONENTS = {
     "PEI_base": IS_BASE,
     "PEI_base_plus_3": "indicator RLIKE '^RI'",

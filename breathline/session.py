@@ -12,7 +12,6 @@ SETTINGS = {
     # site-years are laid out by site; that layout also serves joins and windows on (site, measurement), (site, year)
     "spark.sql.requireAllClusterKeysForDistribution": "false",
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
-    "spark.sql.session.timeZone": "UTC",
 }
 
 

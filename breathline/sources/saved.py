@@ -22,6 +22,8 @@ def load_site_years(spark: SparkSession, path: str, series: tuple[str, ...] = ()
 
 
 def save_bucketed(df: DataFrame, table: str, buckets: int) -> None:
-    """Keep site-years as a catalog table bucketed and sorted by site: later jobs then need no shuffle at all to
-    apply the cohort and instrument rules, nor to join two such tables."""
+    """Keep readings or site-years as a catalog table bucketed and sorted by site.
+
+    Readings are then aggregated without a shuffle, and site-years pass the cohort and instrument rules without one.
+    """
     df.repartition(buckets, "site").write.mode("overwrite").bucketBy(buckets, "site").sortBy("site").saveAsTable(table)

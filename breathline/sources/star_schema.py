@@ -1,8 +1,9 @@
 """View a sales star schema as a monitoring network.
 
 Suppliers play the sites and shipped lines play the readings: the ship date is the time, the quantity the
-concentration.  A supplier has an hourly instrument, a daily one, or both, by its key; a zero discount (hourly) or
-zero tax (daily) marks a missing reading.  The readings need no join: a supplier's name is its formatted key.
+concentration.  A supplier has an hourly instrument, a daily one, or both, by its key, so every line gives one or two
+readings; a zero discount (hourly) or zero tax (daily) marks a missing one.  The readings need no join: a supplier's name
+is its formatted key.
 """
 
 from __future__ import annotations

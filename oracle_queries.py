@@ -6,6 +6,10 @@ filtered one by one), so agreement means something.
 
 from __future__ import annotations
 
+import re
+
+from breathline.sources.published import ABSOLUTE_HEADERS, BOUNDS_HEADERS
+
 THRESHOLD = 85
 
 
@@ -202,8 +206,6 @@ STATION = "site_type, zone, start_date, end_date, operational_all_year"
 
 def _needed(all_steps: dict[str, str], text: str) -> list[str]:
     """Steps that ``text`` builds on, in order."""
-    import re
-
     names = list(all_steps)
     found: set[str] = set()
     todo = [text]
@@ -236,8 +238,6 @@ def _published(columns: dict[str, str], source: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    from breathline.sources.published import ABSOLUTE_HEADERS, BOUNDS_HEADERS
-
     bounds_headers = {c: h.replace("2018", "1997") for c, h in BOUNDS_HEADERS.items()}
     absolute_headers = {c: h.replace("2018", "1997") for c, h in ABSOLUTE_HEADERS.items()}
     stats = f"{_doubles(('mean', 'se_total'))}, n_sites"

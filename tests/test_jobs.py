@@ -17,9 +17,13 @@ from breathline.sources.star_schema import SALES_RULES, sales_readings, sales_st
 DATA = "/root/testdata/sf0.001"
 
 
+def planned_readings(spark):
+    return select_readings(sales_readings(spark, DATA), SALES_RULES)
+
+
 @pytest.fixture(scope="module")
 def planned(spark):
-    return assess(select_readings(sales_readings(spark, DATA), SALES_RULES), sales_stations(spark, DATA), SALES_RULES)
+    return assess(planned_readings(spark), sales_stations(spark, DATA), SALES_RULES)
 
 
 @pytest.fixture(scope="module")
@@ -140,6 +144,17 @@ def test_summary_plan(spark, planned):
     assert len(moved) == 3  # annual groups, site-years, register
 
 
+def test_results_do_not_depend_on_the_settings(spark, planned):
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    with_settings = rows_of(round_numbers(planned.summary, 9))
+    try:
+        spark.conf.set(name, "true")
+        again = assess(planned_readings(spark), sales_stations(spark, DATA), SALES_RULES).summary
+        assert rows_of(round_numbers(again, 9)) == with_settings
+    finally:
+        spark.conf.set(name, "false")
+
+
 def test_saved_site_years_move_once(spark, published):
     site_years = load_site_years(spark, f"{published}/data/site_years")
     plan = plan_of(reduction_summary(indicator_profile(site_years, SALES_RULES), SALES_RULES))
@@ -155,7 +170,7 @@ def test_bucketed_site_years_do_not_move_at_all(spark, planned):
 
 
 def test_bucketed_readings_are_aggregated_and_laid_out_in_place(spark):
-    readings = select_readings(sales_readings(spark, DATA), SALES_RULES)
+    readings = planned_readings(spark)
     save_bucketed(readings, "readings_by_site", 4)
     annual = annual_site_stats(spark.table("readings_by_site"), SALES_RULES)
     assert exchanges(plan_of(annual)) == 0
@@ -165,7 +180,10 @@ def test_bucketed_readings_are_aggregated_and_laid_out_in_place(spark):
 def test_a_hot_site_is_condensed_before_the_shuffle(spark):
     """One site holds a third of all readings; what is shuffled is a few rows per task all the same."""
     readings = spark.range(0, 300_000, 1, 6).selectExpr(
-        "if(id % 3 = 0, 'hot', concat('s', id % 50)) AS site", "2019 AS year", "'Hourly' AS measurement", "double(id % 7) AS value"
+        "if(id % 3 = 0, 'hot', concat('s', id % 50)) AS site",
+        "2019 AS year",
+        "'Hourly' AS measurement",
+        "double(id % 7) AS value",
     )
     annual = annual_site_stats(readings, SALES_RULES)
     assert annual.where("site = 'hot'").first().capture == pytest.approx(100_000 / (365 * 0.25) * 100)
