@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import materialise
-from .text import LOWER_ALNUM, map_arrow, mapped, row_key, texts, words
+from .text import LOWER_ALNUM, keyed, map_arrow, mapped, row_key, texts, words
 
 SEGMENT = (
     "terms binary, counts binary, postings binary, first_position binary, n_words binary, doc_ids array<long>, "
@@ -269,6 +269,5 @@ def is_contaminated(share: int = 20) -> F.Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, share: int = 20, **options) -> DataFrame:
     """The documents less those that are contaminated; all columns stay."""
-    bad = find_contamination(docs, benchmark, **options).where(is_contaminated(share)).select("key").distinct()
-    keyed = docs.withColumn("_key", row_key("doc_id", "text"))
-    return keyed.join(bad, keyed["_key"] == bad["key"], "left_anti").drop("_key")
+    bad = find_contamination(docs, benchmark, **options).where(is_contaminated(share)).select("key.a", "key.b").distinct()
+    return keyed(docs, "doc_id", "text").join(bad, ["a", "b"], "left_anti").select("doc.*")

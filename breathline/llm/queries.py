@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lineage import new_path
-from . import contamination, packing, records
+from . import attention, contamination, language_model, licenses, packing, quality, records, secrets, simhash, urls
+from .text import id_remainder
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -33,6 +34,42 @@ def op1_token_records(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# The rules of the query on `pages`.
+URL_RULES = [
+    urls.Rule("block", "net", "/"),
+    urls.Rule("allow", "example.net", "/en/"),
+    urls.Rule("block", "example.com", "/de/"),
+    urls.Rule("allow", "org", "/fr/"),
+]
+
+
+def op2_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(table(spark, folder, "pages"), urls.rule_table(spark, URL_RULES))
+
+
+def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality.judge(table(spark, folder, "documents"), carry=["doc_id"])
+    return judged.select(
+        "doc.doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+        F.round("probability", 6).alias("probability"),
+    )
+
+
+def op4_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = id_remainder("doc_id", 10) == 0
+    scored = language_model.score(table(spark, folder, "documents"), held_out)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     packed = packing.pack(table(spark, folder, "documents"), tokenizer(), end_id=0, capacity=2048)
     return packed.select(
@@ -52,12 +89,72 @@ def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     )
 
 
+def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, folder, "documents"))
+    starts = "transform(places, p -> p.start)"
+    base, more = "transform(places, p -> p.label)", "transform(spans, s -> s.label)"
+    return found.selectExpr(
+        "doc_id",
+        "n_words",
+        "CAST(size(places) AS long) AS n_base",
+        f"array_min({starts}) AS first_word",
+        f"array_max({starts}) AS last_word",
+        f"array_join(array_sort(array_distinct({base})), ',') AS base_labels",
+        f"array_join(array_sort(array_distinct(concat({base}, {more}))), ',') AS labels",
+        "greatest(if(size(places) > 0, 1D, 0D), coalesce(array_max(transform(spans, s -> s.coverage)), 0D)) AS score",
+    )
+
+
+def op8_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, folder, "documents"), shingle=3, max_bits=3)
+    return found.select(
+        "doc_id",
+        F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"),
+        F.col("first.doc_id").alias("component_id"),
+    )
+
+
+def op9_attention_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    usable = labels.where(id_remainder("doc_id", 5) != 0).select("doc_id", F.col("quality").alias("label"))
+    options = attention.Options()
+    scored = attention.score_quality(docs, attention.train(docs, usable, options), options.passage_words)
+    return scored.select(
+        "doc_id",
+        (id_remainder("doc_id", 5) == 0).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
+    )
+
+
+def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scan_secrets(table(spark, folder, "documents"), carry=["doc_id"])
+    base = "filter(spans, s -> s.kind <> 'model')"
+
+    def listed(spans: str) -> str:
+        return f"array_join(transform({spans}, s -> concat(s.kind, ':', s.start, ':', s.end)), ',')"
+
+    return found.selectExpr(
+        "doc.doc_id",
+        *[f"CAST(size(filter(spans, s -> s.kind = '{k}')) AS long) AS n_{k}" for k in ("assign", "access", "hex")],
+        f"sha2({listed(base)}, 256) AS base_sha256",
+        f"{listed('spans')} AS spans",
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_records,
+        op2_url_rules,
+        op3_quality_rules,
+        op4_language_model,
         op5_best_fit_packing,
         op6_benchmark_decontamination,
+        op7_license_scan,
+        op8_simhash_near_duplicates,
+        op9_attention_quality,
+        op10_secret_scan,
     )
 }
 
@@ -66,6 +163,26 @@ _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefgh
 _ALNUM = rf"regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE_SQL = {
+    "op2_url_rules": """
+        WITH rules(host, path, verdict) AS (
+            VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'),
+                   ('org', '/fr/', 'allow')),
+        rests AS (
+            SELECT row_number() OVER () AS r, page_id,
+                   CASE WHEN contains(url, '://') THEN url[strpos(url, '://') + 3:] ELSE '' END AS rest FROM pages),
+        parts AS (
+            SELECT r, page_id, regexp_extract(rest, '^[^/?#]*') AS raw, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+            FROM rests),
+        hosts AS (
+            SELECT r, page_id, path,
+                   translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM parts),
+        best AS (
+            SELECT h.r, max_by(u.host || u.path, length(u.host || u.path)) AS rule,
+                   max_by(verdict, length(u.host || u.path)) AS verdict
+            FROM hosts h JOIN rules u
+                 ON (h.host = u.host OR ends_with(h.host, '.' || u.host)) AND starts_with(h.path, u.path)
+            GROUP BY h.r)
+        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM hosts LEFT JOIN best USING (r)""",
     "op6_benchmark_decontamination": f"""
         WITH item_words AS (SELECT item_id, {_ALNUM} AS w FROM benchmark),
         windows AS (

@@ -12,6 +12,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 # The separators of "words" in the two readings that the operators use.
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
@@ -67,18 +68,24 @@ def row_key(*columns: str) -> Column:
     return F.struct(F.xxhash64(*named, flags).alias("a"), F.xxhash64(F.lit("b"), *named, flags).alias("b"))
 
 
+def keyed(docs: DataFrame, *columns: str) -> DataFrame:
+    """``doc``, the whole row whatever its columns are called, and its content key as ``a`` and ``b``."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    return docs.select(whole, row_key(*columns).alias("key")).select("doc", "key.a", "key.b")
+
+
 def id_remainder(column: str, divisor: int) -> Column:
     """Remainder of the crc32 of an id as text, which splits rows at random but fixedly; a null id is an empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % divisor
 
 
-def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with columns cast to what the schema says.
 
     The function is unpickled inside the task, after the folder of this package is on the worker's path: workers of a local
     session start wherever the session did.  On a cluster the package is installed or shipped with ``--py-files``.
     """
-    target = df.sparkSession.createDataFrame([], schema).schema
+    target = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(target)
     packed, root = cloudpickle.dumps(function), str(Path(__file__).resolve().parents[2])
 

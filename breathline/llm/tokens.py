@@ -27,7 +27,7 @@ class Encoder:
     beyond their batch.  With ``by_chunk=False`` texts are encoded as they are, by any tokenizer.
     """
 
-    def __init__(self, path: str, by_chunk: bool = True, remembered: int = 800_000):
+    def __init__(self, path: str, by_chunk: bool = True, remembered: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
