@@ -23,7 +23,7 @@ RULES: dict[str, tuple[str, str]] = {
     "repeated_words": ("n_repeat_words <= 0.1 * n_words", "n_repeat_words >= 0.3 * n_words"),
     "repeated_lines": ("n_lines >= 3 AND n_dup_lines = 0", "n_dup_lines >= 0.2 * n_lines"),
     "capitals": ("n_capitals <= 0.08 * word_chars", "n_capitals >= 0.3 * word_chars"),
-    "word_length": ("word_chars BETWEEN 3 * n_words AND 9 * n_words", "word_chars NOT BETWEEN 2 * n_words AND 14 * n_words"),
+    "letters": ("n_alphanumeric >= 0.93 * word_chars", "n_alphanumeric <= 0.9 * word_chars"),
     "sentences": ("n_stops BETWEEN 0.02 * n_words AND 0.3 * n_words", "n_stops > 0.5 * n_words"),
     "exclamations": ("n_exclamations <= 0.02 * n_words", "n_exclamations >= 0.2 * n_words"),
     "variety": ("n_distinct >= 0.45 * n_words", "n_distinct <= 0.25 * n_words"),
@@ -53,12 +53,13 @@ def measured(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
         _count("text", SYMBOLS),
         "size(lines) - size(array_distinct(lines))",
         "size(lines)",
+        "length(regexp_replace(text, r'[^\\p{L}\\p{N}]+', ''))",
         "length(regexp_replace(text, r'[^\\p{Lu}]+', ''))",
         _count("text", "!"),
         _count("text", ".") + " + " + _count("text", "!") + " + " + _count("text", "?"),
         "size(array_distinct(words))",
     ]
-    names = "n_words word_chars n_symbols n_dup_lines n_lines n_capitals n_exclamations n_stops n_distinct".split()
+    names = "n_words word_chars n_symbols n_dup_lines n_lines n_alphanumeric n_capitals n_exclamations n_stops n_distinct".split()
     windows = "struct(xxhash64(get(words, i), get(words, i + 1), get(words, i + 2)) AS h, i AS i)"
     same = "coalesce(w.h = get(windows, j - 1).h, false) OR coalesce(w.h = get(windows, j + 1).h, false)"
     return (
@@ -87,7 +88,7 @@ def measured(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
 # often one on a bad document is against it.  There are many ways to be bad and a document shows few of them, so rules start
 # with seeing a quarter; and a vote against is trusted: whatever the votes of others, no rule is taken to be wrong about
 # more than one good document in TRUSTED, else frequent junk of one kind would pass for good.
-TRUSTED = 20
+TRUSTED = 50
 _START = "named_struct('prior', 0.8D, 'good', array_repeat(0.99D, {k}), 'bad', array_repeat(0.25D, {k}))"
 _GOOD = (
     "m.prior * aggregate(sequence(0, {k} - 1), 1D, (z, j) ->"
