@@ -1,0 +1,253 @@
+import math
+import random
+import re
+from collections import Counter
+from zlib import crc32
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+from samples import LONG, ODD, documents, prose, rows_of
+
+from breathline.llm import attention, language_model, secrets
+from breathline.llm.text import id_remainder, texts
+
+A_TO_Z = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+SMALL = language_model.Options(classes=4, members=8, endings=12, pair_rows=64, word_rows=256, trainers=2, rounds=2)
+
+
+def numeric_gradient(loss, array, index, step=1e-4):
+    kept = array[index]
+    array[index] = kept + step
+    up = loss()
+    array[index] = kept - step
+    down = loss()
+    array[index] = kept
+    return (up - down) / (2 * step)
+
+
+# language model --------------------------------------------------------------------------------------------------
+
+
+def tokens_of(text):
+    return [w for w in re.split(r"[\x20\x09-\x0D]+", (text or "").translate(A_TO_Z)) if w] + [None]
+
+
+def held(doc_id):
+    return crc32(str("" if doc_id is None else doc_id).encode()) % 10 == 0
+
+
+def test_unigrams_against_plain_counts(spark):
+    rows = ODD + [(100 + i, t) for i, t in enumerate(prose(60, words=40, vocabulary=90))]
+    count = Counter(w for i, t in rows if not held(i) for w in tokens_of(t))
+    n, v = sum(count.values()), len(count)
+    docs = documents(spark, rows).repartition(3)
+    found = language_model.score(docs, id_remainder("doc_id", 10) == 0, SMALL)
+    got = rows_of(found.select("doc_id", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3)))
+    wanted = []
+    for i, t in rows:
+        w = tokens_of(t)
+        base = sum(math.log10((count[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)
+        wanted.append((i, len(w), sum(count[x] > 0 for x in w), n, round(base, 3)))
+    assert [r[:4] for r in got] == [r[:4] for r in sorted(wanted, key=repr)]
+    for a, b in zip(got, sorted(wanted, key=repr)):
+        assert a[4] == pytest.approx(b[4], abs=2e-3)
+    assert all(r.score < 0 and math.isfinite(r.score) for r in found.collect())
+    assert len(LONG) > 100_000
+
+
+def test_no_training_texts(spark):
+    docs = documents(spark, [(1, "a b"), (2, None)])
+    found = language_model.score(docs, F.lit(True), SMALL)
+    assert rows_of(found.select("doc_id", "n_tokens", "n_known", "train_tokens", "base_score")) == [(1, 3, 0, 0, 0.0), (2, 1, 0, 0, 0.0)]
+    assert language_model.score(documents(spark, []), F.lit(True), SMALL).count() == 0
+
+
+def test_member_probabilities_add_up():
+    rng = np.random.default_rng(0)
+    model = language_model.MaxEnt(SMALL, rng.permutation(32), rng.integers(0, 50, 32))
+    model.table += rng.normal(0, 1, model.table.shape).astype(np.float32)
+    for context in rng.integers(0, 32, (20, 3)):
+        total = sum(
+            10 ** model.log10(np.array([*context, m]), np.array([4]))[-1] for m in range(32)
+        )
+        assert total == pytest.approx(1, abs=1e-5)
+
+
+def test_context_stays_within_a_text():
+    members, lengths = np.arange(1, 10), np.array([4, 1, 0, 4])
+    assert language_model.before(members, lengths, 1).tolist() == [0, 1, 2, 3, 0, 0, 6, 7, 8]
+    assert language_model.before(members, lengths, 3).tolist() == [0, 0, 0, 1, 0, 0, 0, 0, 6]
+
+
+def test_numbers_survive_squeezing():
+    for values in (np.zeros(0, int), np.arange(300_000), np.array([2**32 - 1, 0, 7])):
+        assert language_model.unsqueezed(language_model.squeezed(values)).tolist() == values.tolist()
+
+
+def test_context_helps_on_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = language_model.score(docs, id_remainder("doc_id", 10) == 0)
+    total = found.join(docs.select("doc_id"), "doc_id").where(id_remainder("doc_id", 10) == 0)
+    base, model = total.agg(F.sum("base_score"), F.sum("score")).first()
+    assert model > 0.95 * base
+
+
+# attention -------------------------------------------------------------------------------------------------------
+
+
+def test_gradients_of_attention():
+    rng = np.random.default_rng(3)
+    model = attention.AttentionModel(attention.Options(hidden=5, attention=3))
+    model.p = {k: v.astype(float) for k, v in model.p.items()}
+    x, bag, wanted = rng.normal(0, 1, (9, attention.FEATURES)), np.array([0, 1, 5, 9]), np.array([1.0, 0.0, 1.0])
+
+    def loss():
+        z = model._forward(x, bag)[0]
+        return float(np.mean(np.log1p(np.exp(z)) - wanted * z))
+
+    found = model._gradients(x, bag, wanted)
+    for name, array in model.p.items():
+        for _ in range(6):
+            index = tuple(rng.integers(0, n) for n in array.shape)
+            assert found[name][index] == pytest.approx(numeric_gradient(loss, array, index), rel=1e-3, abs=1e-6)
+
+
+def test_passages_do_not_depend_on_neighbours():
+    given = [None, "", "  ", "a b c", LONG, "Ä ö\n\nü!", "x " * 129, " führend", "a b c"]
+    x, bag = attention.passage_features(texts(pa.array(given)), 64)
+    assert np.diff(bag).tolist() == [max(1, -(-len((t or "").split()) // 64)) for t in given]
+    for i, t in enumerate(given):
+        own, _ = attention.passage_features(texts(pa.array([t])), 64)
+        # three bytes that reach into the next text may differ at the very end
+        assert np.abs(x[bag[i] : bag[i + 1]] - own).max() <= 2 / max(1, len((t or "").strip()))
+    assert np.isfinite(x).all()
+    assert attention.passage_features(texts(pa.array([], pa.string())), 64)[0].shape == (0, attention.FEATURES)
+
+
+def test_quality_on_held_out_documents(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    usable = labels.where(id_remainder("doc_id", 5) != 0).select("doc_id", F.col("quality").alias("label"))
+    model = attention.train(docs, usable)
+    rows = attention.score_quality(docs, model).where(id_remainder("doc_id", 5) == 0).join(labels, "doc_id").collect()
+    good, bad = [r.score for r in rows if r.quality == 1], [r.score for r in rows if r.quality == 0]
+    auc = np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad])
+    assert auc > 0.9
+    weights = model.attention(*attention.passage_features(texts(pa.array(["ab. " * 200, "x"])), 64))
+    assert weights.sum() == pytest.approx(2, abs=1e-5)
+
+
+def test_labels_that_teach_nothing(spark):
+    docs = documents(spark, ODD)
+    none = spark.createDataFrame([], "doc_id long, label int")
+    assert attention.train(docs, none) == 0.5
+    same = spark.createDataFrame([(5, 1), (7, 1), (None, 0), (8, None), (9, 0), (9, 1)], "doc_id long, label int")
+    assert attention.train(docs, same) == 1.0
+    assert rows_of(attention.score_quality(docs, 1.0)) == sorted([(i, 1.0) for i, _ in ODD], key=repr)
+    mixed = spark.createDataFrame([(5, 1), (7, 0)], "doc_id long, label int")
+    scored = attention.score_quality(docs, attention.train(docs, mixed))
+    assert scored.count() == len(ODD) and scored.where("score BETWEEN 0 AND 1").count() == len(ODD)
+    assert attention.score_quality(documents(spark, []), 1.0).count() == 0
+
+
+# secrets ---------------------------------------------------------------------------------------------------------
+
+
+def plain_spans(text):
+    """The patterns as they are defined, without any short cut."""
+    name = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in "{}")
+    names = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in n) for n in ("password", "passwd", "secret", "token", "api_?key"))
+    found = [
+        (m.start(), "assign", m.end())
+        for m in re.finditer(rf"""({names})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text)
+        if len(m[2]) >= 12
+    ]
+    found += [(m.start(), "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    found += [(m.start(), "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    order = ("assign", "access", "hex")
+    assert name is not None
+    return sorted(found, key=lambda s: (s[0], order.index(s[1]), s[2]))
+
+
+def with_secrets(n, seed=0):
+    rng = random.Random(seed)
+    out = []
+    for i, text in enumerate(prose(n, seed, 60)):
+        value = "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([9, 11, 12, 15, 16, 40])))
+        upper = "".join(rng.choice("ABCDEFGHIJ0123456789") for _ in range(rng.choice([13, 14, 16])))
+        pattern = rng.choice(
+            ['token = "{v}"', "PassWord:{v}", "api_key='{v}", "apikey {v}", "AKIA{u}", "AKIAAKIA{u}", "tokenſ={v}", "toKen={v}",
+             "secret: token={v}", "token=secret={v}", "{v}", "ref {u}{v}", "é {v} 漢 AKIA{u}"]
+        )
+        k = rng.randrange(len(text))
+        out.append((1000 + i, text[:k] + " " + pattern.format(v=value, u=upper) + rng.choice(["", " ", "ü"]) + text[k:]))
+    return out
+
+
+def test_patterns_against_their_definition(spark):
+    rows = ODD + with_secrets(250)
+    found = secrets.scan_secrets(documents(spark, rows))
+    got = [(r.doc.doc_id, r.doc.a, [(s.start, s.kind, s.end) for s in r.spans if s.kind != "model"]) for r in found.collect()]
+    assert sorted(got, key=repr) == sorted([(i, "a", plain_spans(t or "")) for i, t in rows], key=repr)
+    for r in found.collect():
+        assert [s.start for s in r.spans] == sorted(s.start for s in r.spans)
+        base = [(s.start, s.end) for s in r.spans if s.kind != "model"]
+        assert all(s.end <= a or s.start >= b for s in r.spans if s.kind == "model" for a, b in base)
+
+
+def test_redaction(spark):
+    rows = ODD + with_secrets(120, 3)
+    docs = documents(spark, rows)
+    found = {}
+    for r in secrets.scan_secrets(docs).collect():
+        text, done, last = r.doc.text or "", "", 0
+        for s in r.spans:
+            if s.start >= last:
+                done, last = done + text[last : s.start] + "[secret]", s.end
+            last = max(last, s.end)
+        found.setdefault((r.doc.doc_id, r.doc.text), done + text[last:] if r.doc.text is not None else None)
+    cleaned = secrets.redact(docs)
+    assert cleaned.schema == docs.schema
+    wanted = sorted([(i, found[i, t], len(found[i, t]) if t is not None else None) for i, t in rows], key=repr)
+    assert rows_of(cleaned.select("doc_id", "text", "n_chars")) == wanted
+    assert secrets.redact(documents(spark, [])).count() == 0
+
+
+def test_gradients_of_the_network():
+    rng = np.random.default_rng(5)
+    network = secrets.CharNetwork(secrets.Options(embedding=3, filters=4))
+    windows = [("ab token=x1y2 c", 9, 13), ("zz", 0, 2), ("längeres Stück 99ff", 15, 19)]
+    codes, inside = network._padded(windows)
+    wanted = np.array([1.0, 0.0, 1.0])
+
+    def loss():
+        z = network._forward(codes, inside)[0]
+        return float(np.mean(np.log1p(np.exp(z)) - wanted * z))
+
+    found = network._gradients(codes, inside, wanted)
+    for name, array in network.p.items():
+        for _ in range(8):
+            index = tuple(rng.integers(0, n) for n in array.shape)
+            if name == "embed" and index[0] == secrets._PAD:
+                continue
+            assert found[name][index] == pytest.approx(numeric_gradient(loss, array, index, 1e-6), rel=1e-3, abs=1e-6)
+
+
+def test_windows_of_any_length_score_alike():
+    network = secrets.CharNetwork(secrets.Options())
+    windows = [("k" * n + "1", 0, n + 1) for n in (1, 30, 500, 20_000)] * 2
+    together = network.logits(windows)
+    assert together == pytest.approx([network.logits([w])[0] for w in windows])
+
+
+def test_network_tells_known_findings_apart():
+    rng = random.Random(1)
+    secret = [("key: " + "".join(rng.choice("0123456789abcdef") for _ in range(32)), 5, 37) for _ in range(200)]
+    other = [("bei " + "-".join(rng.choice(["eins", "zwei", "drei"]) for _ in range(5)) + "7", 4, 20) for _ in range(200)]
+    network = secrets.CharNetwork(secrets.Options(epochs=6))
+    network.fit(secret + other, np.array([1.0] * 200 + [0.0] * 200))
+    p = network.probability(network.logits(secret + other))
+    assert (p[:200] >= network.thresholds["hex"]).mean() >= 0.98
+    assert (p[200:] >= network.thresholds["mixed"]).mean() <= 0.02
