@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import map_arrow, texts
+from .text import map_arrow, slices, texts
 
 # Classes of bytes; what stands between words comes first, bytes of longer characters count as letters.
 _CLASSES = ("space", "newline", "lower", "upper", "digit", "stop", "symbol", "other")
@@ -34,7 +34,7 @@ def _byte_class(b: int) -> int:
 _CLASS = np.array([_byte_class(b) for b in range(256)], np.int64)
 _SHAPES = len(_CLASSES) ** 3
 # besides shapes: shares of words equal to one of the four words before, word length, characters, words, newlines
-_EXTRA = 9
+_EXTRA = 8
 FEATURES = _SHAPES + _EXTRA
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -82,9 +82,10 @@ def passage_features(column: pa.LargeStringArray, passage_words: int) -> tuple[n
     passage = bag[document] + (np.arange(len(start)) - word_begin[document]) // passage_words
     # a byte belongs to the word that began last; those before a text's first word are left out
     word = np.cumsum(first) - 1
-    owned = word >= word_begin[np.repeat(np.arange(n), np.diff(offsets))]
+    text = np.repeat(np.arange(n), np.diff(offsets))
+    owned = word >= word_begin[text]
     code = kind[:-2] * 64 + kind[1:-1] * 8 + kind[2:] if len(kind) > 2 else np.zeros(0, np.int64)
-    at = np.flatnonzero(owned[: len(code)])
+    at = np.flatnonzero(owned[: len(code)] & (text[: len(code)] == text[2:]))
     cell = passage[word[at]] * _SHAPES + code[at]
     shapes = np.bincount(cell, minlength=total * _SHAPES).reshape(total, _SHAPES).astype(np.float32)
     size = np.bincount(passage[word[owned]], minlength=total)
@@ -106,7 +107,6 @@ def passage_features(column: pa.LargeStringArray, passage_words: int) -> tuple[n
     extra[:, 5] = np.bincount(passage, weights=length > 14, minlength=total) / words_in
     extra[:, 6] = np.log1p(np.bincount(passage, minlength=total)) / 4
     extra[:, 7] = np.bincount(passage[word[owned & (kind == 1)]], minlength=total) / words_in
-    extra[:, 8] = 1
     return np.concatenate([shapes, extra], axis=1), bag
 
 
@@ -188,18 +188,6 @@ class AttentionModel:
                     self.p[k] = (self.p[k] - rate * mean[k] / (np.sqrt(square[k]) + 1e-8)).astype(np.float32)
 
 
-def _slices(column: pa.LargeStringArray, limit: int = 4 << 20) -> Iterator[pa.LargeStringArray]:
-    """Stretches of a column of about ``limit`` bytes, each at least one text."""
-    if not len(column):
-        return
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    begin = 0
-    while begin < len(column):
-        end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + limit, side="right")) - 1)
-        yield column.slice(begin, end - begin)
-        begin = end
-
-
 def train(docs: DataFrame, labels: DataFrame, options: Options = Options()) -> AttentionModel | float:
     """The model, from at most ``options.sample`` of the ``labels`` (``doc_id``, ``label`` 0 or 1), the first in a fixed
     random order; or, where these are all alike or none, the share of 1 (a half of none).
@@ -223,9 +211,11 @@ def train(docs: DataFrame, labels: DataFrame, options: Options = Options()) -> A
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, bag = passage_features(texts(batch.column("text")), options.passage_words)
-            x = x.astype(np.float16)
-            data = [x[a:b].tobytes() for a, b in zip(bag, bag[1:])]
+            data = []
+            for part in slices(texts(batch.column("text"))):
+                x, bag = passage_features(part, options.passage_words)
+                x = x.astype(np.float16)
+                data += [x[a:b].tobytes() for a, b in zip(bag, bag[1:])]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("label"), pa.array(data, pa.binary())], names=["doc_id", "label", "x"]
             )
@@ -251,7 +241,7 @@ def score_quality(docs: DataFrame, model: AttentionModel | float, passage_words:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = [np.zeros(0)]
-            for part in _slices(texts(batch.column("text"))):
+            for part in slices(texts(batch.column("text"))):
                 if isinstance(shared.value, float):
                     scores.append(np.full(len(part), shared.value))
                 else:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import materialise
-from .text import LOWER_ALNUM, keyed, map_arrow, mapped, row_key, texts, words
+from .text import LOWER_ALNUM, keyed, map_arrow, mapped, row_key, slices, texts, words
 
 SEGMENT = (
     "terms binary, counts binary, postings binary, first_position binary, n_words binary, doc_ids array<long>, "
@@ -60,7 +60,7 @@ def _held(values: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
 
 
 def build_index(docs: DataFrame, vocabulary: pa.LargeStringArray, gap: int) -> DataFrame:
-    """One row, a segment, per Arrow batch of documents: for every term of the vocabulary that occurs, the sorted positions
+    """One row, a segment, per some megabytes of documents: for every term of the vocabulary that occurs, the sorted positions
     at which it does.
 
     A position counts words through all documents of the segment, with ``gap`` unused positions after each document, so no
@@ -70,32 +70,38 @@ def build_index(docs: DataFrame, vocabulary: pa.LargeStringArray, gap: int) -> D
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, begins = words(mapped(texts(batch.column("text")), LOWER_ALNUM))
-            n_words = np.diff(begins)
-            first = begins[:-1] + gap * np.arange(len(n_words))
-            term = pc.index_in(flat, value_set=shared.value)
-            known = np.flatnonzero(term.is_valid().to_numpy(zero_copy_only=False))
-            term = term.drop_null().to_numpy(zero_copy_only=False)
-            position = known + gap * (np.searchsorted(begins, known, side="right") - 1)
-            order = np.argsort(term, kind="stable")
-            term, position = term[order], position[order]
-            terms, at, counts = np.unique(term, return_index=True, return_counts=True)
-            steps = np.diff(position, prepend=0)
-            steps[at] = position[at]
-            columns = [
-                *(pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (terms, counts, steps, first, n_words)),
-                *(pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(c)) for c in ("doc_id", "key")),
-            ]
-            yield pa.RecordBatch.from_arrays(
-                columns, names=["terms", "counts", "postings", "first_position", "n_words", "doc_ids", "keys"]
-            )
-
-    keyed = docs.select(
+            done = 0
+            for part in slices(texts(batch.column("text")), 16 << 20):
+                yield segment(part, *(batch.column(c).slice(done, len(part)) for c in ("doc_id", "key")))
+                done += len(part)
+
+    def segment(column: pa.LargeStringArray, *names: pa.Array) -> pa.RecordBatch:
+        flat, begins = words(mapped(column, LOWER_ALNUM))
+        n_words = np.diff(begins)
+        first = begins[:-1] + gap * np.arange(len(n_words))
+        term = pc.index_in(flat, value_set=shared.value)
+        known = np.flatnonzero(term.is_valid().to_numpy(zero_copy_only=False))
+        term = term.drop_null().to_numpy(zero_copy_only=False)
+        position = known + gap * (np.searchsorted(begins, known, side="right") - 1)
+        order = np.argsort(term, kind="stable")
+        term, position = term[order], position[order]
+        terms, at, counts = np.unique(term, return_index=True, return_counts=True)
+        steps = np.diff(position, prepend=0)
+        steps[at] = position[at]
+        columns = [
+            *(pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (terms, counts, steps, first, n_words)),
+            *(pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), c) for c in names),
+        ]
+        return pa.RecordBatch.from_arrays(
+            columns, names=["terms", "counts", "postings", "first_position", "n_words", "doc_ids", "keys"]
+        )
+
+    given = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         row_key("doc_id", "text").alias("key"),
         F.col("text").cast("string").alias("text"),
     )
-    return map_arrow(keyed, build, SEGMENT)
+    return map_arrow(given, build, SEGMENT)
 
 
 class Segment:

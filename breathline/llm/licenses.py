@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import LOWER_ALNUM, map_arrow, mapped, texts, words
+from .text import LOWER_ALNUM, map_arrow, mapped, slices, texts, words
 
 # Phrases that name a licence.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -204,6 +205,12 @@ class Scanner:
         ]
 
 
+@lru_cache(maxsize=4)
+def own_scanner(phrases, templates, min_match: int, max_gap: int) -> Scanner:
+    """The scanner of a Python worker, kept from task to task."""
+    return Scanner(phrases, templates, min_match, max_gap)
+
+
 def scan_licenses(
     docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, min_match: int = 3, max_gap: int = 8, coverage: float = 0.6
 ) -> DataFrame:
@@ -217,39 +224,44 @@ def scan_licenses(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(phrases, templates, min_match, max_gap)
-        vocabulary = pa.array(scanner.vocabulary, pa.large_string())
         for batch in batches:
-            flat, begins = words(mapped(texts(batch.column("text")), LOWER_ALNUM))
-            term = pc.index_in(flat, value_set=vocabulary).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-            n = len(begins) - 1
-            runs = scanner.runs(term, begins)
-            owner = np.searchsorted(begins, runs[:, 0], side="right") - 1
-            places: list[list[dict]] = [[] for _ in range(n)]
-            matches: dict[int, list[list[Match]]] = {}
-            for d, (a, b) in zip(owner.tolist(), runs.tolist()):
-                own = matches.setdefault(d, [[] for _ in scanner.labels])
-                scanner.scan(term[a:b].tolist(), a - int(begins[d]), places[d], own)
-            spans: list[list[dict]] = [[] for _ in range(n)]
-            for d, by_template in matches.items():
-                for t, some in enumerate(by_template[scanner.n_phrases :], scanner.n_phrases):
-                    spans[d] += [s for s in scanner.chained(t, some) if s["coverage"] >= coverage]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array(np.diff(begins).astype(np.int64)),
-                    pa.array(places, pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64())]))),
-                    pa.array(
-                        spans,
-                        pa.list_(
-                            pa.struct(
-                                [("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("coverage", pa.float64())]
-                            )
-                        ),
+            done = 0
+            for part in slices(texts(batch.column("text")), 8 << 20):
+                yield found_in(part, batch.column("doc_id").slice(done, len(part)))
+                done += len(part)
+
+    def found_in(column: pa.LargeStringArray, doc_ids: pa.Array) -> pa.RecordBatch:
+        scanner = own_scanner(phrases, templates, min_match, max_gap)
+        flat, begins = words(mapped(column, LOWER_ALNUM))
+        term = pc.index_in(flat, value_set=pa.array(scanner.vocabulary, pa.large_string())).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        n = len(begins) - 1
+        runs = scanner.runs(term, begins)
+        owner = np.searchsorted(begins, runs[:, 0], side="right") - 1
+        places: list[list[dict]] = [[] for _ in range(n)]
+        matches: dict[int, list[list[Match]]] = {}
+        for d, (a, b) in zip(owner.tolist(), runs.tolist()):
+            own = matches.setdefault(d, [[] for _ in scanner.labels])
+            scanner.scan(term[a:b].tolist(), a - int(begins[d]), places[d], own)
+        spans: list[list[dict]] = [[] for _ in range(n)]
+        for d, by_template in matches.items():
+            for t, some in enumerate(by_template[scanner.n_phrases :], scanner.n_phrases):
+                spans[d] += [s for s in scanner.chained(t, some) if s["coverage"] >= coverage]
+        return pa.RecordBatch.from_arrays(
+            [
+                doc_ids,
+                pa.array(np.diff(begins).astype(np.int64)),
+                pa.array(places, pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64())]))),
+                pa.array(
+                    spans,
+                    pa.list_(
+                        pa.struct(
+                            [("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("coverage", pa.float64())]
+                        )
                     ),
-                ],
-                names=["doc_id", "n_words", "places", "spans"],
-            )
+                ),
+            ],
+            names=["doc_id", "n_words", "places", "spans"],
+        )
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return map_arrow(given, run, FOUND)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import materialise
-from .text import LOWER_CASE, keyed, map_arrow, mapped, row_key, texts, words
+from .text import LOWER_CASE, keyed, map_arrow, mapped, row_key, slices, texts, words
 
 BITS = 64
 HASH_SEED = 42
@@ -45,6 +45,7 @@ def majority_bits(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def batch_fingerprints(column: pa.LargeStringArray, shingle: int) -> np.ndarray:
+    """Fingerprints of all texts of a column."""
     flat, begins = words(mapped(column, LOWER_CASE))
     n_words = np.diff(begins)
     counts = np.where(n_words == 0, 0, np.maximum(n_words - shingle + 1, 1))
@@ -72,7 +73,8 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = batch_fingerprints(texts(batch.column("text")), shingle)
+            parts = [batch_fingerprints(part, shingle) for part in slices(texts(batch.column("text")), 2 << 20)]
+            prints = np.concatenate([np.zeros(0, np.uint64), *parts])
             columns = [*(batch.column(c) for c in ("doc_id", "a", "b")), pa.array(prints.view(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "a", "b", "fingerprint"])
 

@@ -39,9 +39,26 @@ def texts(column: pa.Array | pa.ChunkedArray) -> pa.LargeStringArray:
 
 def mapped(column: pa.LargeStringArray, table: bytes) -> pa.LargeStringArray:
     """Each byte replaced by the table's; lengths stay."""
-    _, offsets, data = column.buffers()
-    data = pa.py_buffer(data.to_pybytes().translate(table)) if data is not None else pa.py_buffer(b"")
-    return pa.LargeStringArray.from_buffers(len(column), offsets, data, None, 0, column.offset)
+    if not len(column):
+        return column
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = (column.buffers()[2] or pa.py_buffer(b""))[offsets[0] : offsets[-1]].to_pybytes().translate(table)
+    return pa.LargeStringArray.from_buffers(len(column), pa.py_buffer((offsets - offsets[0]).tobytes()), pa.py_buffer(data))
+
+
+def slices(column: pa.LargeStringArray, limit: int = 4 << 20) -> Iterator[pa.LargeStringArray]:
+    """Stretches of a column of about ``limit`` bytes, each at least one text.
+
+    What is worked out per character or word takes many times the space of a text, so it is done for some texts at a time.
+    """
+    if not len(column):
+        return
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    begin = 0
+    while begin < len(column):
+        end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + limit, side="right")) - 1)
+        yield column.slice(begin, end - begin)
+        begin = end
 
 
 def words(column: pa.LargeStringArray) -> tuple[pa.LargeStringArray, np.ndarray]:

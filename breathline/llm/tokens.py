@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .text import gathered, words
+from .text import gathered, slices, words
 
 # One run of letters that normalisation leaves as they are but for case, then punctuation that starts no contraction.
 # Such a chunk is tokenized as the letters, then the punctuation.
@@ -85,6 +85,15 @@ class Encoder:
 
     def encode(self, column: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and where each text's begin (one more at the end)."""
+        ids, begins, total = [np.zeros(0, ID)], [np.zeros(1, np.int64)], 0
+        for part in slices(column, 8 << 20):
+            own, at = self._encode(part)
+            ids.append(own)
+            begins.append(at[1:] + total)
+            total += len(own)
+        return np.concatenate(ids), np.concatenate(begins)
+
+    def _encode(self, column: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
         if not self.by_chunk:
             parts = self._whole(column.to_pylist())
             begins = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int64)
