@@ -9,22 +9,26 @@ from .change import (
     summary_absolute,
     summary_with_bounds,
 )
-from .cohorts import cohort_members, prefer_hourly
+from .cohorts import cohort_members, prefer_hourly, with_counting_flags
 from .decomposition import (
     core_reduction,
     decomposed_reduction,
     edge_rows,
     relative_error,
+    simplified_of_site_years,
     simplified_reduction,
     simplified_years,
     site_count_comparison,
     turnover_change,
 )
 from .indicators import (
+    BASE_LABEL,
     annual_indicator,
     base_indicator,
+    base_of_site_years,
     base_summary,
     increment_indicators,
+    indicator_order,
     indicator_profile,
     indicator_table,
     population_indicator,
@@ -36,17 +40,18 @@ from .members import (
     fullest_indicator,
     indicator_members,
     site_detail,
-    site_lists,
     sites_to_include,
-    split_sites,
+    split_list,
 )
 from .stations import clean_stations, eligible_site_years, operational_site_years
 
 __all__ = [
+    "BASE_LABEL",
     "annual_indicator",
     "annual_members",
     "annual_site_stats",
     "base_indicator",
+    "base_of_site_years",
     "base_summary",
     "capture_statistics",
     "clean_stations",
@@ -61,6 +66,7 @@ __all__ = [
     "increment_deltas",
     "increment_indicators",
     "indicator_members",
+    "indicator_order",
     "indicator_profile",
     "indicator_table",
     "operational_site_years",
@@ -68,15 +74,16 @@ __all__ = [
     "prefer_hourly",
     "reduction_summary",
     "relative_error",
+    "simplified_of_site_years",
     "simplified_reduction",
     "simplified_years",
     "site_count_comparison",
     "site_detail",
-    "site_lists",
     "sites_to_include",
     "split_by_indicator",
-    "split_sites",
+    "split_list",
     "summary_absolute",
     "summary_with_bounds",
     "turnover_change",
+    "with_counting_flags",
 ]

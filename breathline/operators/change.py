@@ -68,15 +68,19 @@ def cumulative_change(deltas: DataFrame, rules: Rules) -> DataFrame:
 def reduction_summary(profile: DataFrame, rules: Rules) -> DataFrame:
     """Per year: indicator, increment, cumulative change and percent change against the base, with standard errors.
 
-    The first row is the base year, without changes.  The base value travels to the later rows of its series by a
-    window, not by a join.
+    The first row is the base year, without changes; a series without data in the base window has it too, with no value and
+    error 0.  The base value travels to the later rows of its series by a window, not by a join.
     """
     keys = rules.keys(profile)
     is_base, at_base = f"kind = '{ALONE}'", f"year = {rules.base_year}"
     base_mean, base_error = three_year_mean(rules, is_base)
     means = (
-        profile.where(f"kind <> '{ALONE}' OR {in_base(rules)}")
-        .select(*keys, "kind", F.expr(f"coalesce(increment_year, {rules.base_year}) AS year"), "mean", "se_total")
+        profile.select(
+            *keys,
+            "kind",
+            F.expr(f"coalesce(increment_year, {rules.base_year}) AS year"),
+            *[F.expr(f"if(kind <> '{ALONE}' OR {in_base(rules)}, {c}, NULL) AS {c}") for c in ("mean", "se_total")],
+        )
         .groupBy(*keys, "year")
         .agg(*_columns({"_base": half_up(base_mean, 2), "_se_base": base_error, **_side_by_side(rules, "kind")}))
     )

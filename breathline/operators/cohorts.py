@@ -67,7 +67,11 @@ def with_cohort_flags(site_years: DataFrame, rules: Rules) -> DataFrame:
 
 def with_counting_flags(site_years: DataFrame, rules: Rules) -> DataFrame:
     """Add, per lead, whether the row counts in the annual mean of the cohort of ``year + lead`` (operational, captured
-    and not superseded by an hourly instrument in that cohort), and whether it counts without any cohort."""
+    and not superseded by an hourly instrument in that cohort), and whether it counts without any cohort.
+
+    Site-years that have these flags already, such as saved ones, stay as they are."""
+    if COUNTS_ALONE in site_years.columns:
+        return site_years
     keys = rules.keys(site_years)
     candidates = {COUNTS_ALONE: usable(rules)}
     for lead in rules.leads:
@@ -77,14 +81,6 @@ def with_counting_flags(site_years: DataFrame, rules: Rules) -> DataFrame:
     )
 
 
-def few_if_single(yearly: DataFrame, rules: Rules) -> DataFrame:
-    """Broadcast a frame of yearly rows if there is one series: it then has less than ten rows per calendar year.
-
-    With many series its size is not known beforehand, and Spark decides on the measured one.
-    """
-    return yearly if rules.series else F.broadcast(yearly)
-
-
 def cohort_members(site_years: DataFrame, rules: Rules, increment_year: int | None = None) -> DataFrame:
     """Site-years of every cohort, one copy per ``increment_year`` they belong to (or of one increment year only)."""
     keys = rules.keys(site_years)
@@ -99,4 +95,4 @@ def cohort_members(site_years: DataFrame, rules: Rules, increment_year: int | No
     if increment_year is not None:
         return members.where(F.col("increment_year") == increment_year)
     reported = site_years.select(*keys, F.col("year").alias("increment_year")).distinct()
-    return members.join(few_if_single(reported, rules), [*keys, "increment_year"], "left_semi")
+    return members.join(reported, [*keys, "increment_year"], "left_semi")

@@ -12,28 +12,28 @@ from pyspark.sql import functions as F
 from ..functions.numeric import half_up, sum_or_null
 from ..functions.sql import window
 from ..rules import Rules
-from .indicators import ALONE, BASE_LABEL, INCREMENT_YEAR, PEI, RI, three_year_mean
+from .indicators import ALONE, BASE_LABEL, INCREMENT_YEAR, PEI, RI, three_year_mean, yearly_means
 
 IS_BASE = f"indicator = '{BASE_LABEL}'"
 IS_RI = f"startswith(indicator, '{RI}')"
 # also true for the base label
 IS_PEI = f"startswith(indicator, '{PEI}')"
 # unknown (at either end of the order) is not a duplicate
-IN_CORE = "(NOT is_duplicate_adjacent OR is_duplicate_adjacent IS NULL)"
+IN_CORE = "(NOT shares_year OR shares_year IS NULL)"
 
 # Totals of the annual means of the base window, of the first years after it, and of the last years (of any increment).
 COMPONENTS = {
-    "PEI_base": IS_BASE,
-    "PEI_base_plus_3": "indicator RLIKE '^RI'",
-    "PEI_target_minus_3": "indicator RLIKE '^PEI [0-9]'",
+    "total_of_base": IS_BASE,
+    "total_after_base": "indicator RLIKE '^RI'",
+    "total_at_end": "indicator RLIKE '^PEI [0-9]'",
 }
 
 
 def edge_rows(indicators: DataFrame, rules: Rules) -> DataFrame:
     """Base rows, the first year of every RI and the last year of every PEI; the years between cancel out.
 
-    ``year_prev`` and ``year_next`` are the neighbours when base rows come first and all others follow by year;
-    ``is_duplicate_adjacent`` tells whether one of them is the same year (NULL if unknown at either end).
+    ``edge_before`` and ``edge_after`` are the neighbours when base rows come first and all others follow by year;
+    ``shares_year`` tells whether one of them is the same year (NULL if unknown at either end).
     """
     keys = rules.keys(indicators)
     years = [*keys, "indicator"]
@@ -49,22 +49,22 @@ def edge_rows(indicators: DataFrame, rules: Rules) -> DataFrame:
         .drop("_first", "_last")
         .select(
             "*",
-            F.expr(f"lag(year) OVER {in_order} AS year_prev"),
-            F.expr(f"lead(year) OVER {in_order} AS year_next"),
+            F.expr(f"lag(year) OVER {in_order} AS edge_before"),
+            F.expr(f"lead(year) OVER {in_order} AS edge_after"),
         )
-        .withColumn("is_duplicate_adjacent", F.expr("year = year_prev OR year = year_next"))
+        .withColumn("shares_year", F.expr("year = edge_before OR year = edge_after"))
     )
 
 
 def turnover_change(edges: DataFrame, rules: Rules) -> DataFrame:
     """Years with both an RI and a PEI edge: how the annual mean changed because the cohort did."""
     return (
-        edges.where("is_duplicate_adjacent")
+        edges.where("shares_year")
         .withColumn("type", F.expr(f"if(indicator RLIKE '^PEI', '{PEI}', '{RI}')"))
         .groupBy(*rules.keys(edges), "year")
         .pivot("type", [PEI, RI])
         .agg(F.max("mean"))
-        .withColumn("change_in_annual_mean", F.col(RI) - F.col(PEI))
+        .withColumn("turnover", F.col(RI) - F.col(PEI))
     )
 
 
@@ -83,8 +83,8 @@ def decomposed_reduction(edges: DataFrame, rules: Rules) -> DataFrame:
     Both parts come from the same edge rows, so they are summed together, first by year and then over the years.
     """
     keys = rules.keys(edges)
-    turned_over = "coalesce(bool_or(is_duplicate_adjacent), false)"
-    before, after = (f"max(if(is_duplicate_adjacent AND {side}, mean, NULL))" for side in (f"NOT {IS_PEI}", IS_PEI))
+    turned_over = "coalesce(bool_or(shares_year), false)"
+    before, after = (f"max(if(shares_year AND {side}, mean, NULL))" for side in (f"NOT {IS_PEI}", IS_PEI))
     by_year = edges.groupBy(*keys, "year").agg(
         *_component_totals(IN_CORE),
         # a turned-over year without one of its two sides makes the turnover unknown
@@ -95,18 +95,21 @@ def decomposed_reduction(edges: DataFrame, rules: Rules) -> DataFrame:
     )
     return totals.select(
         *keys,
-        F.expr("try_divide(100 * (PEI_target_minus_3 - PEI_base_plus_3), PEI_base) AS core_component"),
-        F.expr("try_divide(100 * _change, PEI_base) AS turnover_component"),
+        F.expr("try_divide(100 * (total_at_end - total_after_base), total_of_base) AS core_component"),
+        F.expr("try_divide(100 * _change, total_of_base) AS turnover_component"),
     ).withColumn("decomposed_reduction", F.expr("core_component - turnover_component"))
 
 
 def simplified_years(profile: DataFrame, rules: Rules) -> DataFrame:
     """Annual means without cohorts, of the base window and of the target window (up to the latest year with data)."""
-    keys = rules.keys(profile)
+    return _simplified_years(profile.where(f"kind = '{ALONE}'"), rules)
+
+
+def _simplified_years(yearly: DataFrame, rules: Rules) -> DataFrame:
+    keys = rules.keys(yearly)
     first, last = rules.base_window
     return (
-        profile.where(f"kind = '{ALONE}'")
-        .select(*keys, "year", F.expr(f"max(year) OVER {window(keys)} AS latest_year"), "mean", "se_total", "n_sites")
+        yearly.select(*keys, "year", F.expr(f"max(year) OVER {window(keys)} AS latest_year"), "mean", "se_total", "n_sites")
         .select(
             "*",
             F.expr(f"year BETWEEN {first} AND {last} AS in_base"),
@@ -119,12 +122,21 @@ def simplified_years(profile: DataFrame, rules: Rules) -> DataFrame:
 def simplified_reduction(profile: DataFrame, rules: Rules) -> DataFrame:
     """Percent change between the base and the target three-year mean, each year judged on its own
     (negative for a fall)."""
-    keys = rules.keys(profile)
+    return _simplified(simplified_years(profile, rules), rules)
+
+
+def simplified_of_site_years(site_years: DataFrame, rules: Rules) -> DataFrame:
+    """:func:`simplified_reduction` from site-years, without the cohorts that a profile has and this has no use for."""
+    return _simplified(_simplified_years(yearly_means(site_years, rules), rules), rules)
+
+
+def _simplified(years: DataFrame, rules: Rules) -> DataFrame:
+    keys = rules.keys(years)
     columns = [F.max("latest_year").alias("year")]
     for name in ("base", "target"):
         mean, error = three_year_mean(rules, f"in_{name}")
         columns += [F.expr(f"{half_up(mean, 2)} AS {name}_PEI"), F.expr(f"{error} AS {name}_se_PEI")]
-    summary = simplified_years(profile, rules).groupBy(*keys).agg(*columns)
+    summary = years.groupBy(*keys).agg(*columns)
     change = "try_divide(100 * (target_PEI - base_PEI), base_PEI)"
     return summary.withColumn("simplified_reduction", F.expr(change))
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import half_up, root_sum_of_squares
+from ..functions.numeric import half_up, quadrature, root_sum_of_squares
 from ..functions.sql import window
 from ..rules import Rules
 from ..schemas import INDICATOR_INPUT, require_columns
@@ -19,22 +19,27 @@ BASE_LABEL = "PEI base"
 INCREMENT_YEAR = r"regexp_extract(indicator, '[0-9]+$', 0)"
 
 
-def _over_sites(counted: str) -> dict[str, str]:
+def _over_sites(counted: str, rules: Rules) -> dict[str, str]:
     """Aggregates over the ``counted`` rows: n_sites counts rows, also those without a mean, and the standard error is
-    the one between sites."""
+    the one between sites, combined with the mean one within sites if the rules ask for it."""
     mean, rows = f"if({counted}, mean, NULL)", f"count_if({counted})"
-    return {
-        "mean": f"avg({mean})",
-        "se_total": f"try_divide(stddev_samp({mean}), sqrt({rows}))",
-        "n_sites": rows,
-    }
+    error = f"try_divide(stddev_samp({mean}), sqrt({rows}))"
+    if rules.within_site_error:
+        within = root_sum_of_squares(f"if({counted}, se_sampling_within_site, NULL)")
+        error = quadrature(error, f"try_divide({within}, {rows})")
+    return {"mean": f"avg({mean})", "se_total": error, "n_sites": rows}
+
+
+def yearly_means(site_years: DataFrame, rules: Rules) -> DataFrame:
+    """Annual means over the sites that count without any cohort; also years in which none does."""
+    return _yearly(site_years, rules, rules.keys(site_years))
 
 
 def _yearly(site_years: DataFrame, rules: Rules, keys: list[str]) -> DataFrame:
     """Annual means over sites; a year in which no site counts stays, with ``n_sites`` 0."""
     require_columns(site_years, INDICATOR_INPUT)
     counted = cohorts.not_superseded(cohorts.usable(rules), keys)
-    aggregates = [F.expr(text).alias(name) for name, text in _over_sites("_counted").items()]
+    aggregates = [F.expr(text).alias(name) for name, text in _over_sites("_counted", rules).items()]
     return site_years.withColumn("_counted", F.expr(counted)).groupBy(*keys, "year").agg(*aggregates)
 
 
@@ -85,7 +90,7 @@ def indicator_profile(site_years: DataFrame, rules: Rules) -> DataFrame:
     variants = {"alone": cohorts.COUNTS_ALONE, **{f"lead_{k}": cohorts.counts(k) for k in rules.leads}}
     structs = []
     for name, counted in variants.items():
-        fields = ", ".join(f"{text} AS {field}" for field, text in _over_sites(counted).items())
+        fields = ", ".join(f"{text} AS {field}" for field, text in _over_sites(counted, rules).items())
         structs.append(F.expr(f"struct({fields}) AS {name}"))
     totals = cohorts.with_counting_flags(site_years, rules).groupBy(*keys, "year").agg(*structs)
 
@@ -134,18 +139,38 @@ def three_year_mean(rules: Rules, only: str = "true") -> tuple[str, str]:
     )
 
 
-def base_summary(profile: DataFrame, rules: Rules) -> DataFrame:
-    """The base indicator: mean of the base window, rounded to two digits, and its standard error."""
-    keys = rules.keys(profile)
-    mean, error = three_year_mean(rules)
+def _base(yearly: DataFrame, rules: Rules, counted: str) -> DataFrame:
+    keys = rules.keys(yearly)
+    mean, error = three_year_mean(rules, counted)
     return (
-        base_indicator(profile, rules)
-        .groupBy(*keys)
+        yearly.groupBy(*keys)
         .agg(F.expr(f"{half_up(mean, 2)} AS PEI"), F.expr(f"{error} AS se_PEI"))
         .select(*keys, F.lit(rules.base_year).alias("year"), "PEI", "se_PEI")
     )
 
 
+def base_summary(profile: DataFrame, rules: Rules) -> DataFrame:
+    """The base indicator: mean of the base window, rounded to two digits, and its standard error.
+
+    A row for every series; one without any data in the base window has no mean, and error 0.
+    """
+    return _base(profile, rules, in_base(rules))
+
+
+def base_of_site_years(site_years: DataFrame, rules: Rules) -> DataFrame:
+    """:func:`base_summary` from site-years, of which it reads the base window only.  So a series without data there is not
+    seen, and has no row unless it is the only one."""
+    first, last = rules.base_window
+    window = site_years.where(F.col("year").between(first, last))
+    return _base(annual_indicator(window, rules), rules, "true")
+
+
+def indicator_order() -> tuple[Column, ...]:
+    """Rows of an indicator table in order: the base window, then by increment year, RI before PEI, then by year."""
+    texts = (f"indicator <> '{BASE_LABEL}'", INCREMENT_YEAR, f"NOT startswith(indicator, '{RI}')", "year")
+    return tuple(F.expr(text) for text in texts)
+
+
 def indicator_table(profile: DataFrame, rules: Rules) -> DataFrame:
     """One row per labelled indicator and year: the base window, then each increment's RI and PEI."""
     label = F.expr(f"if(kind = '{ALONE}', '{BASE_LABEL}', concat_ws(' ', kind, increment_year)) AS indicator")
@@ -162,12 +187,15 @@ __all__ = [
     "RI",
     "annual_indicator",
     "base_indicator",
+    "base_of_site_years",
     "base_summary",
     "increment_indicators",
     "in_base",
+    "indicator_order",
     "indicator_profile",
     "indicator_table",
     "population_indicator",
     "split_by_indicator",
     "three_year_mean",
+    "yearly_means",
 ]

@@ -1,8 +1,7 @@
-"""Which sites stand behind an indicator: one row per site, and text lists for publication.
+"""Which sites stand behind an indicator: one row per site.
 
-Membership is a relation, a row per (indicator, year, site).  A text list is made only for publication and holds at
-most ``rules.sites_per_cell`` names per cell, so no task ever gathers all sites of a large network; what does not fit
-continues in further rows (``part`` 1, 2, ..).  A network below that size has one cell per indicator and year.
+Membership is a relation, a row per (indicator, year, site), also in published tables, whatever the size of the network:
+no task gathers all sites of an indicator.
 """
 
 from __future__ import annotations
@@ -15,10 +14,6 @@ from ..rules import Rules
 from . import cohorts
 from .indicators import BASE_LABEL, INCREMENT_YEAR, PEI, RI
 
-# Fixed value: what stands between two site names.
-SEPARATOR = "; "
-
-
 def indicator_members(site_years: DataFrame, indicators: DataFrame, rules: Rules) -> DataFrame:
     """The rows of ``indicators`` (see ``indicators.indicator_table``), one for each distinct ``site`` behind them.
 
@@ -35,7 +30,7 @@ def indicator_members(site_years: DataFrame, indicators: DataFrame, rules: Rules
         .select(*keys, F.expr(f"explode(array_compact(array({', '.join(labels)}))) AS indicator"), "year", "site")
         .dropDuplicates()
     )
-    return members.join(cohorts.few_if_single(indicators, rules), [*keys, "indicator", "year"])
+    return members.join(indicators, [*keys, "indicator", "year"])
 
 
 def annual_members(site_years: DataFrame, yearly: DataFrame, rules: Rules) -> DataFrame:
@@ -47,27 +42,12 @@ def annual_members(site_years: DataFrame, yearly: DataFrame, rules: Rules) -> Da
         .select(*keys, "year", "site")
         .dropDuplicates()
     )
-    return members.join(cohorts.few_if_single(yearly, rules), [*keys, "year"])
-
-
-def site_lists(members: DataFrame, rules: Rules) -> DataFrame:
-    """Members as sorted text lists: their other columns, once for each group, then ``part`` and ``sites``.
-
-    The number of cells follows from ``n_sites`` of the group.
-    """
-    cells = f"ceil(n_sites / {rules.sites_per_cell})"
-    part = f"int(if({cells} > 1, pmod(xxhash64(site), {cells}), 0))"
-    group = [c for c in members.columns if c != "site"]
-    return (
-        members.withColumn("part", F.expr(part))
-        .groupBy(*group, "part")
-        .agg(F.array_join(F.array_sort(F.collect_set("site")), SEPARATOR).alias("sites"))
-    )
+    return members.join(yearly, [*keys, "year"])
 
 
-def split_sites(lists: DataFrame) -> DataFrame:
-    """Inverse of :func:`site_lists`, for published tables: one row per name in ``sites``."""
-    return lists.withColumn("site", F.explode(F.split("sites", r";\s*"))).drop("sites", "part")
+def split_list(lists: DataFrame, column: str, into: str) -> DataFrame:
+    """One row per item of a text list with items separated by semicolons, such as older tables hold."""
+    return lists.withColumn(into, F.explode(F.split(column, r";\s*"))).drop(column)
 
 
 def fullest_indicator(indicators: DataFrame, rules: Rules) -> DataFrame:
@@ -81,7 +61,7 @@ def fullest_indicator(indicators: DataFrame, rules: Rules) -> DataFrame:
 
 
 def sites_to_include(site_years: DataFrame, indicators: DataFrame, rules: Rules) -> DataFrame:
-    """(year, n_sites, site): the sites behind the fullest indicator of each year; :func:`site_lists` gives the text."""
+    """(year, n_sites, site): the sites behind the fullest indicator of each year."""
     keys = rules.keys(site_years)
     members = indicator_members(site_years, fullest_indicator(indicators, rules), rules)
     return members.select(*keys, "year", "n_sites", "site")

@@ -8,18 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.numeric import half_up
 from ..functions.sql import text
 from ..rules import OPEN_ENDED, Rules
+from ..schemas import STATIONS
 
-REGISTER_COLUMNS = (
-    "site",
-    "code",
-    "latitude",
-    "longitude",
-    "site_type",
-    "zone",
-    "measurement",
-    "start_date",
-    "end_date",
-)
+# The register's columns, with the instrument in place of the variable it measures.
+REGISTER_COLUMNS = tuple("measurement" if name == "variable" else name for name in STATIONS.names)
 
 
 def _year_of(date: str) -> str:

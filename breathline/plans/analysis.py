@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import operators as op
 from ..rules import Rules
 from ..sources import saved
 
 
+# What the rows of each table are sorted by, after the series keys; base rows come first.
+ORDER: dict[str, tuple[str, ...]] = {
+    "edges": (f"indicator <> '{op.BASE_LABEL}'", "year", "indicator"),
+    "turnover": ("year",),
+    "site_counts": ("year",),
+}
+
+
 @dataclass
 class Analysis:
     edges: DataFrame
@@ -21,6 +30,11 @@ class Analysis:
     relative_error: DataFrame
     site_counts: DataFrame
 
+    def sorted_tables(self, rules: Rules) -> dict[str, tuple[DataFrame, tuple]]:
+        """Every table by name, with its order."""
+        tables = {f.name: getattr(self, f.name) for f in fields(self)}
+        return {name: (df, tuple(map(F.expr, (*rules.keys(df), *ORDER.get(name, ()))))) for name, df in tables.items()}
+
 
 def analyse(profile: DataFrame, indicators: DataFrame, summary: DataFrame, rules: Rules) -> Analysis:
     edges = op.edge_rows(indicators, rules)

@@ -81,22 +81,28 @@ class Assessment:
         return self._published(self.absolute, published.ABSOLUTE_HEADERS)
 
     def published_indicators(self) -> DataFrame:
-        """The indicator table with its site lists."""
-        return op.site_lists(op.indicator_members(self.site_years, self.indicators, self.rules), self.rules)
-
-    def published_sites(self) -> DataFrame:
-        """The included sites of each year as lists."""
-        return op.site_lists(self.included, self.rules)
+        """The indicator table with a row for each site behind an indicator and year."""
+        return op.indicator_members(self.site_years, self.indicators, self.rules)
 
     def _published(self, df: DataFrame, headers: dict[str, str]) -> DataFrame:
         rounded = published.round_numbers(df).orderBy(*self.rules.keys(df), "year")
         return published.with_headers(rounded, headers, self.rules.base_year)
 
+    def flagged(self) -> DataFrame:
+        """Site-years with the flags of the cohorts they count in, for keeping: nothing that starts from them needs the
+        cohort windows again."""
+        return op.with_counting_flags(self.site_years, self.rules)
+
     def saved_in(self, folder: str) -> Assessment:
-        """Write site-years, then the profile made from them, and go on from the written tables."""
+        """Write site-years, then the profile made from them, and go on from the written tables.
+
+        What is read from ``folder`` cannot be saved there: a lost executor would find its input gone.
+        """
         spark = self.site_years.sparkSession
         folder = folder.rstrip("/")
-        saved.save_frame(self.site_years, f"{folder}/site_years")
+        if any(f"{folder}/" in path for path in self.site_years.inputFiles()):
+            raise ValueError(f"the site-years are read from {folder}; save them in another folder")
+        saved.save_frame(self.flagged(), f"{folder}/site_years")
         site_years = saved.load_site_years(spark, f"{folder}/site_years", self.rules.series)
         saved.save_frame(op.indicator_profile(site_years, self.rules), f"{folder}/profile")
         return Assessment(self.rules, self.stations, site_years, saved.load_frame(spark, f"{folder}/profile"))
@@ -111,13 +117,15 @@ class Assessment:
         saved.save_frame(done.members, f"{data}/indicator_members")
         published.write_csv(done.published_bounds(), f"{tables}/summary_bounds")
         published.write_csv(done.published_absolute(), f"{tables}/summary_absolute")
-        published.write_csv(done.published_indicators(), f"{tables}/indicator_data")
+        indicators, keys = done.published_indicators(), self.rules.keys(done.indicators)
+        published.write_csv(indicators, f"{tables}/indicator_data", (*keys, *op.indicator_order(), "site"))
         published.write_tables(
             {
-                "sites_to_include": done.published_sites(),
-                "site_data": done.site_detail,
-                "data_capture_statistics": published.with_headers(
-                    done.capture_statistics, published.CAPTURE_HEADERS
+                "sites_to_include": (done.included, (*keys, "year", "site")),
+                "site_data": (done.site_detail, (*[k for k in keys if k in done.site_detail.columns], "year", "site")),
+                "data_capture_statistics": (
+                    published.with_headers(done.capture_statistics, published.CAPTURE_HEADERS),
+                    (*keys, "year"),
                 ),
             },
             f"{tables}/data_for_modelling",

@@ -73,8 +73,8 @@ class Rules:
     cohort_min_captured: int = COHORT_MIN_CAPTURED
     z: float = Z_95
     statistics_from: int = STATISTICS_FROM
-    # most site names that one published text cell holds; longer lists continue in further rows
-    sites_per_cell: int = 10_000
+    # add the mean sampling error within sites, in quadrature, to the error of a mean over sites
+    within_site_error: bool = False
 
     def __post_init__(self) -> None:
         if self.cohort_years != self.indicator_years + 1:

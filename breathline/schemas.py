@@ -42,6 +42,7 @@ STANDARD_READINGS = T.StructType(
 )
 STANDARD_NAME_FOR = {"qc": "ratified", "poll_index": "value"}
 
+# The columns of a station register.
 STATIONS = T.StructType(
     [
         T.StructField("site", T.StringType()),

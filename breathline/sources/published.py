@@ -58,12 +58,14 @@ def with_headers(df: DataFrame, headers: dict[str, str], base_year: int = 2018)
     return df.select(*[F.col(f"`{c}`").alias(name) for c, name in names.items()])
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """UTF-8 CSV with a header line in every part file."""
+def write_csv(df: DataFrame, path: str, order: tuple = ()) -> None:
+    """UTF-8 CSV with a header line in every part file; rows in ``order`` through all files."""
+    df = df.orderBy(*order) if order else df
     df.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
 
 
-def write_tables(tables: dict[str, DataFrame], folder: str, fmt: str = "parquet") -> None:
-    """Several named tables under one folder, the distributed form of a workbook with sheets."""
-    for name, df in tables.items():
+def write_tables(tables: dict[str, tuple[DataFrame, tuple]], folder: str, fmt: str = "parquet") -> None:
+    """Several named tables under one folder, each in its order: the distributed form of a workbook with sheets."""
+    for name, (df, order) in tables.items():
+        df = df.orderBy(*order) if order else df
         df.write.mode("overwrite").option("header", True).format(fmt).save(f"{folder.rstrip('/')}/{name}")

@@ -7,15 +7,22 @@ from pyspark.sql import functions as F
 
 from ..functions.sql import text
 from ..rules import DAILY, HOURLY, Rules
+from ..schemas import READINGS
+from .conform import conform_readings
 
 
 def read_readings(spark: SparkSession, path: str, rules: Rules) -> DataFrame:
     """Scan a folder of Parquet readings (see ``schemas.READINGS``), keeping what ``rules`` admit.
 
+    Readings under the older column names are brought into the standard layout first (see :func:`conform_readings`).
+
     The filters reach the Parquet reader; a folder laid out by ``pollutant`` or ``year`` is pruned to the partitions
     that matter.
     """
-    return select_readings(spark.read.parquet(path), rules)
+    df = spark.read.parquet(path)
+    if not set(READINGS.names) <= {*df.columns}:
+        df = conform_readings(df)
+    return select_readings(df, rules)
 
 
 def select_readings(df: DataFrame, rules: Rules) -> DataFrame:

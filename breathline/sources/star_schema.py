@@ -2,8 +2,8 @@
 
 Suppliers play the sites and shipped lines play the readings: the ship date is the time, the quantity the
 concentration.  A supplier has an hourly instrument, a daily one, or both, by its key, so every line gives one or two
-readings; a zero discount (hourly) or zero tax (daily) marks a missing one.  The readings need no join: a supplier's name
-is its formatted key.
+readings; a zero discount (hourly) or zero tax (daily) marks a missing one.  Lines of a supplier that is not listed are
+no readings of any site.
 """
 
 from __future__ import annotations
@@ -46,28 +46,32 @@ def _instruments(key: str) -> str:
     return f"explode(CASE {key} % 4 WHEN 0 THEN {both} WHEN 3 THEN {daily} ELSE {hourly} END) AS measurement"
 
 
-SITE_NAME = "concat('Supplier#', lpad(string({key}), 9, '0'))"
-
-
 def sales_readings(
-    spark: SparkSession, folder: str, named: bool = True, mixed_pollutants: bool = False
+    spark: SparkSession,
+    folder: str,
+    named: bool = True,
+    mixed_pollutants: bool = False,
+    years: tuple[int | None, int | None] = (None, None),
 ) -> DataFrame:
     """Readings as in ``schemas.READINGS``.
 
-    Without ``named``, ``site`` is the supplier's key, to be named by :func:`name_sites` once the readings are condensed:
-    grouping by a number costs half as much per reading as making and grouping by a name.
-    ``mixed_pollutants`` gives the seventh line of an order another pollutant.
+    Without ``named``, ``site`` is the supplier's key, to be named by :func:`name_sites` once the readings are condensed,
+    which are far fewer rows to join with the suppliers.  ``mixed_pollutants`` gives the seventh line of an order another
+    pollutant.  ``years`` are the first and last year of interest; as bounds on the ship date they reach the file reader.
     """
+    first, last = years
+    period = [f"l_shipdate >= TIMESTAMP_NTZ '{first}-01-01'"] * (first is not None)
+    period += [f"l_shipdate < TIMESTAMP_NTZ '{(last or 0) + 1}-01-01'"] * (last is not None)
     pollutant = f"'{POLLUTANT}'"
     if mixed_pollutants:
         pollutant = f"if(l_linenumber = 7, '{OTHER_POLLUTANT}', {pollutant})"
     hourly, daily = "if(l_discount = 0, NULL, l_quantity)", "if(l_tax = 0, NULL, l_quantity * 1.1D)"
-    return (
+    readings = (
         _table(spark, folder, "lineitem")
-        .where("l_suppkey IS NOT NULL")
+        .where(" AND ".join(["l_suppkey IS NOT NULL", *period]))
         .select("*", F.expr(_instruments("l_suppkey")))
         .selectExpr(
-            f"{SITE_NAME.format(key='l_suppkey') if named else 'l_suppkey'} AS site",
+            "l_suppkey AS site",
             "year(l_shipdate) AS year",
             "l_shipdate AS date",
             f"if(measurement = '{HOURLY}', {hourly}, {daily}) AS value",
@@ -76,11 +80,14 @@ def sales_readings(
             f"{pollutant} AS pollutant",
         )
     )
+    return name_sites(readings, spark, folder) if named else readings
 
 
-def name_sites(df: DataFrame) -> DataFrame:
-    """Turn supplier keys in ``site`` into names."""
-    return df.withColumn("site", F.expr(SITE_NAME.format(key="site")))
+def name_sites(df: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    """Turn supplier keys in ``site`` into the suppliers' names; rows of unlisted suppliers go."""
+    suppliers = _table(spark, folder, "supplier").select("s_suppkey", "s_name")
+    named = df.join(suppliers, F.col("site") == F.col("s_suppkey"))
+    return named.select(*[F.col("s_name").alias("site") if c == "site" else F.col(c) for c in df.columns])
 
 
 def sales_stations(spark: SparkSession, folder: str) -> DataFrame:

@@ -8,8 +8,33 @@ from __future__ import annotations
 
 import re
 
-from breathline.sources.published import ABSOLUTE_HEADERS, BOUNDS_HEADERS
-
+# The published headers, for a base year of 1997.
+BOUNDS_HEADERS = {
+    "year": "Year",
+    "PEI": "PEI (µg/m³)",
+    "ci_PEI_lower": "Lower bound - 95% confidence interval for PEI (µg/m³)",
+    "ci_PEI_upper": "Upper bound - 95% confidence interval for PEI (µg/m³)",
+    "delta_PEI": "Year-on-year change in PEI (µg/m³)",
+    "ci_delta_PEI_lower": "Lower bound - 95% confidence interval for year-on-year change (µg/m³)",
+    "ci_delta_PEI_upper": "Upper bound - 95% confidence interval for year-on-year change (µg/m³)",
+    "delta_PEI_cumulative": "Total change in PEI since 1997 (µg/m³)",
+    "ci_delta_PEI_cumulative_lower": "Lower bound - 95% confidence interval for total change (µg/m³)",
+    "ci_delta_PEI_cumulative_upper": "Upper bound - 95% confidence interval for total change (µg/m³)",
+    "perc_change": "Total change in PEI since 1997 (%)",
+    "ci_perc_change_lower": "Lower bound - 95% confidence interval for percent change (%)",
+    "ci_perc_change_upper": "Upper bound - 95% confidence interval for percent change (%)",
+}
+ABSOLUTE_HEADERS = {
+    "year": "Year",
+    "PEI": "PEI (µg/m³)",
+    "ci_PEI": "+/- 95% confidence interval for PEI (µg/m³)",
+    "delta_PEI": "Year-on-year change in PEI (µg/m³)",
+    "ci_delta_PEI": "+/- 95% confidence interval for year-on-year change (µg/m³)",
+    "delta_PEI_cumulative": "Total change in PEI since 1997 (µg/m³)",
+    "ci_delta_PEI_cumulative": "+/- 95% confidence interval for total change (µg/m³)",
+    "perc_change": "Total change in PEI since 1997 (% unrounded)",
+    "ci_perc_change": "+/- 95% confidence interval for percent change (% unrounded)",
+}
 THRESHOLD = 85
 
 
@@ -23,8 +48,19 @@ def out(x: str, name: str | None = None) -> str:
     return f'round({x}, 9) + 0.0 AS "{name or x}"'
 
 
-def steps(k: str = "", exceptions: dict[str, int] | None = None) -> dict[str, str]:
-    """Named steps; ``k`` is an extra series key with a trailing comma, such as ``"zone, "``."""
+BASE = (1995, 1997)
+
+
+def steps(
+    k: str = "", exceptions: dict[str, int] | None = None, base: tuple[int, int] = BASE, within: bool = False
+) -> dict[str, str]:
+    """Named steps; ``k`` is an extra series key with a trailing comma, such as ``"zone, "``.  ``base`` are the first and last
+    year of the base window; ``within`` adds the mean error within sites to that between them."""
+    between = "stddev_samp(mean) / sqrt(count(*))"
+    error = between
+    if within:
+        inside = "sqrt(coalesce(sum(se_sampling_within_site * se_sampling_within_site), 0)) / count(*)"
+        error = f"sqrt(({between}) * ({between}) + ({inside}) * ({inside}))"
     kn = k.strip().rstrip(",")  # the bare key
     over = f"PARTITION BY {kn} " if kn else ""
     on_k = f"AND a.{kn} = b.{kn}" if kn else ""
@@ -75,15 +111,16 @@ def steps(k: str = "", exceptions: dict[str, int] | None = None) -> dict[str, st
         SELECT * FROM eligible WHERE operational_all_year AND capture >= {THRESHOLD}
         QUALIFY NOT (measurement = 'Daily' AND bool_or(measurement = 'Hourly') OVER (PARTITION BY {k}year, site))"""
     s["yearly"] = f"""
-        SELECT {k}year, avg(mean) AS mean, stddev_samp(mean) / sqrt(count(*)) AS se_total, count(*) AS n_sites,
+        SELECT {k}year, avg(mean) AS mean, {error} AS se_total, count(*) AS n_sites,
                string_agg(DISTINCT site, '; ' ORDER BY site) AS sites
         FROM usable GROUP BY {k}year"""
-    s["base_rows"] = "SELECT * FROM yearly WHERE year IN (1995, 1996, 1997)"
-    base_key = f"GROUP BY {kn}" if kn else ""
+    s["base_rows"] = f"SELECT * FROM yearly WHERE year BETWEEN {base[0]} AND {base[1]}"
+    # every series has a base row, also without data in the base window
+    every = f"(SELECT DISTINCT {kn} FROM eligible) LEFT JOIN base_rows USING ({kn}) GROUP BY {kn}" if kn else "base_rows"
     s["base"] = f"""
-        SELECT {k}1997 AS year, {half_up("avg(mean)", 2)} AS PEI,
-               sqrt(coalesce(sum(se_total * se_total), 0)) / 3 AS se_PEI FROM base_rows {base_key}"""
-    s["increment_years"] = f"SELECT DISTINCT {k}year AS n FROM eligible WHERE year > 1997"
+        SELECT {k}{base[1]} AS year, {half_up("avg(mean)", 2)} AS PEI,
+               sqrt(coalesce(sum(se_total * se_total), 0)) / 3 AS se_PEI FROM {every}"""
+    s["increment_years"] = f"SELECT DISTINCT {k}year AS n FROM eligible WHERE year > {base[1]}"
     s["cohorts"] = f"""
         SELECT b.n, a.* FROM eligible a JOIN increment_years b ON a.year BETWEEN b.n - 3 AND b.n {on_k}
         QUALIFY min(CASE WHEN operational_all_year THEN 1 ELSE 0 END) OVER (PARTITION BY {"a." + k if k else ""}b.n, site, measurement) = 1
@@ -93,7 +130,7 @@ def steps(k: str = "", exceptions: dict[str, int] | None = None) -> dict[str, st
         SELECT * FROM cohorts WHERE operational_all_year AND capture >= {THRESHOLD}
         QUALIFY NOT (measurement = 'Daily' AND bool_or(measurement = 'Hourly') OVER (PARTITION BY {k}n, year, site))"""
     s["cohort_yearly"] = f"""
-        SELECT {k}n, year, avg(mean) AS mean, stddev_samp(mean) / sqrt(count(*)) AS se_total, count(*) AS n_sites,
+        SELECT {k}n, year, avg(mean) AS mean, {error} AS se_total, count(*) AS n_sites,
                string_agg(DISTINCT site, '; ' ORDER BY site) AS sites
         FROM cohort_usable GROUP BY {k}n, year"""
     s["increments"] = """
@@ -120,11 +157,11 @@ def steps(k: str = "", exceptions: dict[str, int] | None = None) -> dict[str, st
         UNION ALL SELECT {k}n, NULL, NULL, delta_PEI, se_delta_PEI, delta_PEI_cumulative, se_delta_PEI_cumulative
         FROM cumulative"""
     s["with_base"] = f"""
-        SELECT *, max(PEI) FILTER (year = 1997) OVER ({over.strip()}) AS base_PEI,
-               max(se_PEI) FILTER (year = 1997) OVER ({over.strip()}) AS base_se_PEI FROM stacked"""
+        SELECT *, max(PEI) FILTER (year = {base[1]}) OVER ({over.strip()}) AS base_PEI,
+               max(se_PEI) FILTER (year = {base[1]}) OVER ({over.strip()}) AS base_se_PEI FROM stacked"""
     s["summary"] = f"""
-        SELECT {k}year, CASE WHEN year > 1997 THEN base_PEI - delta_PEI_cumulative ELSE PEI END AS PEI,
-               CASE WHEN year > 1997 THEN sqrt(base_se_PEI * base_se_PEI + se_delta_PEI_cumulative * se_delta_PEI_cumulative)
+        SELECT {k}year, CASE WHEN year > {base[1]} THEN base_PEI - delta_PEI_cumulative ELSE PEI END AS PEI,
+               CASE WHEN year > {base[1]} THEN sqrt(base_se_PEI * base_se_PEI + se_delta_PEI_cumulative * se_delta_PEI_cumulative)
                     ELSE se_PEI END AS se_PEI,
                delta_PEI, se_delta_PEI, delta_PEI_cumulative, se_delta_PEI_cumulative,
                {half_up("(100 * delta_PEI_cumulative / base_PEI)", 2)} AS perc_change,
@@ -147,8 +184,8 @@ def steps(k: str = "", exceptions: dict[str, int] | None = None) -> dict[str, st
         QUALIFY row_number() OVER (PARTITION BY {k}year ORDER BY n_sites DESC, block, n, part_order) = 1"""
     s["included"] = f"SELECT {k}year, unnest(string_split(sites, '; ')) AS site FROM fullest"
     s["edges"] = f"""
-        SELECT *, lag(year) OVER w AS year_prev, lead(year) OVER w AS year_next,
-               year = lag(year) OVER w OR year = lead(year) OVER w AS is_duplicate_adjacent
+        SELECT *, lag(year) OVER w AS edge_before, lead(year) OVER w AS edge_after,
+               year = lag(year) OVER w OR year = lead(year) OVER w AS shares_year
         FROM (SELECT * FROM indicators
               QUALIFY indicator = 'PEI base'
                  OR (indicator LIKE 'RI%' AND row_number() OVER (PARTITION BY {k}indicator ORDER BY year) = 1)
@@ -156,23 +193,23 @@ def steps(k: str = "", exceptions: dict[str, int] | None = None) -> dict[str, st
         WINDOW w AS ({over}ORDER BY block, year, n, part_order)"""
     group = f"GROUP BY {kn}" if kn else ""
     s["turnover"] = f"""
-        SELECT *, RI - PEI AS change_in_annual_mean FROM (
+        SELECT *, RI - PEI AS turnover FROM (
             SELECT {k}year, max(mean) FILTER (indicator LIKE 'PEI%') AS PEI, max(mean) FILTER (indicator LIKE 'RI%') AS RI
-            FROM edges WHERE is_duplicate_adjacent GROUP BY {k}year)"""
+            FROM edges WHERE shares_year GROUP BY {k}year)"""
     s["core"] = f"""
-        SELECT {k}sum(mean) FILTER (indicator = 'PEI base') AS PEI_base,
-               sum(mean) FILTER (indicator LIKE 'RI%') AS PEI_base_plus_3,
-               sum(mean) FILTER (indicator LIKE 'PEI%' AND indicator <> 'PEI base') AS PEI_target_minus_3
-        FROM edges WHERE is_duplicate_adjacent IS NOT TRUE {group}"""
+        SELECT {k}sum(mean) FILTER (indicator = 'PEI base') AS total_of_base,
+               sum(mean) FILTER (indicator LIKE 'RI%') AS total_after_base,
+               sum(mean) FILTER (indicator LIKE 'PEI%' AND indicator <> 'PEI base') AS total_at_end
+        FROM edges WHERE shares_year IS NOT TRUE {group}"""
     changes = f"""
-        SELECT {k}count(*) AS years, CASE WHEN count(*) = count(change_in_annual_mean) THEN sum(change_in_annual_mean) END AS change
+        SELECT {k}count(*) AS years, CASE WHEN count(*) = count(turnover) THEN sum(turnover) END AS change
         FROM turnover {group}"""
     join = f"LEFT JOIN changes USING ({kn})" if kn else "CROSS JOIN changes"
     s["changes"] = changes
     s["decomposed"] = f"""
         SELECT *, core_component - turnover_component AS decomposed_reduction FROM (
-            SELECT {k}100 * (PEI_target_minus_3 - PEI_base_plus_3) / PEI_base AS core_component,
-                   100 * CASE WHEN coalesce(years, 0) = 0 THEN 0 ELSE change END / PEI_base AS turnover_component FROM core {join})"""
+            SELECT {k}100 * (total_at_end - total_after_base) / total_of_base AS core_component,
+                   100 * CASE WHEN coalesce(years, 0) = 0 THEN 0 ELSE change END / total_of_base AS turnover_component FROM core {join})"""
     s["latest"] = f"SELECT {k}max(year) AS year FROM eligible {group}"
     same = f"AND a.{kn} = b.{kn}" if kn else ""
     s["target_rows"] = f"SELECT a.* FROM yearly a JOIN latest b ON a.year > b.year - 3 {same}"
@@ -218,8 +255,8 @@ def _needed(all_steps: dict[str, str], text: str) -> list[str]:
     return [n for n in names if n in found]
 
 
-def _query(select: str, k: str = "", exceptions: dict[str, int] | None = None) -> str:
-    all_steps = steps(k, exceptions)
+def _query(select: str, k: str = "", **options) -> str:
+    all_steps = steps(k, **options)
     needed = _needed(all_steps, select)
     ctes = ",\n".join(f"{name} AS ({all_steps[name]})" for name in needed)
     return f"WITH {ctes}\n{select}" if ctes else select
@@ -238,15 +275,16 @@ def _published(columns: dict[str, str], source: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    bounds_headers = {c: h.replace("2018", "1997") for c, h in BOUNDS_HEADERS.items()}
-    absolute_headers = {c: h.replace("2018", "1997") for c, h in ABSOLUTE_HEADERS.items()}
     stats = f"{_doubles(('mean', 'se_total'))}, n_sites"
+    each_site = "unnest(string_split(sites, '; ')) AS site"
+    members_of_target = f"SELECT year, {each_site}, {stats} FROM target_rows"
+    simplified = ("base_PEI", "base_se_PEI", "target_PEI", "target_se_PEI", "simplified_reduction")
     mean_columns = ("mean_RI", "mean_PEI", "se_RI", "se_PEI", "delta_PEI", "se_delta_PEI")
     station = "code, " + _doubles(("latitude", "longitude")) + ", site_type, zone, measurement, start_date, end_date"
     capture = f"""count(*) AS total_sites, count(*) FILTER (capture >= {THRESHOLD}) AS sites_meeting_threshold,
         round(round_even(100 * (count(*) FILTER (capture >= {THRESHOLD})) / count(*), 1), 9) + 0.0 AS percent_meeting_threshold
         FROM eligible WHERE operational_all_year AND year >= 1995"""
-    components = ("PEI_base", "PEI_base_plus_3", "PEI_target_minus_3")
+    components = ("total_of_base", "total_after_base", "total_at_end")
     decomposed = ("core_component", "turnover_component", "decomposed_reduction")
     detail = f"""SELECT i.site, code, {_doubles(("latitude", "longitude"))}, i.year, {out("mean")},
         {out("se_sampling_within_site", "se")}, {out("capture")}, e.measurement, e.site_type, e.zone
@@ -268,7 +306,7 @@ def oracle_sql() -> dict[str, str]:
         "operational_site_years": f"SELECT {SITE_YEAR}, {STATION} FROM operational",
         "prefer_hourly": f"""SELECT {SITE_YEAR}, {STATION} FROM eligible
             QUALIFY NOT (measurement = 'Daily' AND bool_or(measurement = 'Hourly') OVER (PARTITION BY year, site))""",
-        "pei_annual": f"SELECT year, {stats}, 0 AS part, sites FROM target_rows",
+        "pei_annual": members_of_target,
         "pei_base": f"SELECT year, {_doubles(('PEI', 'se_PEI'))} FROM base",
         "cohort_members": "SELECT n AS increment_year, site, measurement, year, round(capture, 9) + 0.0 AS capture FROM cohorts",
         "increment_indicators": f"SELECT n AS increment_year, indicator, year, {stats} FROM increments",
@@ -279,20 +317,20 @@ def oracle_sql() -> dict[str, str]:
         "confidence_half_widths": f"SELECT year, {_doubles(SUMMARY + PERCENT)}, {_doubles(f'ci_{m}' for m in MEASURES)} FROM intervals",
         "summary_with_bounds": f"SELECT year, {_doubles(BOUNDS)} FROM bounds",
         "summary_absolute": f"SELECT year, {_doubles(ABSOLUTE)} FROM intervals",
-        "published_summary": _published(bounds_headers, "bounds"),
-        "published_absolute": _published(absolute_headers, "intervals"),
-        "indicator_table": f"SELECT indicator, year, {stats}, 0 AS part, sites FROM indicators",
+        "published_summary": _published(BOUNDS_HEADERS, "bounds"),
+        "published_absolute": _published(ABSOLUTE_HEADERS, "intervals"),
+        "indicator_table": f"SELECT indicator, year, {each_site}, {stats} FROM indicators",
         "indicator_members": "SELECT indicator, year, unnest(string_split(sites, '; ')) AS site FROM indicators",
-        "sites_per_year": "SELECT year, n_sites, 0 AS part, sites FROM fullest",
+        "sites_per_year": f"SELECT year, n_sites, {each_site} FROM fullest",
         "site_list_rows": "SELECT year, site FROM included",
         "site_detail": detail,
         "capture_statistics": f"SELECT year, {capture} GROUP BY year",
-        "edge_rows": f"""SELECT indicator, year, {out("mean")}, n_sites, year_prev, year_next, is_duplicate_adjacent FROM edges""",
-        "turnover_change": f"SELECT year, {_doubles(('PEI', 'RI', 'change_in_annual_mean'))} FROM turnover",
+        "edge_rows": f"""SELECT indicator, year, {out("mean")}, n_sites, edge_before, edge_after, shares_year FROM edges""",
+        "turnover_change": f"SELECT year, {_doubles(('PEI', 'RI', 'turnover'))} FROM turnover",
         "core_reduction": f"SELECT {_doubles(components)} FROM core",
         "decomposed_reduction": f"SELECT {_doubles(decomposed)} FROM decomposed",
         "simplified_reduction": "SELECT year, "
-        + _doubles(("base_PEI", "base_se_PEI", "target_PEI", "target_se_PEI", "simplified_reduction"))
+        + _doubles(simplified)
         + " FROM simplified",
         "relative_error": f"SELECT {_doubles(('true_reduction', 'simplified_reduction', 'relative_error'))} FROM error",
         "site_count_comparison": """SELECT t.year, t.n_sites AS simplified_sites, e.n_sites AS true_sites
@@ -300,16 +338,30 @@ def oracle_sql() -> dict[str, str]:
     }
     by_zone = {
         "reduction_summary_by_zone": f"SELECT zone, year, {_doubles(SUMMARY + PERCENT)} FROM summary",
+        "turnover_change_by_zone": f"SELECT zone, year, {_doubles(('PEI', 'RI', 'turnover'))} FROM turnover",
+        "core_reduction_by_zone": f"SELECT zone, {_doubles(components)} FROM core",
+        "simplified_reduction_by_zone": f"SELECT zone, year, {_doubles(simplified)} FROM simplified",
         "decomposed_reduction_by_zone": f"SELECT zone, {_doubles(decomposed)} FROM decomposed",
         "capture_statistics_by_zone": f"SELECT zone, year, {capture} GROUP BY zone, year",
-        "indicator_table_by_zone": f"SELECT zone, indicator, year, {stats}, 0 AS part, sites FROM indicators",
-        "sites_per_year_by_zone": "SELECT zone, year, n_sites, 0 AS part, sites FROM fullest",
+        "indicator_table_by_zone": f"SELECT zone, indicator, year, {each_site}, {stats} FROM indicators",
+        "sites_per_year_by_zone": f"SELECT zone, year, n_sites, {each_site} FROM fullest",
         "site_detail_by_zone": detail,
         "relative_error_by_zone": f"SELECT zone, {_doubles(('true_reduction', 'simplified_reduction', 'relative_error'))} FROM error",
         "site_count_comparison_by_zone": """SELECT t.zone, t.year, t.n_sites AS simplified_sites, e.n_sites AS true_sites
             FROM target_rows t LEFT JOIN edges e ON t.year = e.year AND t.zone = e.zone""",
     }
+    empty, summary = (1980, 1982), _doubles(SUMMARY + PERCENT)
+    variants = {
+        "pei_annual_within_site_error": _query(members_of_target, within=True),
+        "increment_indicators_within_site_error": _query(selects["increment_indicators"], within=True),
+        "base_by_zone_without_data": _query(f"SELECT zone, year, {_doubles(('PEI', 'se_PEI'))} FROM base", "zone, ", base=empty),
+        "reduction_summary_without_base": _query(f"SELECT year, {summary} FROM summary", base=empty),
+        "reduction_summary_without_base_by_zone": _query(f"SELECT zone, year, {summary} FROM summary", "zone, ", base=empty),
+        "turnover_change_since_1995": _query(selects["turnover_change"], base=(1993, 1995)),
+        "decomposed_reduction_since_1995": _query(selects["decomposed_reduction"], base=(1993, 1995)),
+    }
     return {
+        **variants,
         **{name: _query(select) for name, select in selects.items()},
         **{name: _query(select, "zone, ") for name, select in by_zone.items()},
         "eligible_site_years": _query(

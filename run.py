@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import argparse
 import json
-from dataclasses import fields, replace
+from dataclasses import replace
 
 from pyspark.sql import SparkSession
 
@@ -51,7 +51,7 @@ def main(argv: list[str] | None = None) -> None:
         assess(readings, stations, rules).publish(args.data, args.tables)
     else:
         analysis = analyse_saved(spark, args.data, rules)
-        write_tables({f.name: getattr(analysis, f.name) for f in fields(analysis)}, args.tables, fmt="csv")
+        write_tables(analysis.sorted_tables(rules), args.tables, fmt="csv")
 
 
 if __name__ == "__main__":

@@ -3,16 +3,18 @@ import json
 import duckdb
 import pytest
 from frames import plan_of, rows_of
+from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 import run
 from breathline.functions.lineage import materialise, shared_folder
-from breathline.operators import annual_site_stats, indicator_profile, reduction_summary
-from breathline.plans import assess
+from breathline.operators import annual_site_stats, clean_stations, indicator_profile, reduction_summary
+from breathline.plans import Assessment, assess
 from breathline.plans.analysis import analyse, analyse_saved
 from breathline.sources import load_frame, load_site_years, read_stations, select_readings
 from breathline.sources.published import ABSOLUTE_HEADERS, BOUNDS_HEADERS, round_numbers, with_headers
 from breathline.sources.saved import save_bucketed
-from breathline.sources.star_schema import SALES_RULES, sales_readings, sales_stations
+from breathline.sources.star_schema import SALES_RULES, name_sites, sales_readings, sales_stations
 
 DATA = "/root/testdata/sf0.001"
 
@@ -39,7 +41,7 @@ def csv(path):
 
 def test_saved_frames_hold_the_results(spark, planned, published):
     for name, frame in [
-        ("site_years", planned.site_years),
+        ("site_years", planned.flagged()),
         ("profile", planned.profile),
         ("summary_bounds", planned.bounds),
         ("summary_absolute", planned.absolute),
@@ -58,15 +60,23 @@ def test_published_csv(published, planned):
     absolute = csv(f"{published}/tables/summary_absolute")
     assert absolute.columns == [h.replace("2018", "1997") for h in ABSOLUTE_HEADERS.values()]
     indicators = csv(f"{published}/tables/indicator_data")
-    assert indicators.columns == ["indicator", "year", "mean", "se_total", "n_sites", "part", "sites"]
-    assert len(indicators.fetchall()) == planned.indicators.count()
+    assert indicators.columns == ["indicator", "year", "site", "mean", "se_total", "n_sites"]
+    rows = indicators.fetchall()
+    assert len(rows) == planned.published_indicators().count()
+    order = [(r[0] != "PEI base", r[0][-4:], not r[0].startswith("RI"), r[1], r[2]) for r in rows]
+    assert order == sorted(order)
 
 
 def test_tables_for_modelling(published):
     folder = f"{published}/tables/data_for_modelling"
     included = csv(f"{folder}/sites_to_include").fetchall()
-    assert sum(len(r[3].split("; ")) for r in included) == sum(r[1] for r in included)
-    assert len(csv(f"{folder}/site_data").fetchall()) >= sum(r[1] for r in included)
+    assert [(r[0], r[2]) for r in included] == sorted((r[0], r[2]) for r in included)
+    sizes = {r[0]: r[1] for r in included}
+    assert len(included) == sum(sizes.values())
+    detail = csv(f"{folder}/site_data")
+    at = [detail.columns.index(c) for c in ("year", "site")]
+    rows = [tuple(r[i] for i in at) for r in detail.fetchall()]
+    assert len(rows) >= len(included) and rows == sorted(rows)
     assert csv(f"{folder}/data_capture_statistics").columns == [
         "year",
         "total sites",
@@ -101,6 +111,8 @@ def test_command_line(spark, tmp_path):
     deltas = csv(f"{tmp_path}/tables/summary_absolute").fetchall()
     assert [r[3] for r in deltas] == [None, 0.06, -0.22, -0.35, 0.46]
     assert len(csv(f"{tmp_path}/analysis/relative_error").fetchall()) == 1
+    edges = csv(f"{tmp_path}/analysis/edges").fetchall()
+    assert [(r[0] != "PEI base", r[1], r[0]) for r in edges] == sorted((r[0] != "PEI base", r[1], r[0]) for r in edges)
 
 
 def test_stations_from_csv(spark, tmp_path):
@@ -125,6 +137,34 @@ def test_materialised_table_lives_in_the_shared_folder(spark):
     assert rows_of(again) == rows_of(df)
 
 
+def test_a_frame_is_not_saved_over_its_own_source(spark, published):
+    data = f"{published}/data"
+    again = assess_annual_saved(spark, data)
+    with pytest.raises(ValueError, match="another folder"):
+        again.saved_in(data)
+
+
+def assess_annual_saved(spark, data):
+    site_years = load_site_years(spark, f"{data}/site_years")
+    stations = clean_stations(sales_stations(spark, DATA), SALES_RULES)
+    return Assessment(SALES_RULES, stations, site_years, indicator_profile(site_years, SALES_RULES))
+
+
+def test_sites_of_long_keys_stay_apart_and_unlisted_suppliers_are_none(spark, tmp_path):
+    keys = [1234567890, 1234567891, 12345678901]
+    suppliers = [(k, f"Works {k}", 1) for k in keys]
+    spark.createDataFrame(suppliers, "s_suppkey LONG, s_name STRING, s_nationkey INT").write.parquet(f"{tmp_path}/supplier.parquet")
+    lines = [(k, 1, float(i), 0.1, 0.1, "1996-05-01") for i, k in enumerate([*keys, 4, None])]
+    schema = "l_suppkey LONG, l_linenumber INT, l_quantity DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_shipdate STRING"
+    df = spark.createDataFrame(lines, schema).withColumn("l_shipdate", F.expr("CAST(l_shipdate AS TIMESTAMP_NTZ)"))
+    df.write.parquet(f"{tmp_path}/lineitem.parquet")
+    named = sales_readings(spark, str(tmp_path))
+    assert sorted({r.site for r in named.collect()}) == sorted(f"Works {k}" for k in keys)
+    later = annual_site_stats(select_readings(sales_readings(spark, str(tmp_path), named=False), SALES_RULES), SALES_RULES)
+    annual = annual_site_stats(select_readings(named, SALES_RULES), SALES_RULES)
+    assert rows_of(name_sites(later, spark, str(tmp_path))) == rows_of(annual)
+
+
 # plans -----------------------------------------------------------------------------------------------------------
 
 
@@ -144,6 +184,23 @@ def test_summary_plan(spark, planned):
     assert len(moved) == 3  # annual groups, site-years, register
 
 
+def test_years_bound_the_scan(spark):
+    pushed = [line for line in plan_of(entry.scan_filtered_readings(spark, DATA)).split("\n") if "PushedFilters" in line]
+    assert any("GreaterThanOrEqual(l_shipdate" in line for line in pushed)
+    pushed = [line for line in plan_of(entry.pei_base(spark, DATA)).split("\n") if "PushedFilters" in line]
+    assert any("GreaterThanOrEqual(l_shipdate" in line and "LessThan(l_shipdate" in line for line in pushed)
+
+
+def test_simplified_reduction_needs_no_cohorts(spark):
+    assert "RangeFrame" not in plan_of(entry.simplified_reduction(spark, DATA))
+
+
+def test_flagged_site_years_need_no_cohort_windows(spark, published):
+    again = assess_annual_saved(spark, f"{published}/data")
+    for frame in (again.profile, again.published_indicators(), again.included, again.site_detail):
+        assert "RangeFrame" not in plan_of(frame)
+
+
 def test_results_do_not_depend_on_the_settings(spark, planned):
     name = "spark.sql.requireAllClusterKeysForCoPartition"
     with_settings = rows_of(round_numbers(planned.summary, 9))

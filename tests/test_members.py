@@ -1,6 +1,5 @@
-from dataclasses import replace
-
-from frames import one, rows_of, site_years
+from frames import one, plan_of, rows_of, site_years
+from pyspark.sql import functions as F
 from test_indicators import random_rows
 
 from breathline import Rules
@@ -13,9 +12,8 @@ from breathline.operators import (
     indicator_table,
     population_indicator,
     site_detail,
-    site_lists,
     sites_to_include,
-    split_sites,
+    split_list,
 )
 from breathline.schemas import STATIONS
 
@@ -45,31 +43,23 @@ def test_most_sites_wins_and_ties_go_to_base_then_early_then_ri(spark):
     ]
 
 
-def test_lists_are_sorted_and_whole(spark):
-    members = spark.createDataFrame([(2018, s, 3) for s in ("b", "A", "a")], "year INT, site STRING, n_sites BIGINT")
-    assert rows_of(site_lists(members, RULES)) == [(2018, 3, 0, "A; a; b")]
-
-
-def test_long_lists_continue_in_further_cells_and_lose_nothing(spark):
-    members = spark.range(1000).selectExpr("2018 AS year", "concat('site ', id) AS site", "1000L AS n_sites")
-    rules = replace(RULES, sites_per_cell=100)
-    lists = site_lists(members, rules)
-    cells = lists.collect()
-    assert sorted(r.part for r in cells) == list(range(10))
-    assert all(r.sites.split("; ") == sorted(r.sites.split("; ")) for r in cells)
-    assert max(len(r.sites.split("; ")) for r in cells) < 2 * rules.sites_per_cell
-    assert rows_of(split_sites(lists).select("year", "site")) == rows_of(members.select("year", "site"))
+def test_text_lists_of_older_tables_split_into_rows(spark):
+    lists = spark.createDataFrame([(2018, "A; a;b"), (2019, "c")], "year INT, sites STRING")
+    assert rows_of(split_list(lists, "sites", "site")) == [(2018, "A"), (2018, "a"), (2018, "b"), (2019, "c")]
 
 
-def test_published_indicators_have_one_cell_each(spark):
-    df = site_years(spark, random_rows(31))
-    table = indicator_table(indicator_profile(df, RULES), RULES)
-    members = indicator_members(df, table, RULES)
-    listed = site_lists(members, RULES)
-    assert listed.count() == table.count()
-    assert rows_of(split_sites(listed).select("indicator", "year", "site")) == rows_of(
-        members.select("indicator", "year", "site")
-    )
+def test_members_are_one_row_per_site_at_any_size(spark):
+    few = site_years(spark, random_rows(31))
+    many = few.crossJoin(spark.range(30)).withColumn("site", F.concat("site", F.lit(" "), "id")).drop("id")
+    for df in (few, many):
+        table = indicator_table(indicator_profile(df, RULES), RULES)
+        members = indicator_members(df, table, RULES)
+        assert members.columns == ["indicator", "year", "site", "mean", "se_total", "n_sites"]
+        assert members.count() == members.select("indicator", "year", "site").distinct().count()
+        counted = members.groupBy("indicator", "year", "n_sites").count()
+        assert counted.count() == table.count()
+        assert counted.where("count <> n_sites").count() == 0
+        assert "CollectSet(site" not in plan_of(members) and "collect_set(site" not in plan_of(members)
 
 
 def test_annual_members_match_the_counts(spark):
@@ -83,9 +73,10 @@ def test_sites_per_year_is_the_fullest_indicator(spark):
     df = site_years(spark, random_rows(33))
     table = indicator_table(indicator_profile(df, RULES), RULES)
     included = sites_to_include(df, table, RULES)
-    per_year = site_lists(included, RULES)
-    assert rows_of(per_year.select("year", "n_sites")) == rows_of(fullest_indicator(table, RULES).select("year", "n_sites"))
-    assert rows_of(split_sites(per_year).select("year", "site")) == rows_of(included.select("year", "site"))
+    fullest = fullest_indicator(table, RULES)
+    assert rows_of(included.groupBy("year", "n_sites").count()) == rows_of(
+        fullest.selectExpr("year", "n_sites", "n_sites AS count")
+    )
 
 
 def test_site_detail(spark):
