@@ -162,7 +162,77 @@ QUERIES = {
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = rf"regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+
+def _votes_sql() -> str:
+    """The rules' votes as a list, straight from their two conditions each."""
+    cases = [
+        f"CASE WHEN n_words = 0 THEN 0 WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END" for good, bad in quality.RULES.values()
+    ]
+    return f"[{', '.join(cases)}]"
+
+
+def _share_sql(wanted: int, weight: str, least: float) -> str:
+    """How often the rules vote as wanted, in the mean over documents weighted by what they are believed to be."""
+
+    def total(condition: str) -> str:
+        return f"list_sum(list_transform(e, lambda x: CASE WHEN {condition} THEN x.n * {weight} ELSE 0.0 END))"
+
+    return (
+        f"list_transform(range(1, {len(quality.RULES) + 1}), lambda j: greatest({least}::DOUBLE,"
+        f" (1 + {total(f'x.v[j] = {wanted}')}) / (2 + {total('x.v[j] <> 0')})))"
+    )
+
+
+def _believed_sql(votes: str) -> str:
+    rules = f"range(1, {len(quality.RULES) + 1})"
+
+    def product(for_vote: str, rate: str) -> str:
+        against = "-1" if for_vote == "1" else "1"
+        each = f"CASE {votes}[j] WHEN {for_vote} THEN {rate}[j] WHEN {against} THEN 1 - {rate}[j] ELSE 1.0 END"
+        return f"list_aggregate(list_transform({rules}, lambda j: {each}), 'product')"
+
+    good, bad = f"prior * {product('1', 'good')}", f"(1 - prior) * {product('-1', 'bad')}"
+    return f"({good}) / ({good} + {bad})"
+
+
 ORACLE_SQL = {
+    "op3_quality_rules": rf"""
+        WITH RECURSIVE docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+        cut AS (
+            SELECT r, doc_id, t, list_filter(regexp_split_to_array(t, '[ 	-]+'), lambda w: w <> '') AS w,
+                   list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^ 	-]')) AS l FROM docs),
+        windows AS (
+            SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS phrase
+            FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM cut)),
+        twice AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, phrase) > 1),
+        covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY r),
+        measured AS (
+            SELECT r, doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+                   length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+                   len(l) - len(list_distinct(l)) AS n_dup_lines, len(l) AS n_lines, coalesce(n, 0) AS n_repeat_words,
+                   length(regexp_replace(t, '[^\p{{L}}\p{{N}}]+', '', 'g')) AS n_alphanumeric,
+                   length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) AS n_capitals,
+                   length(regexp_replace(t, '[^!]+', '', 'g')) AS n_exclamations,
+                   length(regexp_replace(t, '[^.!?]+', '', 'g')) AS n_stops, len(list_distinct(w)) AS n_distinct
+            FROM cut LEFT JOIN covered USING (r)),
+        voted AS (
+            SELECT *, {_votes_sql()} AS v, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measured),
+        patterns AS (SELECT list({{'v': v, 'n': n}} ORDER BY v) AS ps FROM (
+            SELECT v, count(*) FILTER (NOT base_failed)::DOUBLE AS n FROM voted GROUP BY v)),
+        em(i, prior, good, bad) AS (
+            SELECT 0, 0.8::DOUBLE, list_transform(range({len(quality.RULES)}), lambda x: 0.99::DOUBLE),
+                   list_transform(range({len(quality.RULES)}), lambda x: 0.25::DOUBLE)
+            UNION ALL
+            SELECT i + 1,
+                   (1 + list_sum(list_transform(e, lambda x: x.n * x.q))) / (2 + list_sum(list_transform(e, lambda x: x.n))),
+                   {_share_sql(1, 'x.q', 1 - 1 / quality.TRUSTED)}, {_share_sql(-1, '(1 - x.q)', 0)}
+            FROM (SELECT i, list_transform(ps, lambda p: {{'v': p.v, 'n': p.n, 'q': {_believed_sql('p.v')}}}) AS e
+                  FROM em CROSS JOIN patterns WHERE i < {quality.ITERATIONS})),
+        believed AS (SELECT v, {_believed_sql('v')} AS probability
+                     FROM (SELECT DISTINCT v FROM voted) CROSS JOIN em WHERE i = {quality.ITERATIONS})
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND probability >= 0.5 AS kept, round(probability, 6) AS probability
+        FROM voted JOIN believed USING (v)""",
     "op2_url_rules": """
         WITH rules(host, path, verdict) AS (
             VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'),
