@@ -14,7 +14,7 @@ from breathline.llm import attention, language_model, secrets
 from breathline.llm.text import id_remainder, texts
 
 A_TO_Z = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-SMALL = language_model.Options(classes=4, members=8, endings=12, pair_rows=64, word_rows=256, trainers=2, rounds=2)
+SMALL = language_model.Options(classes=4, members=8, endings=12, pair_rows=64, word_rows=256, trainers=5, rounds=2, averaged=2)
 
 
 def numeric_gradient(loss, array, index, step=1e-4):
