@@ -42,7 +42,7 @@ _PRIME = np.uint64(0x9E3779B97F4A7C15)
 @dataclass(frozen=True)
 class Options:
     passage_words: int = 64
-    sample: int = 6000  # labelled documents to learn from, at most
+    sample: int = 5000  # labelled documents to learn from, at most
     hidden: int = 24
     attention: int = 12
     epochs: int = 12
@@ -167,20 +167,23 @@ class AttentionModel:
             "b": np.array([error.sum()], np.float32),
         }
 
-    def fit(self, bags: list[np.ndarray], labels: np.ndarray) -> None:
-        """Adam over small batches of documents."""
+    def fit(self, x: np.ndarray, bag: np.ndarray, labels: np.ndarray) -> None:
+        """Adam over small batches of documents.  ``x`` is standardised in place, since it is large."""
         o, rng = self.options, np.random.default_rng(self.options.seed)
-        every = np.concatenate(bags)
-        self.mean, self.spread = every.mean(axis=0), np.maximum(every.std(axis=0), 0.02)
-        bags = [(b - self.mean) / self.spread for b in bags]
+        self.mean = x.mean(axis=0)
+        variance = sum(np.square(x[i : i + 1024] - self.mean).sum(axis=0) for i in range(0, len(x), 1024)) / len(x)
+        self.spread = np.maximum(np.sqrt(variance), 0.02).astype(np.float32)
+        x -= self.mean
+        x /= self.spread
         mean, square, step = {k: 0.0 for k in self.p}, {k: 0.0 for k in self.p}, 0
         for _ in range(o.epochs):
-            order = rng.permutation(len(bags))
+            order = rng.permutation(len(labels))
             for i in range(0, len(order), o.batch):
                 some = order[i : i + o.batch]
-                bag = np.concatenate([[0], np.cumsum([len(bags[k]) for k in some])])
+                own = np.concatenate([[0], np.cumsum(bag[some + 1] - bag[some])])
+                rows = np.concatenate([np.arange(bag[k], bag[k + 1]) for k in some])
                 step += 1
-                for k, grad in self._gradients(np.concatenate([bags[k] for k in some]), bag, labels[some]).items():
+                for k, grad in self._gradients(x[rows], own, labels[some]).items():
                     grad = grad + o.decay * self.p[k]
                     mean[k] = 0.9 * mean[k] + 0.1 * grad
                     square[k] = 0.999 * square[k] + 0.001 * grad * grad
@@ -227,7 +230,12 @@ def train(docs: DataFrame, labels: DataFrame, options: Options = Options()) -> A
     if not len(rows) or wanted.min() == wanted.max():
         return float(wanted.mean()) if len(rows) else 0.5
     model = AttentionModel(options)
-    model.fit([np.frombuffer(r.x, np.float16).reshape(-1, FEATURES).astype(np.float32) for r in rows], wanted)
+    bag = np.concatenate([[0], np.cumsum([len(r.x) // (2 * FEATURES) for r in rows])])
+    x = np.empty((bag[-1], FEATURES), np.float32)
+    for i, r in enumerate(rows):
+        x[bag[i] : bag[i + 1]] = np.frombuffer(r.x, np.float16).reshape(-1, FEATURES)
+    del rows
+    model.fit(x, bag, wanted)
     return model
 
 
