@@ -158,7 +158,7 @@ def _search(segment: Segment, tests: TestSet, near: int, rarest: int) -> tuple[l
             starts = segment.starts(matrix[p])
             if len(starts):
                 change[starts] += 1
-                np.subtract.at(change, starts + length, 1)
+                change[starts + length] -= 1
                 for d in np.unique(segment.document(starts)).tolist():
                     items[d].update(owners[p])
     for item, terms in tests.item_terms:

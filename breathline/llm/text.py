@@ -114,8 +114,12 @@ def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
 
         if root not in sys.path:
             sys.path.append(root)
-        for batch in pickle.loads(packed)(batches):
-            columns = [batch.column(f.name).cast(f.type) for f in arrow]
-            yield pyarrow.RecordBatch.from_arrays(columns, schema=arrow)
+        try:
+            for batch in pickle.loads(packed)(batches):
+                columns = [batch.column(f.name).cast(f.type) for f in arrow]
+                yield pyarrow.RecordBatch.from_arrays(columns, schema=arrow)
+        finally:
+            # a worker waits for its next task beside those of other stages
+            pyarrow.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, target)

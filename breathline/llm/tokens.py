@@ -27,7 +27,7 @@ class Encoder:
     beyond their batch.  With ``by_chunk=False`` texts are encoded as they are, by any tokenizer.
     """
 
-    def __init__(self, path: str, by_chunk: bool = True, remembered: int = 300_000):
+    def __init__(self, path: str, by_chunk: bool = True, remembered: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -86,7 +86,7 @@ class Encoder:
     def encode(self, column: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and where each text's begin (one more at the end)."""
         ids, begins, total = [np.zeros(0, ID)], [np.zeros(1, np.int64)], 0
-        for part in slices(column, 8 << 20):
+        for part in slices(column, 3 << 20):
             own, at = self._encode(part)
             ids.append(own)
             begins.append(at[1:] + total)
