@@ -131,6 +131,9 @@ def test_packing(spark):
         assert sum(n for _, n in places) <= 256
     total = sum(r.length for r in found)
     assert len(by_sequence) <= 1.02 * total / 256 + 6
-    wanted = sorted((i is None, i or 0, k // 256, k, [*ids_of(t), 0][k : k + 256]) for i, t in rows for k in range(0, len(ids_of(t)) + 1, 256))
-    assert sorted((r.doc_id is None, r.doc_id or 0, r.piece, r.start, np.frombuffer(r.ids, "<u4").tolist()) for r in found) == wanted
+    wanted = []
+    for i, t in rows:
+        ids = [*ids_of(t), 0]
+        wanted += [(i is None, i or 0, k // 256, k, ids[k : k + 256]) for k in range(0, len(ids), 256)]
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.piece, r.start, np.frombuffer(r.ids, "<u4").tolist()) for r in found) == sorted(wanted)
     assert len(LONG) > 100_000
