@@ -43,6 +43,7 @@ def measured(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     Words stand between ASCII white space.  ``word_chars`` counts code points in words, ``n_symbols`` the characters
     ``#*$%&|<>``, ``n_dup_lines`` lines with a word that equal an earlier line, ``n_repeat_words`` the words that lie in a
     window of three words which the text has twice or more.  Windows are told apart by 64-bit hashes within one text.
+    ``n_alphanumeric`` counts letters, digits and the combining marks that many scripts write vowels with.
 
     All of a text is measured where its row is: nothing is exploded or shuffled.
     """
@@ -53,7 +54,7 @@ def measured(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
         _count("text", SYMBOLS),
         "size(lines) - size(array_distinct(lines))",
         "size(lines)",
-        "length(regexp_replace(text, r'[^\\p{L}\\p{N}]+', ''))",
+        "length(regexp_replace(text, r'[^\\p{L}\\p{M}\\p{N}]+', ''))",
         "length(regexp_replace(text, r'[^\\p{Lu}]+', ''))",
         _count("text", "!"),
         _count("text", ".") + " + " + _count("text", "!") + " + " + _count("text", "?"),

@@ -139,5 +139,24 @@ def test_junk_of_several_kinds_goes(spark):
     assert sorted(r.doc_id for r in kept.collect()) == list(range(300))
 
 
+def test_clean_texts_in_scripts_with_combining_marks_stay(spark):
+    rng = random.Random(8)
+
+    def script(letters, marks):
+        """Words of letters that each carry a vowel sign in most places."""
+        known = ["".join(rng.choice(letters) + rng.choice(marks + [""]) for _ in range(rng.randint(2, 5))) for _ in range(3000)]
+        words = [rng.choice(known) + ("." if k % 12 == 11 else "") for k in range(200)]
+        return " ".join(words)
+
+    hindi = ([chr(c) for c in range(0x915, 0x939)], [chr(c) for c in range(0x93E, 0x94D)])
+    tamil = (list("கஙசஞடணதநபமயரலவ"), list("ாிீுூெேைொோௌ்"))
+    arabic = (list("بتثجحخدذرزسشصضطظعغفقكلمنهي"), [chr(c) for c in range(0x64B, 0x653)])
+    clean = prose(200, words=200, vocabulary=3000)
+    clean += [script(*s) for s in (hindi, tamil, arabic) for _ in range(34)]
+    junk = [" ".join(w + "###" for w in t.split()) for t in prose(20, 1, 200, 3000)]
+    kept = quality.keep_good(documents(spark, list(enumerate(clean + junk))))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(len(clean)))
+
+
 def test_no_documents(spark):
     assert quality.judge(documents(spark, [])).count() == 0
