@@ -103,10 +103,11 @@ def passage_features(column: pa.LargeStringArray, passage_words: int) -> tuple[n
     for lag in range(1, 5):
         same = (number[lag:] == number[:-lag]) & (document[lag:] == document[:-lag])
         extra[:, lag - 1] = np.bincount(passage[lag:][same], minlength=total) / words_in
-    extra[:, 4] = np.bincount(passage, weights=length, minlength=total) / words_in / 10
+    # words and blank stretches have no greatest length; on a log scale they fit half precision, and one outlier spreads little
+    extra[:, 4] = np.log1p(np.bincount(passage, weights=length, minlength=total) / words_in) / 2
     extra[:, 5] = np.bincount(passage, weights=length > 14, minlength=total) / words_in
     extra[:, 6] = np.log1p(np.bincount(passage, minlength=total)) / 4
-    extra[:, 7] = np.bincount(passage[word[owned & (kind == 1)]], minlength=total) / words_in
+    extra[:, 7] = np.log1p(np.bincount(passage[word[owned & (kind == 1)]], minlength=total) / words_in)
     return np.concatenate([shapes, extra], axis=1), bag
 
 

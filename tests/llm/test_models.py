@@ -138,6 +138,19 @@ def test_quality_on_held_out_documents(spark):
     assert weights.sum() == pytest.approx(2, abs=1e-5)
 
 
+@pytest.mark.parametrize("outlier", ["x" * 1_000_000, "漢" * 300_000, "x" + "\n" * 100_000])
+def test_training_with_a_word_or_a_gap_of_any_length(spark, outlier):
+    rows = [(i, t if i % 2 else t.upper()) for i, t in enumerate(prose(40))] + [(40, outlier)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, label int")
+    docs = documents(spark, rows)
+    model = attention.train(docs, labels)
+    assert np.isfinite(model.mean).all() and np.isfinite(model.spread).all()
+    assert all(np.isfinite(p).all() for p in model.p.values())
+    scores = {r.doc_id: r.score for r in attention.score_quality(docs, model).collect()}
+    assert len(scores) == 41 and all(0 <= s <= 1 for s in scores.values())
+    assert min(scores[i] for i in range(1, 40, 2)) > max(scores[i] for i in range(0, 40, 2))
+
+
 def test_labels_that_teach_nothing(spark):
     docs = documents(spark, ODD)
     none = spark.createDataFrame([], "doc_id long, label int")
