@@ -58,7 +58,12 @@ def test_members_are_one_row_per_site_at_any_size(spark):
         assert members.count() == members.select("indicator", "year", "site").distinct().count()
         counted = members.groupBy("indicator", "year", "n_sites").count()
         assert counted.count() == table.count()
-        assert counted.where("count <> n_sites").count() == 0
+        # n_sites counts rows, and a repeated register row repeats the site-years of its site
+        assert counted.where("count > n_sites").count() == 0
+        assert counted.where("count < n_sites").count() > 0
+        assert rows_of(members.groupBy("indicator", "year").count()) == rows_of(
+            indicator_members(df.distinct(), table, RULES).groupBy("indicator", "year").count()
+        )
         assert "CollectSet(site" not in plan_of(members) and "collect_set(site" not in plan_of(members)
 
 
@@ -74,8 +79,22 @@ def test_sites_per_year_is_the_fullest_indicator(spark):
     table = indicator_table(indicator_profile(df, RULES), RULES)
     included = sites_to_include(df, table, RULES)
     fullest = fullest_indicator(table, RULES)
+    assert rows_of(included.select("year", "n_sites").distinct()) == rows_of(fullest.select("year", "n_sites"))
+    counted = included.groupBy("year", "n_sites").count()
+    assert counted.where("count > n_sites").count() == 0
+    # a repeated register row counts once more in n_sites, but is no further site
+    assert counted.where("count < n_sites").count() > 0
+    assert included.count() == included.select("year", "site").distinct().count()
+
+
+def test_without_repeated_register_rows_sites_and_rows_agree(spark):
+    df = site_years(spark, random_rows(33)).dropDuplicates(["site", "year", "measurement"])
+    table = indicator_table(indicator_profile(df, RULES), RULES)
+    members = indicator_members(df, table, RULES)
+    assert members.groupBy("indicator", "year", "n_sites").count().where("count <> n_sites").count() == 0
+    included = sites_to_include(df, table, RULES)
     assert rows_of(included.groupBy("year", "n_sites").count()) == rows_of(
-        fullest.selectExpr("year", "n_sites", "n_sites AS count")
+        fullest_indicator(table, RULES).selectExpr("year", "n_sites", "n_sites AS count")
     )
 
 
