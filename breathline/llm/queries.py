@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lineage import new_path
-from . import attention, contamination, language_model, licenses, packing, quality, records, secrets, simhash, urls
+from . import attention, chat_queries, contamination, language_model, licenses, packing, quality, records, secrets, simhash, urls
 from .text import id_remainder
 
 WORD_BPE = "word_bpe_49k.json"
@@ -156,7 +156,7 @@ QUERIES = {
         op9_attention_quality,
         op10_secret_scan,
     )
-}
+} | chat_queries.QUERIES
 
 # Words of a text, lower-cased A-Z, for the oracle.
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -199,8 +199,10 @@ ORACLE_SQL = {
     "op3_quality_rules": rf"""
         WITH RECURSIVE docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
         cut AS (
-            SELECT r, doc_id, t, list_filter(regexp_split_to_array(t, '[ 	-]+'), lambda w: w <> '') AS w,
-                   list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^ 	-]')) AS l FROM docs),
+            SELECT r, doc_id, t, list_filter(regexp_split_to_array(t, '[ 	-
+]+'), lambda w: w <> '') AS w,
+                   list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^ 	-
+]')) AS l FROM docs),
         windows AS (
             SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS phrase
             FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM cut)),
@@ -272,4 +274,4 @@ ORACLE_SQL = {
                CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(listed, '')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM doc_words LEFT JOIN hits USING (r) LEFT JOIN items USING (r)""",
-}
+} | chat_queries.ORACLE_SQL
