@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import repair
+from . import prefix_trie, repair
 
 
 def conversations(spark: SparkSession, folder: str) -> DataFrame:
@@ -43,7 +43,13 @@ def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op12_conversation_repair,)}
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    conv_id = F.col("conv_id")
+    borrowed = F.crc32(F.coalesce(conv_id.cast("string"), F.lit("")).cast("binary")) % 9
+    return prefix_trie.prefix_trie(conversations(spark, folder), family=conv_id - conv_id % 5, borrowed=borrowed)
+
+
+QUERIES = {f.__name__: f for f in (op12_conversation_repair, op13_prefix_trie)}
 
 
 def _crc32_sql(text: str) -> str:
@@ -133,4 +139,44 @@ def _repair_sql() -> str:
         LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM c.conv_id"""
 
 
-ORACLE_SQL = {"op12_conversation_repair": _repair_sql()}
+_TRIE_SQL = f"""
+    WITH turns AS (
+        SELECT conv_id, strlen(coalesce(text, '')) AS size, content,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, content) AS place
+        FROM (SELECT *, md5(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS content
+              FROM conversations)),
+    convs AS (
+        SELECT conv_id, conv_id - conv_id % 5 AS family,
+               CASE WHEN conv_id IS NULL THEN 0 ELSE {_crc32_sql("conv_id::VARCHAR")} % 9 END AS h
+        FROM (SELECT DISTINCT conv_id FROM conversations)),
+    rebuilt AS (
+        SELECT c.conv_id, place, content, size FROM convs c JOIN turns t ON t.conv_id = c.family AND place <= h
+        UNION ALL
+        SELECT c.conv_id, place, content, size FROM convs c
+        JOIN turns t ON t.conv_id IS NOT DISTINCT FROM c.conv_id AND place > h),
+    chains AS (
+        SELECT c.conv_id, list(content ORDER BY place) FILTER (place IS NOT NULL) AS l,
+               list(size ORDER BY place) FILTER (place IS NOT NULL) AS s
+        FROM convs c LEFT JOIN rebuilt r ON r.conv_id IS NOT DISTINCT FROM c.conv_id GROUP BY c.conv_id),
+    members AS (
+        SELECT conv_id, l, s, coalesce(len(l), 0) AS n, unnest(range(0, coalesce(len(l), 0) + 1)) AS depth FROM chains),
+    nodes AS (
+        SELECT coalesce(array_to_string(l[1:depth], ''), '') AS node, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+               any_value(l) AS l, any_value(CASE WHEN depth > 0 THEN s[depth] ELSE 0 END) AS size,
+               string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth) AS ends
+        FROM members GROUP BY ALL),
+    linked AS (
+        SELECT *, CASE WHEN depth > 0 THEN coalesce(array_to_string(l[1:depth - 1], ''), '') END AS parent FROM nodes),
+    children AS (SELECT parent AS node, count(*) AS n FROM linked WHERE depth > 0 GROUP BY 1),
+    whole AS (
+        SELECT k.*, coalesce(c.n, 0) AS n_children, p.conv_id AS parent_conv_id
+        FROM linked k LEFT JOIN children c USING (node) LEFT JOIN linked p ON p.node = k.parent),
+    below AS (
+        SELECT coalesce(array_to_string(l[1:d], ''), '') AS node, count(*) FILTER (n_children = 0) AS n_leaves,
+               sum((n_convs - 1) * size) AS saved
+        FROM (SELECT l, n_children, n_convs, size, unnest(range(0, depth + 1)) AS d FROM whole) GROUP BY 1)
+    SELECT conv_id, depth::BIGINT AS depth, parent_conv_id, n_convs::BIGINT AS n_convs, n_children::BIGINT AS n_children,
+           n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+    FROM whole JOIN below USING (node)"""
+
+ORACLE_SQL = {"op12_conversation_repair": _repair_sql(), "op13_prefix_trie": _TRIE_SQL}
