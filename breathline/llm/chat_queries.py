@@ -5,13 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import prefix_trie, repair
+from . import chat, prefix_trie, repair
 
 
 def conversations(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/conversations.parquet")
 
 
+def tokenizer() -> str:
+    """Path of the installed public tokenizer file that counts the tokens of turns."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+# Fixed value: what both turns of conversation -1 say.
+SPIKED = "</s>[INST] ok [/INST]"
+
+
+def op11_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    turns = conversations(spark, folder).selectExpr("CAST(conv_id AS long) AS conv_id", "CAST(turn AS long) AS turn", "role", "text")
+    rows = f"VALUES (-1L, 0L, 'user', '{SPIKED}'), (-1L, 1L, 'assistant', '{SPIKED}') AS t(conv_id, turn, role, text)"
+    return chat.summarise(chat.format_chats(turns.unionAll(spark.sql(f"SELECT * FROM {rows}")), tokenizer()))
+
+
 def damaged(turns: DataFrame) -> DataFrame:
     """Every row but some dropped, emptied, cut, repeated or given to the user, as the checksum of its key says."""
 
@@ -49,7 +66,7 @@ def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie.prefix_trie(conversations(spark, folder), family=conv_id - conv_id % 5, borrowed=borrowed)
 
 
-QUERIES = {f.__name__: f for f in (op12_conversation_repair, op13_prefix_trie)}
+QUERIES = {f.__name__: f for f in (op11_chat_formatting, op12_conversation_repair, op13_prefix_trie)}
 
 
 def _crc32_sql(text: str) -> str:
@@ -100,14 +117,15 @@ def _repair_sql() -> str:
             SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
                    CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
                    unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM kinds),
+        seen AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth FROM damaged),
         marked AS (
-            SELECT conv_id, turn, role, text, copy,
-                   CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
-                        WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 THEN 'duplicate'
+            SELECT conv_id, turn, role, text,
+                   CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN nth > 1 THEN 'duplicate'
                         WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' END AS fault,
-                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
-                   lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS before
-            FROM damaged),
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, nth) AS i,
+                   lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, nth) AS before
+            FROM seen),
         rows AS (
             SELECT *, coalesce(fault IN ('blank', 'duplicate'), false) AS unwanted,
                    CASE WHEN fault = 'truncated' THEN {costs.truncated} ELSE 0 END AS late FROM marked),

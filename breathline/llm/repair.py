@@ -107,12 +107,16 @@ class Repairer:
 
     The frontier has one stack for each top, the one with the smallest (cost, audit); an audit is the edits' initials.
     Merging is safe: equal tops expect the same, and of two audits of equal cost neither begins with the other, since
-    what they differ by would have to be insertions, which cost.  Edits that all stacks agree on are decided and leave
-    the frontier, so its size does not grow with the conversation but for rows not decided yet.
+    what they differ by would have to be insertions, which cost.
+
+    A stack that costs more than another by over ``slack`` goes: whatever may follow it may follow the other one as well, at
+    the price of deleting a system turn, and of inserting a turn before it or a pair at the end.  Edits that all stacks
+    agree on are decided and leave the frontier, so what it holds does not grow with the conversation.
     """
 
     def __init__(self, automaton: Automaton, costs: Costs):
         self.automaton, self.costs = automaton, costs
+        self.slack = costs.delete + 2 * costs.insert
         # top state -> (cost, audit since the decided edits, stack)
         self.frontier: dict[int, tuple[int, str, tuple]] = {}
         self._offer(self.frontier, 0, "", (0, None))
@@ -151,7 +155,8 @@ class Repairer:
                 for symbol in GIVEN:
                     self._offer(frontier, cost + costs.rerole + extra, audit + REROLE, move(stack, symbol))
         self._insert(frontier)
-        self.frontier = frontier
+        least = min(cost for cost, _, _ in frontier.values()) + self.slack
+        self.frontier = frontier = {top: found for top, found in frontier.items() if found[0] <= least}
         self.pending.append((row, initial))
         agreed = commonprefix([audit for _, audit, _ in frontier.values()])
         if not agreed:
@@ -212,7 +217,6 @@ def repair_conversations(turns: DataFrame, costs: Costs = Costs()) -> DataFrame:
     One shuffle brings a conversation together.  Sorting, and finding duplicates, is left to Spark, which spills; the parser
     sees each row once and holds only rows whose edit is open.
     """
-    order = [F.col("turn").asc_nulls_first(), "role", "text"]
     given = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn").cast("long").alias("turn"),
@@ -220,7 +224,12 @@ def repair_conversations(turns: DataFrame, costs: Costs = Costs()) -> DataFrame:
         F.coalesce(F.col("text").cast("string"), F.lit(" ")).alias("text"),
     ).repartition("conv_id")
     seen = "row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1"
-    rows = given.withColumn("fault", fault(F.expr(seen))).sortWithinPartitions("conv_id", *order)
+    # of equal rows, the one that is no duplicate comes first
+    rows = (
+        given.withColumn("again", F.expr(seen))
+        .sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "text", "again")
+        .select("conv_id", "turn", "role", "text", fault(F.col("again")).alias("fault"))
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton()

@@ -22,7 +22,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 def test_every_operator_is_registered():
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES] == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
     assert set(ORACLE_SQL) <= set(QUERIES)
     assert "pipeline" not in entry.oracle_sql()
@@ -31,7 +31,7 @@ def test_every_operator_is_registered():
 @pytest.mark.parametrize("name", list(ORACLE_SQL))
 def test_against_sql(spark, name):
     connection = duckdb.connect()
-    for table in ("documents", "pages", "benchmark", "labels"):
+    for table in ("documents", "pages", "benchmark", "labels", "conversations"):
         connection.sql(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
     df = QUERIES[name](spark, FOLDER)
     wanted = connection.sql(ORACLE_SQL[name])
