@@ -43,6 +43,7 @@ from .members import (
     sites_to_include,
     split_list,
 )
+from .moments import merge_moments, moments, stats_of_moments
 from .stations import clean_stations, eligible_site_years, operational_site_years
 
 __all__ = [
@@ -69,6 +70,8 @@ __all__ = [
     "indicator_order",
     "indicator_profile",
     "indicator_table",
+    "merge_moments",
+    "moments",
     "operational_site_years",
     "population_indicator",
     "prefer_hourly",
@@ -82,6 +85,7 @@ __all__ = [
     "sites_to_include",
     "split_by_indicator",
     "split_list",
+    "stats_of_moments",
     "summary_absolute",
     "summary_with_bounds",
     "turnover_change",

@@ -29,11 +29,16 @@ def annual_site_stats(readings: DataFrame, rules: Rules) -> DataFrame:
         F.count("value").alias("n_ok"),
         F.stddev_samp("value").alias("sd"),
     )
+    return described(stats, rules)
+
+
+def described(stats: DataFrame, rules: Rules) -> DataFrame:
+    """Annual statistics from ``mean``, ``n_ok`` and ``sd``."""
     error = "try_divide(sd, sqrt(n_ok))"
     if rules.measurement_error:
         error = quadrature(error, f"mean * {rules.measurement_error!r}D")
     return stats.select(
-        *keys,
+        *rules.keys(stats),
         "site",
         "year",
         "mean",

@@ -158,11 +158,14 @@ def base_summary(profile: DataFrame, rules: Rules) -> DataFrame:
 
 
 def base_of_site_years(site_years: DataFrame, rules: Rules) -> DataFrame:
-    """:func:`base_summary` from site-years, of which it reads the base window only.  So a series without data there is not
-    seen, and has no row unless it is the only one."""
+    """:func:`base_summary` straight from site-years.  A single series reads the base window only; where there are several,
+    the other years tell which ones there are."""
+    keys = rules.keys(site_years)
     first, last = rules.base_window
-    window = site_years.where(F.col("year").between(first, last))
-    return _base(annual_indicator(window, rules), rules, "true")
+    within = f"year BETWEEN {first} AND {last}"
+    if not keys:
+        return _base(annual_indicator(site_years.where(within), rules), rules, "true")
+    return _base(_yearly(site_years, rules, keys), rules, f"({within} AND n_sites > 0)")
 
 
 def indicator_order() -> tuple[Column, ...]:

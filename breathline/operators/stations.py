@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import half_up
@@ -18,10 +19,23 @@ def _year_of(date: str) -> str:
     return f"year(try_to_date(left({date}, 10), 'yyyy-MM-dd'))"
 
 
-def clean_stations(stations: DataFrame, rules: Rules) -> DataFrame:
+def exception_table(spark: SparkSession, rules: Rules) -> DataFrame:
+    """``Rules.site_exceptions`` as rows of ``site, first_year``."""
+    sites, years = [*rules.site_exceptions], [*rules.site_exceptions.values()]
+    return spark.createDataFrame(pa.table({"site": pa.array(sites, pa.string()), "first_year": pa.array(years, pa.int32())}))
+
+
+def rename_table(spark: SparkSession, rules: Rules) -> DataFrame:
+    """``Rules.renamed_sites`` as rows of ``site, current``."""
+    old, new = [*rules.renamed_sites], [*rules.renamed_sites.values()]
+    return spark.createDataFrame(pa.table({"site": pa.array(old, pa.string()), "current": pa.array(new, pa.string())}))
+
+
+def clean_stations(stations: DataFrame, rules: Rules, renames: DataFrame | None = None) -> DataFrame:
     """Distinct register rows of the wanted instruments, under current site names, with start and end years.
 
-    An open-ended station has a NULL end year.
+    An open-ended station has a NULL end year.  ``renames`` (``site, current``) replaces the renamed sites of ``rules``; of
+    several rows for one site the name that sorts last counts, and names are looked up once, not one through another.
     """
     keys = [k for k in rules.keys(stations) if k not in REGISTER_COLUMNS]
     instruments = " ".join(f"WHEN {text(v)} THEN {text(name)}" for v, name in rules.station_variables.items())
@@ -31,8 +45,15 @@ def clean_stations(stations: DataFrame, rules: Rules) -> DataFrame:
         .select(*keys, *REGISTER_COLUMNS)
         .distinct()
     )
-    if rules.renamed_sites:
-        kept = kept.replace(dict(rules.renamed_sites), subset=["site"])
+    if renames is not None:
+        renames = renames.groupBy("site").agg(F.max("current").alias("current"))
+    elif rules.renamed_sites:
+        renames = rename_table(stations.sparkSession, rules)
+    if renames is not None:
+        found = renames.select(F.col("site").alias("_old"), F.col("current").alias("_new"))
+        site = F.coalesce("_new", "site").alias("site")
+        joined = kept.join(found, F.col("site") == F.col("_old"), "left")
+        kept = joined.select(*[site if c == "site" else F.col(c) for c in kept.columns])
     return kept.withColumns(
         {
             "start_date": F.expr(_year_of("string(start_date)")),
@@ -63,16 +84,22 @@ def operational_site_years(site_years: DataFrame, stations: DataFrame, rules: Ru
     )
 
 
-def eligible_site_years(site_years: DataFrame, rules: Rules) -> DataFrame:
+def eligible_site_years(site_years: DataFrame, rules: Rules, exceptions: DataFrame | None = None) -> DataFrame:
     """Site-years that may enter an indicator, with capture rounded to whole percent before it is judged.
 
-    An unknown zone or site type excludes a site-year.
+    An unknown zone or site type excludes a site-year.  ``exceptions`` (``site, first_year``) replaces the exceptions of
+    ``rules``: a site's years before its first year are out; of several rows for a site the latest first year counts.  They
+    are one anti-join however many there are, on the site alone, by which site-years lie already.
     """
     kept = site_years.withColumn("capture", F.expr(half_up("capture"))).where(
         (F.col("capture") > 0)
         & ~F.col("zone").rlike(rules.excluded_zones)
         & F.col("site_type").isin(*rules.site_types)
     )
-    for site, first_year in rules.site_exceptions.items():
-        kept = kept.where(~((F.col("site") == site) & (F.col("year") < first_year)))
-    return kept
+    if exceptions is None and rules.site_exceptions:
+        exceptions = exception_table(site_years.sparkSession, rules)
+    if exceptions is None:
+        return kept
+    bounds = exceptions.select(F.col("site").alias("_site"), F.col("first_year").alias("_first_year"))
+    early = (F.col("site") == F.col("_site")) & (F.col("year") < F.col("_first_year"))
+    return kept.join(bounds, early, "left_anti")

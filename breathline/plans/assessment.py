@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from .. import operators as op
 from ..rules import Rules
-from ..sources import published, saved
+from ..sources import published, saved, versions
 
 
 @dataclass
@@ -133,18 +133,39 @@ class Assessment:
         )
         return done
 
+    def publish_version(self, root: str) -> str:
+        """:meth:`publish` as one unit, into ``data`` and ``tables`` of a new version below ``root`` (see
+        ``sources.versions``); readers see all of it, or the former version.  Returns the version's folder."""
+        spark = self.site_years.sparkSession
+        return versions.publish_version(spark, root, lambda folder: self.publish(f"{folder}/data", f"{folder}/tables"))
+
 
-def assess(readings: DataFrame, stations: DataFrame, rules: Rules) -> Assessment:
-    """Plan an assessment of selected readings (``sources.select_readings``) and a station register."""
-    return assess_annual(op.annual_site_stats(readings, rules), stations, rules)
+def assess(
+    readings: DataFrame,
+    stations: DataFrame,
+    rules: Rules,
+    exceptions: DataFrame | None = None,
+    renames: DataFrame | None = None,
+) -> Assessment:
+    """Plan an assessment of selected readings (``sources.select_readings``) and a station register.
+
+    ``exceptions`` and ``renames`` are tables in place of the entries of ``rules``; see ``operators.stations``.
+    """
+    return assess_annual(op.annual_site_stats(readings, rules), stations, rules, exceptions, renames)
 
 
-def assess_annual(annual: DataFrame, stations: DataFrame, rules: Rules) -> Assessment:
+def assess_annual(
+    annual: DataFrame,
+    stations: DataFrame,
+    rules: Rules,
+    exceptions: DataFrame | None = None,
+    renames: DataFrame | None = None,
+) -> Assessment:
     """Plan an assessment from annual statistics per site.
 
     Readings may carry a compact site key; the annual statistics, of which there are thousands of times fewer, are then
     the place to put the names that the register uses.
     """
-    register = op.clean_stations(stations, rules)
-    site_years = op.eligible_site_years(op.operational_site_years(annual, register, rules), rules)
+    register = op.clean_stations(stations, rules, renames)
+    site_years = op.eligible_site_years(op.operational_site_years(annual, register, rules), rules, exceptions)
     return Assessment(rules, register, site_years, op.indicator_profile(site_years, rules))

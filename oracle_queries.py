@@ -301,6 +301,11 @@ def oracle_sql() -> dict[str, str]:
             CAST(NULL AS VARCHAR) AS agglomeration, pollutant, measurement, averaging, CAST(NULL AS DOUBLE) AS data_capture,
             round(value, 9) + 0.0 AS value, 'Ratified' AS ratified FROM readings""",
         "annual_site_stats": f"SELECT {SITE_YEAR} FROM annual",
+        "annual_site_stats_from_batches": f"SELECT {SITE_YEAR} FROM annual",
+        "renamed_metadata": "SELECT CASE WHEN latitude % 3 < 1 THEN site || ' (' || zone || ')' ELSE site END AS site, "
+        f"{station} FROM stations",
+        "eligible_after_first_year": f"""SELECT {SITE_YEAR}, {STATION} FROM eligible e WHERE NOT EXISTS (
+            SELECT 1 FROM register r WHERE r.site = e.site AND longitude < 0 AND e.year < 1996 + floor(-longitude))""",
         "clean_metadata": "SELECT CASE site WHEN 'Supplier#000000003' THEN 'Supplier#000000003 (moved)' ELSE site END AS site, "
         f"{station} FROM stations",
         "operational_site_years": f"SELECT {SITE_YEAR}, {STATION} FROM operational",
@@ -337,6 +342,7 @@ def oracle_sql() -> dict[str, str]:
             FROM target_rows t LEFT JOIN edges e ON t.year = e.year""",
     }
     by_zone = {
+        "pei_base_by_zone": f"SELECT zone, year, {_doubles(('PEI', 'se_PEI'))} FROM base",
         "reduction_summary_by_zone": f"SELECT zone, year, {_doubles(SUMMARY + PERCENT)} FROM summary",
         "turnover_change_by_zone": f"SELECT zone, year, {_doubles(('PEI', 'RI', 'turnover'))} FROM turnover",
         "core_reduction_by_zone": f"SELECT zone, {_doubles(components)} FROM core",
@@ -355,6 +361,7 @@ def oracle_sql() -> dict[str, str]:
         "pei_annual_within_site_error": _query(members_of_target, within=True),
         "increment_indicators_within_site_error": _query(selects["increment_indicators"], within=True),
         "base_by_zone_without_data": _query(f"SELECT zone, year, {_doubles(('PEI', 'se_PEI'))} FROM base", "zone, ", base=empty),
+        "base_by_zone_from_site_years": _query(f"SELECT zone, year, {_doubles(('PEI', 'se_PEI'))} FROM base", "zone, ", base=empty),
         "reduction_summary_without_base": _query(f"SELECT year, {summary} FROM summary", base=empty),
         "reduction_summary_without_base_by_zone": _query(f"SELECT zone, year, {summary} FROM summary", "zone, ", base=empty),
         "turnover_change_since_1995": _query(selects["turnover_change"], base=(1993, 1995)),

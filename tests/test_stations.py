@@ -1,7 +1,7 @@
 from dataclasses import replace
 
 import pytest
-from frames import one, rows_of, site_years
+from frames import one, plan_of, rows_of, site_years
 
 from breathline import Rules
 from breathline.operators import clean_stations, eligible_site_years, operational_site_years
@@ -117,3 +117,41 @@ def test_series_from_both_sides(spark):
     both = annual.selectExpr("'n1' AS network", "*").unionByName(annual.selectExpr("'n2' AS network", "*"))
     df = operational_site_years(both, register, rules)
     assert rows_of(df, "network", "zone") == [("n1", "London"), ("n2", None)]
+
+
+def test_rules_as_tables_keep_the_plan_small(spark):
+    def plans(n):
+        exceptions = spark.range(n).selectExpr("concat('S', id) AS site", "2022 AS first_year")
+        renames = spark.range(n).selectExpr("concat('S', id) AS site", "concat('T', id) AS current")
+        register = clean_stations(stations(spark, ("A", "PM2.5", "2000-01-01", "ongoing")), RULES, renames)
+        eligible = eligible_site_years(site_years(spark, [{}]), RULES, exceptions)
+        return [len(plan_of(df).splitlines()) for df in (register, eligible)]
+
+    assert plans(2) == plans(100_000)
+
+
+def test_mappings_and_tables_of_rules_agree(spark):
+    many = replace(
+        RULES,
+        site_exceptions={f"S{i}": 2010 + i % 12 for i in range(500)},
+        renamed_sites={f"S{i}": f"S{i + 1}" for i in range(0, 500, 2)},
+    )
+    df = site_years(spark, [{"site": f"S{i % 700}", "year": 2010 + i % 13} for i in range(3000)])
+    kept = rows_of(eligible_site_years(df, many), "site", "year")
+    assert kept == sorted(
+        (s, y) for s, y in rows_of(df, "site", "year") if not (int(s[1:]) < 500 and y < 2010 + int(s[1:]) % 12)
+    )
+    exceptions = spark.createDataFrame([(s, y) for s, y in many.site_exceptions.items()], "site STRING, first_year INT")
+    # an earlier bound beside the real one, a bound of no site, and a null bound change nothing
+    more = spark.createDataFrame([("S1", 1900), (None, 2100), ("S2", None)], "site STRING, first_year INT")
+    assert rows_of(eligible_site_years(df, RULES, exceptions.unionByName(more)), "site", "year") == kept
+    register = stations(spark, *[(f"S{i}", "PM2.5", "2000-01-01", "ongoing") for i in range(6)])
+    wanted = [("S1",), ("S1",), ("S3",), ("S3",), ("S5",), ("S5",)]
+    assert rows_of(clean_stations(register, many), "site") == wanted
+    renames = spark.createDataFrame([*many.renamed_sites.items(), ("S0", "A first"), (None, "X")], "site STRING, current STRING")
+    assert rows_of(clean_stations(register, RULES, renames), "site") == wanted
+
+
+def test_a_site_without_a_name_meets_no_exception(spark):
+    df = site_years(spark, [{"site": None, "year": 2000}, {"site": "Warrington", "year": 2000}])
+    assert rows_of(eligible_site_years(df, RULES), "site") == [(None,)]
