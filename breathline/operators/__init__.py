@@ -38,6 +38,7 @@ from .members import (
     annual_members,
     capture_statistics,
     fullest_indicator,
+    included_detail,
     indicator_members,
     site_detail,
     sites_to_include,
@@ -64,6 +65,7 @@ __all__ = [
     "edge_rows",
     "eligible_site_years",
     "fullest_indicator",
+    "included_detail",
     "increment_deltas",
     "increment_indicators",
     "indicator_members",

@@ -96,6 +96,46 @@ def site_detail(included: DataFrame, site_years: DataFrame, stations: DataFrame,
     )
 
 
+def included_detail(site_years: DataFrame, indicators: DataFrame, stations: DataFrame, rules: Rules) -> DataFrame:
+    """:func:`site_detail` of :func:`sites_to_include`, without going by way of a list of sites.
+
+    The fullest indicator of its year, of which there is one, comes to every site-year, whose own flags then tell whether it
+    stands behind it.  One window by site and year finds the site-years beside it and those that give way, so site-years
+    are neither copied nor joined with themselves, and stay where they lie if they are laid out by site.
+    """
+    keys = rules.keys(site_years)
+    shared = [k for k in keys if k in stations.columns]
+    chosen = fullest_indicator(indicators, rules).select(*keys, "year", F.col("indicator").alias("_indicator"))
+    # one row per calendar year, unless there are many series
+    chosen = chosen if keys else F.broadcast(chosen)
+    lead = INCREMENT_YEAR.replace("indicator", "_indicator")
+    ahead = " ".join(f"WHEN {k} THEN {cohorts.counts(k)}" for k in rules.leads)
+    behind = f"if(_indicator = '{BASE_LABEL}', {cohorts.COUNTS_ALONE}, CASE int(nullif({lead}, '')) - year {ahead} END)"
+    beside = window([*keys, "site", "year"])
+    kept = (
+        cohorts.with_counting_flags(site_years, rules)
+        .join(chosen, [*keys, "year"])
+        .withColumn("_behind", F.expr(f"coalesce({behind}, false)"))
+        .withColumns({"_included": F.expr(f"bool_or(_behind) OVER {beside}")})
+        .where("_included")
+    )
+    positions = stations.select(*shared, "site", "measurement", "code", "latitude", "longitude")
+    return cohorts.prefer_hourly(kept, rules).join(positions, [*shared, "site", "measurement"], "left").select(
+        *[k for k in keys if k not in ("site_type", "zone")],
+        "site",
+        "code",
+        "latitude",
+        "longitude",
+        "year",
+        "mean",
+        F.col("se_sampling_within_site").alias("se"),
+        "capture",
+        "measurement",
+        "site_type",
+        "zone",
+    )
+
+
 def capture_statistics(site_years: DataFrame, rules: Rules) -> DataFrame:
     """Per year, how many operational site-years there are and how many of them meet the capture threshold."""
     return (

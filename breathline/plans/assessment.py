@@ -68,7 +68,7 @@ class Assessment:
 
     @cached_property
     def site_detail(self) -> DataFrame:
-        return op.site_detail(self.included, self.site_years, self.stations, self.rules)
+        return op.included_detail(self.site_years, self.indicators, self.stations, self.rules)
 
     @cached_property
     def capture_statistics(self) -> DataFrame:
@@ -107,6 +107,18 @@ class Assessment:
         saved.save_frame(op.indicator_profile(site_years, self.rules), f"{folder}/profile")
         return Assessment(self.rules, self.stations, site_years, saved.load_frame(spark, f"{folder}/profile"))
 
+    def saved_as_tables(self, name: str, buckets: int) -> Assessment:
+        """Like :meth:`saved_in`, as catalog tables ``<name>_site_years`` and ``<name>_stations``, bucketed and sorted by site,
+        and ``<name>_profile``.  Everything by site then works where the rows lie: after the write no site-year moves, also
+        not for the site table, whose windows and joins all go by site."""
+        spark = self.site_years.sparkSession
+        site_years, stations, profile = (f"{name}_{part}" for part in ("site_years", "stations", "profile"))
+        saved.save_bucketed(self.flagged(), site_years, buckets)
+        saved.save_bucketed(self.stations, stations, buckets)
+        kept = spark.table(site_years)
+        op.indicator_profile(kept, self.rules).write.mode("overwrite").saveAsTable(profile)
+        return Assessment(self.rules, spark.table(stations), kept, spark.table(profile))
+
     def publish(self, data_folder: str, tables_folder: str) -> Assessment:
         """Write everything: frames for later jobs to ``data_folder``, tables for readers to ``tables_folder``."""
         data, tables = data_folder.rstrip("/"), tables_folder.rstrip("/")

@@ -45,3 +45,16 @@ def select_readings(df: DataFrame, rules: Rules) -> DataFrame:
         *[c for c in ("date",) if c in df.columns],
         F.expr("nullif(value, double('NaN')) AS value"),
     )
+
+
+def write_readings(df: DataFrame, path: str, rows_per_file: int = 20_000_000) -> None:
+    """Write readings in the layout that :func:`read_readings` and the annual statistics want.
+
+    Folders by ``pollutant`` and ``year``, so that filters on them open no other file; rows sorted by site and instrument
+    in a file, so that a filter on sites skips row groups and a task condenses long runs of one site.  The shuffle is by
+    ranges of (pollutant, year, site, measurement, date), which cuts a site with very many readings in two where a hash
+    would not; ``rows_per_file`` bounds what one file holds.
+    """
+    order = ["pollutant", "year", "site", "measurement", *[c for c in ("date",) if c in df.columns]]
+    writer = df.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("pollutant", "year")
+    writer.option("maxRecordsPerFile", rows_per_file).mode("overwrite").parquet(path)

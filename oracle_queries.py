@@ -75,6 +75,17 @@ def steps(
         SELECT s_name, CAST(year(l_shipdate) AS INTEGER), l_shipdate,
                CASE WHEN l_tax <> 0 THEN l_quantity * 1.1 END, 'Daily', 'None', 'PM2.5', l_linenumber
         FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_suppkey % 4 IN (0, 3)"""
+    # whole numbers, as the engine cuts them off, typed in as text, with faults
+    s["typed"] = """
+        SELECT site, CASE WHEN value % 7 = 1 THEN 'y' || year ELSE year::VARCHAR END AS year,
+               CASE WHEN value % 10 = 3 THEN trunc(value)::INT || ' approx' ELSE trunc(value)::INT::VARCHAR END AS value,
+               CASE WHEN value = 50 THEN NULL ELSE pollutant END AS pollutant FROM readings"""
+    s["checked"] = """
+        SELECT site, TRY_CAST(year AS INT) AS year, TRY_CAST(value AS DOUBLE) AS value,
+               concat_ws('; ', CASE WHEN TRY_CAST(year AS INT) IS NULL THEN 'year: ' || year END,
+                         CASE WHEN pollutant IS NULL THEN 'pollutant: missing' END,
+                         CASE WHEN value IS NOT NULL AND TRY_CAST(value AS DOUBLE) IS NULL THEN 'value: ' || value END) AS faults
+        FROM typed"""
     s["annual"] = """
         SELECT site, year, measurement, avg(value) AS mean,
                stddev_samp(value) / nullif(sqrt(count(value)), 0) AS se_sampling_within_site,
@@ -300,6 +311,9 @@ def oracle_sql() -> dict[str, str]:
             CAST(NULL AS VARCHAR) AS site_type, CAST(NULL AS VARCHAR) AS local_authority, CAST(NULL AS VARCHAR) AS zone,
             CAST(NULL AS VARCHAR) AS agglomeration, pollutant, measurement, averaging, CAST(NULL AS DOUBLE) AS data_capture,
             round(value, 9) + 0.0 AS value, 'Ratified' AS ratified FROM readings""",
+        "accepted_readings": "SELECT site, year, count(value) AS n, round(sum(value), 9) + 0.0 AS total FROM checked "
+        "WHERE faults = '' GROUP BY site, year",
+        "rejected_readings": "SELECT faults, count(*) AS n FROM checked WHERE faults <> '' GROUP BY faults",
         "annual_site_stats": f"SELECT {SITE_YEAR} FROM annual",
         "annual_site_stats_from_batches": f"SELECT {SITE_YEAR} FROM annual",
         "renamed_metadata": "SELECT CASE WHEN latitude % 3 < 1 THEN site || ' (' || zone || ')' ELSE site END AS site, "

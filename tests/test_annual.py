@@ -1,12 +1,22 @@
 from dataclasses import replace
 
+import pyarrow.parquet as pq
 import pytest
 from frames import one, plan_of, rows_of
+from pyspark.sql import functions as F
 
 from breathline import Rules
 from breathline.operators import annual_site_stats
 from breathline.schemas import READINGS, STANDARD_READINGS
-from breathline.sources import conform_readings, read_readings, select_readings
+from breathline.sources import (
+    accepted,
+    checked_readings,
+    conform_readings,
+    read_readings,
+    rejected,
+    select_readings,
+    write_readings,
+)
 
 RULES = Rules()
 
@@ -113,3 +123,60 @@ def test_conform_keeps_the_first_of_two_names(spark):
     df = spark.createDataFrame([("new", "old")], "ratified STRING, qc STRING")
     assert one(conform_readings(df))["ratified"] == "new"
     assert one(conform_readings(df.select("qc", "ratified")))["ratified"] == "old"
+
+
+def test_bad_values_are_rejected_with_reasons(spark):
+    rows = [("A", "2019", "1.5", "PM2.5"), ("B", "20x9", "1,5", "PM2.5"), ("C", "2019", None, None), (None, "2019", "2", "PM2.5")]
+    df = spark.createDataFrame(rows, "site STRING, year STRING, poll_index STRING, pollutant STRING")
+    checked = checked_readings(df, ("site", "year", "pollutant"))
+    assert checked.columns == [*STANDARD_READINGS.names, "faults"]
+    good = accepted(checked)
+    assert [f.dataType for f in good.schema] == [f.dataType for f in STANDARD_READINGS]
+    assert rows_of(good, "site", "year", "value") == [("A", 2019, 1.5)]
+    assert {r.site: r.faults for r in rejected(checked).collect()} == {
+        "B": ["year: 20x9", "value: 1,5"],
+        "C": ["pollutant: missing"],
+        None: ["site: missing"],
+    }
+    # a required column that is not there at all; an empty frame
+    assert accepted(checked_readings(df, ("network",))).count() == 0
+    assert checked_readings(df.limit(0)).collect() == []
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        conform_readings(df).collect()
+
+
+def test_written_readings_are_pruned_by_folder_and_row_group(spark, tmp_path):
+    path = str(tmp_path / "readings")
+    df = spark.range(200_000).selectExpr(
+        "concat('site', lpad(id % 1000, 4, '0')) AS site",
+        "int(2015 + id % 3) AS year",
+        "timestamp_ntz '2015-01-01 00:00:00' + make_dt_interval(0, id) AS date",
+        "double(id % 11) AS value",
+        "'Hourly' AS measurement",
+        "'None' AS averaging",
+        "if(id % 5 = 0, 'NO2', 'PM2.5') AS pollutant",
+    )
+    before = spark.sparkContext._jsc.hadoopConfiguration().get("parquet.block.size")
+    spark.sparkContext._jsc.hadoopConfiguration().set("parquet.block.size", str(64 << 10))
+    try:
+        write_readings(df, path)
+    finally:
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        conf.unset("parquet.block.size") if before is None else conf.set("parquet.block.size", before)
+    read = read_readings(spark, path, replace(RULES, first_year=2017))
+    assert read.count() == df.where("year >= 2017 AND pollutant = 'PM2.5'").count()
+    files = [r.f for r in read.select(F.input_file_name().alias("f")).distinct().collect()]
+    assert files and all("pollutant=PM2.5/year=2017" in f for f in files)
+    plan = plan_of(read)
+    assert "PartitionFilters: [isnotnull(pollutant" in plan or "isnotnull(year" in plan.split("PartitionFilters")[1][:200]
+    # in every file sites come in order, and few row groups can hold any one of them
+    groups = overlapping = 0
+    for file in (tmp_path / "readings").rglob("*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        at = meta.schema.names.index("site")
+        ranges = [(s.min, s.max) for s in (meta.row_group(i).column(at).statistics for i in range(meta.num_row_groups))]
+        assert ranges == sorted(ranges) and all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:]))
+        groups += len(ranges)
+        overlapping += sum(low <= "site0500" <= high for low, high in ranges)
+    assert groups > 20 and overlapping < groups / 4
+    assert "EqualTo(site,site0500)" in plan_of(read.where("site = 'site0500'"))

@@ -1,4 +1,5 @@
 import json
+from dataclasses import replace
 
 import duckdb
 import pytest
@@ -226,6 +227,29 @@ def test_bucketed_site_years_do_not_move_at_all(spark, planned):
     assert rows_of(round_numbers(profile, 9)) == rows_of(round_numbers(planned.profile, 9))
 
 
+def test_site_detail_of_bucketed_tables_moves_no_site_year(spark, planned):
+    wanted = rows_of(round_numbers(planned.site_detail, 9))
+    buckets = 6
+    assert int(spark.conf.get("spark.sql.shuffle.partitions")) != buckets
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, -1)  # merge joins wherever a size is checked, as for tables of any size
+    try:
+        done = planned.saved_as_tables("detail", buckets)
+        plan = plan_of(done.site_detail)
+        assert "hashpartitioning(site" not in plan and f"SelectedBucketsCount: {buckets} out of {buckets}" in plan
+        assert rows_of(round_numbers(done.site_detail, 9)) == wanted
+        assert rows_of(round_numbers(done.profile, 9)) == rows_of(round_numbers(planned.profile, 9))
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_bucketed_tables_of_several_series(spark):
+    planned = assess(planned_readings(spark), sales_stations(spark, DATA), replace(SALES_RULES, series=("zone",)))
+    done = planned.saved_as_tables("detail_by_zone", 3)
+    assert rows_of(round_numbers(done.site_detail, 9)) == rows_of(round_numbers(planned.site_detail, 9))
+
+
 def test_bucketed_readings_are_aggregated_and_laid_out_in_place(spark):
     readings = planned_readings(spark)
     save_bucketed(readings, "readings_by_site", 4)

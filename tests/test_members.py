@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 from frames import one, plan_of, rows_of, site_years
 from pyspark.sql import functions as F
 from test_indicators import random_rows
@@ -7,6 +9,7 @@ from breathline.operators import (
     annual_members,
     capture_statistics,
     fullest_indicator,
+    included_detail,
     indicator_profile,
     indicator_members,
     indicator_table,
@@ -124,6 +127,18 @@ def test_site_detail(spark):
     ]
 
 
+def test_detail_by_flags_equals_detail_by_lists(spark):
+    for seed, by in ((34, ()), (35, ("zone",))):
+        rules = replace(RULES, series=by)
+        rows = [dict(r, zone="London" if int(r["site"][1:]) % 2 else "Surrey") for r in random_rows(seed)]
+        df = site_years(spark, rows)
+        table = indicator_table(indicator_profile(df, rules), rules)
+        register = df.selectExpr("site", "zone", "measurement", "concat('C', site) AS code", "1D AS latitude", "2D AS longitude")
+        register = register.distinct().where("site <> 'S2'")
+        listed = site_detail(sites_to_include(df, table, rules), df, register, rules)
+        assert rows_of(included_detail(df, table, register, rules)) == rows_of(listed)
+
+
 def test_capture_statistics(spark):
     rows = [{"site": str(i), "capture": 90.0 if i else 50.0} for i in range(16)]
     rows += [{"year": 2015}, {"operational_all_year": None}, {"operational_all_year": False}]
