@@ -10,12 +10,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import new_path
 from .text import map_arrow, texts
 from .tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
 # Sequence ids: the task above these bits, the task's own number below.
 _TASK_SHIFT = 36
+# Those of sequences packed from what tasks have left over.
+_AGAIN = 1 << 61
 
 
 class SumOfSquares:
@@ -54,20 +57,65 @@ class SumOfSquares:
         return chosen, capacity - gap
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, by_chunk: bool = True) -> DataFrame:
+class Held:
+    """Pieces by the bin they are in, until their bin is full."""
+
+    def __init__(self, capacity: int):
+        self.rule, self.capacity = SumOfSquares(capacity), capacity
+        self.rows: dict[int, list[tuple]] = {}
+
+    def place(self, length: int, row: tuple) -> list[tuple]:
+        """Place a piece; the rows of its bin, each with bin and offset, if that is full now."""
+        bin_, offset = self.rule.place(length)
+        self.rows.setdefault(bin_, []).append((*row, bin_, offset))
+        return self.rows.pop(bin_) if offset + length == self.capacity else []
+
+    def open(self) -> list[tuple]:
+        return [row for rows in self.rows.values() for row in rows]
+
+
+COLUMNS = [c.split()[0] for c in PIECES.split(", ")]
+_PLACED = f"{PIECES}, open boolean, number long"
+
+
+def _placed(rows: list[tuple], first: int, is_open: bool) -> pa.RecordBatch:
+    """Rows of (doc_id, piece, start, length, ids, number, bin, offset)."""
+    doc_id, piece, start, length, ids, number, bin_, offset = zip(*rows) if rows else [()] * 8
+    numbers = (pa.array(c, pa.int64()) for c in (doc_id, piece, start, length))
+    sequence = pa.array([first + b for b in bin_], pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [
+            *numbers,
+            pa.array(ids, pa.large_binary()),
+            sequence,
+            pa.array(offset, pa.int64()),
+            pa.array([is_open] * len(rows), pa.bool_()),
+            pa.array([first + n for n in number], pa.int64()),
+        ],
+        names=[c.split()[0] for c in _PLACED.split(", ")],
+    )
+
+
+def pack(
+    docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, by_chunk: bool = True, group_pieces: int = 200_000
+) -> DataFrame:
     """Cut every document into pieces and pack them: one row per piece, with its ``ids`` (little-endian, 32 bits), the
     sequence it is in and its ``offset`` there.
 
     A document is its token ids, then ``end_id``; only one longer than ``capacity`` is cut, each piece but the last being
-    full.  Sequences have no gaps and hold at most ``capacity`` ids.  Rows with the same id are separate documents.
-
-    Packing needs no shuffle: each task packs the documents of its own input split, an Arrow batch at a time and in it the
-    longest first, and keeps only the numbers of its open bins.  Every split may leave some bins partly filled, so the
-    loss is a few sequences for each split, not a share of the input.  A split that runs again gives the same rows.
+    full.  Sequences have no gaps and hold at most ``capacity`` ids.  Rows with the same id are separate documents; a null
+    text is an empty one.
+
+    First each task packs the documents of its own input split, an Arrow batch at a time and in it the longest first, and
+    holds back only the pieces of bins that are not full.  Everything is written to shared storage.  Then the pieces of
+    bins left open, a small share of a split of ordinary size, are packed anew, together with those of other splits,
+    in groups of about ``group_pieces``: only their numbers and lengths are shuffled for this.  So what is lost does not
+    grow with the number of splits, and no text or token is shuffled but those of open bins.  A split, or a group, that
+    runs again gives the same rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, bins = encoder(tokenizer, by_chunk), SumOfSquares(capacity)
+        encode, held, number = encoder(tokenizer, by_chunk), Held(capacity), 0
         first = TaskContext.get().partitionId() << _TASK_SHIFT
         for batch in batches:
             ids, begins = encode.encode(texts(batch.column("text")))
@@ -80,21 +128,51 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, by_
             piece = np.arange(len(document)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
             start = piece * capacity
             length = np.minimum(sizes[document] - start, capacity)
-            sequence, offset = np.empty(len(document), np.int64), np.empty(len(document), np.int64)
+            at = 4 * (begins[document] + start)
+            data, doc_id = ids.tobytes(), batch.column("doc_id").take(pa.array(document)).to_pylist()
+            full: list[tuple] = []
             for i in np.argsort(-length, kind="stable").tolist():
-                sequence[i], offset[i] = bins.place(int(length[i]))
-            data, at = ids.tobytes(), (4 * (begins[document] + start)).tolist()
-            cut = [data[a : a + 4 * b] for a, b in zip(at, length.tolist())]
+                a, size = int(at[i]), int(length[i])
+                row = (doc_id[i], int(piece[i]), int(start[i]), size, data[a : a + 4 * size], number)
+                full += held.place(size, row)
+                number += 1
+                if len(full) >= 2_000:
+                    yield _placed(full, first, False)
+                    full = []
+            yield _placed(full, first, False)
+        yield _placed(held.open(), first, True)
+
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    spark, path = docs.sparkSession, new_path(docs.sparkSession)
+    placed = map_arrow(given, run, _PLACED)
+    placed.write.partitionBy("open").parquet(path)
+    kept = spark.read.schema(placed.schema).parquet(path)
+    left = kept.where("open")
+    groups = left.count() // group_pieces + 1
+    again = left.drop("sequence_id", "offset").join(_packed_again(left, capacity, groups), "number")
+    return kept.where("NOT open").select(*COLUMNS).unionByName(again.select(*COLUMNS))
+
+
+def _packed_again(pieces: DataFrame, capacity: int, groups: int) -> DataFrame:
+    """``number``, ``sequence_id`` and ``offset`` of pieces known by number and length, packed group by group, longest
+    first."""
+    rows = (
+        pieces.select("number", "length", F.expr(f"pmod(xxhash64(number), {groups})").alias("group"))
+        .repartition(groups, "group")
+        .sortWithinPartitions("group", F.desc("length"), "number")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, rule = None, None
+        for batch in batches:
+            sequence, offset = np.empty(batch.num_rows, np.int64), np.empty(batch.num_rows, np.int64)
+            for i, (length, group) in enumerate(zip(batch.column("length").to_pylist(), batch.column("group").to_pylist())):
+                if group != current:
+                    current, rule = group, SumOfSquares(capacity)
+                bin_, offset[i] = rule.place(length)
+                sequence[i] = _AGAIN + (group << _TASK_SHIFT) + bin_
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").take(pa.array(document)),
-                    *map(pa.array, (piece, start, length)),
-                    pa.array(cut, pa.large_binary()),
-                    pa.array(sequence + first),
-                    pa.array(offset),
-                ],
-                names=["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"],
+                [batch.column("number"), pa.array(sequence), pa.array(offset)], names=["number", "sequence_id", "offset"]
             )
 
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_arrow(given, run, PIECES)
+    return map_arrow(rows, run, "number long, sequence_id long, offset long")

@@ -137,3 +137,26 @@ def test_packing(spark):
         wanted += [(i is None, i or 0, k // 256, k, ids[k : k + 256]) for k in range(0, len(ids), 256)]
     assert sorted((r.doc_id is None, r.doc_id or 0, r.piece, r.start, np.frombuffer(r.ids, "<u4").tolist()) for r in found) == sorted(wanted)
     assert len(LONG) > 100_000
+
+
+@pytest.mark.parametrize(("splits", "group_pieces"), [(1, 200_000), (8, 200_000), (200, 200_000), (40, 300)])
+def test_splits_hardly_cost_any_sequences(spark, splits, group_pieces):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(splits)
+    found = packing.pack(docs, PATH, end_id=0, group_pieces=group_pieces).drop("ids").collect()
+    by_sequence = {}
+    for r in found:
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in by_sequence.values():
+        places.sort()
+        assert [a for a, _ in places] == [0, *np.cumsum([n for _, n in places])[:-1].tolist()]
+        assert sum(n for _, n in places) <= 2048
+    assert len({(r.doc_id, r.piece) for r in found}) == len(found)
+    least = -(-sum(r.length for r in found) // 2048)
+    groups = 1 + len(found) // group_pieces
+    assert len(by_sequence) <= 1.01 * least + groups
+
+
+def test_packing_of_nothing(spark):
+    assert packing.pack(documents(spark, []), PATH, end_id=0).collect() == []
+    (only,) = packing.pack(documents(spark, [(None, None)]), PATH, end_id=9).collect()
+    assert (only.doc_id, only.piece, only.length, only.offset, bytes(only.ids)) == (None, 0, 1, 0, b"\x09\0\0\0")
