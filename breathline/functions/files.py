@@ -11,6 +11,12 @@ def _open(spark: SparkSession, path: str):
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system spelled out, for those who open it outside Spark."""
+    system, place = _open(spark, path)
+    return system.makeQualified(place).toString()
+
+
 def names_in(spark: SparkSession, folder: str) -> list[str]:
     """What a folder holds, sorted; nothing if it does not exist."""
     system, place = _open(spark, folder)

@@ -6,13 +6,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .files import qualified, remove
+
 
 def shared_folder(spark: SparkSession) -> str:
     """This application's own folder below the one the cluster names in ``spark.checkpoint.dir``.
 
-    Where that is unset, as in small tests, the warehouse stands in: driver and executors share it as well.
+    Where that is unset, the warehouse stands in.  On a cluster that must be a folder that all machines see, so one in the
+    driver's own file system is refused.
     """
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        top = spark.conf.get("spark.sql.warehouse.dir")
+        if not spark.sparkContext.master.startswith("local") and qualified(spark, top).startswith("file:"):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines share; {top} is the driver's own")
     return f"{top.rstrip('/')}/breathline/{spark.sparkContext.applicationId}"
 
 
@@ -36,5 +43,4 @@ def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Remove all tables this application has written with :func:`materialise`."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, shared_folder(spark))

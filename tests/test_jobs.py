@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import run
+from breathline.functions.files import qualified
 from breathline.functions.lineage import materialise, shared_folder
 from breathline.operators import annual_site_stats, clean_stations, indicator_profile, reduction_summary
 from breathline.plans import Assessment, assess
@@ -138,6 +139,35 @@ def test_materialised_table_lives_in_the_shared_folder(spark):
     assert rows_of(again) == rows_of(df)
 
 
+def test_folders_without_a_scheme_are_in_the_default_file_system(spark):
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    assert qualified(spark, "/shared/x") == "file:/shared/x"
+    try:
+        conf.set("fs.defaultFS", "hdfs://127.0.0.1:1")
+        assert qualified(spark, "/shared/x") == "hdfs://127.0.0.1:1/shared/x"
+    finally:
+        conf.set("fs.defaultFS", before)
+
+
+class Cluster:
+    """As much of a session as the choice of the shared folder looks at, on a cluster."""
+
+    def __init__(self, spark, **settings):
+        self.conf = {"spark.sql.warehouse.dir": "/tmp/warehouse"} | settings
+        self.sparkContext = self
+        self.master, self.applicationId = "spark://host:7077", "app"
+        self._jvm, self._jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    assert shared_folder(Cluster(spark, **{"spark.checkpoint.dir": "/mnt/shared/"})) == "/mnt/shared/breathline/app"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(Cluster(spark))
+    away = Cluster(spark, **{"spark.sql.warehouse.dir": "hdfs://127.0.0.1:1/warehouse"})
+    assert shared_folder(away) == "hdfs://127.0.0.1:1/warehouse/breathline/app"
+
+
 def test_a_frame_is_not_saved_over_its_own_source(spark, published):
     data = f"{published}/data"
     again = assess_annual_saved(spark, data)
