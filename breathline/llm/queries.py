@@ -199,10 +199,8 @@ ORACLE_SQL = {
     "op3_quality_rules": rf"""
         WITH RECURSIVE docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
         cut AS (
-            SELECT r, doc_id, t, list_filter(regexp_split_to_array(t, '[ 	-
-]+'), lambda w: w <> '') AS w,
-                   list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^ 	-
-]')) AS l FROM docs),
+            SELECT r, doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
+                   list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM docs),
         windows AS (
             SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS phrase
             FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM cut)),
@@ -212,7 +210,7 @@ ORACLE_SQL = {
             SELECT r, doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
                    length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
                    len(l) - len(list_distinct(l)) AS n_dup_lines, len(l) AS n_lines, coalesce(n, 0) AS n_repeat_words,
-                   length(regexp_replace(t, '[^\p{{L}}\p{{N}}]+', '', 'g')) AS n_alphanumeric,
+                   length(regexp_replace(t, '[^\p{{L}}\p{{M}}\p{{N}}]+', '', 'g')) AS n_alphanumeric,
                    length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) AS n_capitals,
                    length(regexp_replace(t, '[^!]+', '', 'g')) AS n_exclamations,
                    length(regexp_replace(t, '[^.!?]+', '', 'g')) AS n_stops, len(list_distinct(w)) AS n_distinct

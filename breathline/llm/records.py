@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.files import qualified
 from .text import map_arrow, texts
 from .tokens import encoder
 
@@ -80,7 +81,7 @@ def parse(content: bytes) -> tuple[int | None, np.ndarray]:
 
 
 def open_folder(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    """The file system of a shared folder, which every task opens by itself."""
+    """The file system of a shared folder, which every task opens by itself; the folder as ``files.qualified`` gives it."""
     if folder.startswith("file:"):
         folder = "/" + folder.removeprefix("file:").lstrip("/")
     if "://" not in folder:
@@ -94,7 +95,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, by_
 
     One range shuffle of the texts gives the order; it also spreads rows that share one id.  A task holds one Arrow batch.
     """
-    target = f"{folder}/records"
+    target = qualified(docs.sparkSession, f"{folder}/records")
     filesystem, path = open_folder(target)
     filesystem.create_dir(path, recursive=True)
 
@@ -154,7 +155,7 @@ def read_records(spark: SparkSession, folder: str, files_at_once: int | None = N
     """
     files = read_index(spark, folder).groupBy("file").agg(F.sum("n_tokens").alias("n_tokens"))
     starts = files.selectExpr("file", "sum(n_tokens) OVER (ORDER BY file) - n_tokens AS start")
-    target = f"{folder}/records"
+    target = qualified(spark, f"{folder}/records")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, place = open_folder(target)
@@ -178,7 +179,7 @@ def read_records(spark: SparkSession, folder: str, files_at_once: int | None = N
 def read_shuffled(spark: SparkSession, folder: str, seed: int) -> DataFrame:
     """``doc_id``, ``place`` and ``ids`` of all records in a random order that ``seed`` fixes: by ``place`` over all
     partitions.  Index rows are shuffled, not records; each task then fetches its records by offset."""
-    target = f"{folder}/records"
+    target = qualified(spark, f"{folder}/records")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, place = open_folder(target)

@@ -281,3 +281,42 @@ def test_network_tells_known_findings_apart():
     p = network.probability(network.logits(secret + other))
     assert (p[:200] >= network.thresholds["hex"]).mean() >= 0.98
     assert (p[200:] >= network.thresholds["mixed"]).mean() <= 0.02
+
+
+def test_a_network_needs_the_fewest_findings_and_no_more(spark):
+    rows = [(i, f"key 0123456789abcdef{i:04x} and ref x{i}y{i}zz9") for i in range(12)]
+    docs = documents(spark, rows)
+    counted = {r.label: r["count"] for r in secrets.findings(docs, secrets.Options()).groupBy("label").count().collect()}
+    fewest = min(counted.values())
+    assert secrets.train(docs, secrets.Options(fewest=fewest + 1, epochs=1)) is None
+    network = secrets.train(docs, secrets.Options(fewest=fewest, epochs=1))
+    assert set(network.thresholds) == set(network.precision) == {"hex", "upper", "mixed"}
+
+
+def test_long_findings_are_learnt_from_in_stretches(spark):
+    long = "0123456789abcdef" * 1000
+    options = secrets.Options(stretch=1024)
+    found = secrets.findings(documents(spark, [(1, f"start {long} end"), (2, "xy12" * 3000)]), options).collect()
+    sizes = {label: sum(r.end - r.begin for r in found if r.label == label) for label in (0, 1)}
+    assert max(len(r.text) for r in found) <= options.stretch + options.before + options.after
+    # equal stretches are one finding; the first and the last have context of their own
+    assert len([r for r in found if r.label == 1]) >= 3 and sizes[1] >= 3 * 600 and sizes[0] > 0
+
+
+def test_thresholds_keep_the_recall_wanted():
+    rng = random.Random(4)
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    windows, labels = [], []
+    for i in range(600):
+        # hardly to be told apart, so that the constraint is below one half
+        secret = i % 3 == 0
+        run = "".join(rng.choice(alphabet[:40] if secret and i % 2 else alphabet) for _ in range(16))
+        windows.append((f"ref {run} x", 4, 20))
+        labels.append(float(secret))
+    network = secrets.CharNetwork(secrets.Options(epochs=2, recall=0.9))
+    network.fit(windows, np.array(labels))
+    order = np.random.default_rng(network.options.seed).permutation(len(windows))
+    held = [k for k in order[: len(order) // 3] if labels[k]]
+    caught = network.probability(network.logits([windows[k] for k in held])) >= network.thresholds["mixed"]
+    assert caught.mean() >= 0.9 and network.thresholds["mixed"] < 0.5
+    assert 0 < network.precision["mixed"] < 1

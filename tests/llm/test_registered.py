@@ -149,3 +149,19 @@ def test_op10(spark, texts):
         assert row[1:4] == tuple(kinds.count(k) for k in ("assign", "access", "hex"))
         assert row[4] == hashlib.sha256(",".join(listed).encode()).hexdigest()
         assert [s for s in row[5].split(",") if s and not s.startswith("model")] == listed
+
+
+def test_quality_sql_on_odd_separators_and_combining_marks(spark, tmp_path):
+    hindi = "यह एक साफ़ हिन्दी वाक्य है जिसमें कई मात्राएँ हैं।"
+    rows = [(1, "\r".join(f"word{i}" for i in range(60)) + "."), (2, "\x0b".join(f"w{i}" for i in range(70)))]
+    rows += [(3, "\x0c".join(f"x{i}" for i in range(55)) + "\r\n!"), (4, " ".join(f"{hindi}{i}" for i in range(12)))]
+    rows += [(5, None), (6, ""), (7, "\x0b\x0c\r"), (8, "a\x1cb\x85c " * 60)]
+    rows += [(10 + i, " ".join(f"wort{(i * 7 + k) % 211}" for k in range(90)) + ".") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    connection = duckdb.connect()
+    connection.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    df, wanted = QUERIES["op3_quality_rules"](spark, str(tmp_path)), connection.sql(ORACLE_SQL["op3_quality_rules"])
+    columns = sorted(df.columns)
+    found = sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
+    assert found == sorted((tuple(r[wanted.columns.index(c)] for c in columns) for r in wanted.fetchall()), key=repr)
+    assert {r.doc_id: r.n_words for r in df.collect()}[1] == 60
