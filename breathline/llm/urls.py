@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import materialise
+from ..functions.sql import text
 from .text import LOWER, UPPER
 
 BLOCK, ALLOW = "block", "allow"
@@ -23,8 +24,11 @@ class Rule:
 
 
 def rule_table(spark, rules: list[Rule]) -> DataFrame:
-    rows = [(r.verdict, r.host, r.path) for r in rules]
-    return spark.createDataFrame(rows, "verdict string, host string, path string")
+    """A short list of rules as rows, written out in the plan; long lists are tables with these columns already."""
+    if not rules:
+        return spark.range(0).selectExpr("'' AS verdict", "'' AS host", "'' AS path")
+    rows = ", ".join(f"({text(r.verdict)}, {text(r.host)}, {text(r.path)})" for r in rules)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(verdict, host, path)")
 
 
 def host_and_path(url: str = "url") -> tuple[F.Column, F.Column]:
