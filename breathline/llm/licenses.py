@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import deque
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,23 +19,13 @@ from .text import LOWER_ALNUM, map_arrow, mapped, slices, texts, words
 
 # Phrases that name a licence.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-# Public notices and licence passages.
-TEMPLATES = (
-    ("mit", "released under the mit license"),
-    (
-        "mit",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated"
-        " documentation files the software to deal in the software without restriction including without limitation the"
-        " rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit"
-        " persons to whom the software is furnished to do so subject to the following conditions",
-    ),
-    ("apache", "licensed under the apache license version 2 0"),
+# The notices that public licences ask for.
+NOTICES = (
     (
         "apache",
-        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on"
-        " an as is basis without warranties or conditions of any kind either express or implied",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the"
+        " license you may obtain a copy of the license at",
     ),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
     (
         "gpl",
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general public"
@@ -40,12 +33,48 @@ TEMPLATES = (
         " version",
     ),
     (
-        "bsd",
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the"
-        " following conditions are met",
+        "lgpl",
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general"
+        " public license as published by the free software foundation either version 2 1 of the license or at your option"
+        " any later version",
+    ),
+    (
+        "mpl",
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not"
+        " distributed with this file you can obtain one at",
     ),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
 )
+# The parts of Creative Commons licences, and their versions in use.
+CREATIVE_COMMONS = (("by",), ("by", "sa"), ("by", "nd"), ("by", "nc"), ("by", "nc", "sa"), ("by", "nc", "nd"))
+PARTS = {"by": "attribution", "sa": "sharealike", "nd": "noderivatives", "nc": "noncommercial"}
+VERSIONS = ("3 0", "4 0")
+# whole public licence texts, one file each, named by label and version
+FOLDER = Path(__file__).resolve().parent / "licences"
+
+
+def creative_commons() -> list[tuple[str, str]]:
+    """Short and long notice of every Creative Commons licence."""
+    return [
+        ("cc-" + "-".join(parts), f"this work is licensed under {name} {version}{more}")
+        for parts in CREATIVE_COMMONS
+        for version in VERSIONS
+        for name, more in (
+            ("cc " + " ".join(parts), ""),
+            ("a creative commons " + " ".join(PARTS[p] for p in parts), " international license"),
+        )
+    ]
+
+
+def template_words(text: str) -> str:
+    return " ".join(words(mapped(pa.array([text], pa.large_string()), LOWER_ALNUM))[0].to_pylist())
+
+
+@lru_cache(maxsize=4)
+def licence_templates(folder: Path = FOLDER) -> tuple[tuple[str, str], ...]:
+    """(label, words) of the whole texts in a folder, whose files are named ``<label>.<version>.txt``, and of the notices."""
+    whole = [(p.name.split(".")[0], template_words(p.read_text("utf-8"))) for p in sorted(folder.glob("*.txt"))]
+    return (*whole, *NOTICES, *creative_commons())
+
 
 FOUND = (
     "doc_id long, n_words long, places array<struct<label: string, start: long>>, "
@@ -65,11 +94,28 @@ class SuffixAutomaton:
             for i, word in enumerate(sequence):
                 last = self._extend(last, word, ends)
                 ends[last].append((number, i + 1))
-        # a stretch also ends wherever one that it is a suffix of does
-        for state in sorted(range(1, len(self.next)), key=self.length.__getitem__, reverse=True):
-            if self.link[state] > 0:
-                ends[self.link[state]] += ends[state]
-        self.ends = [sorted(set(e)) for e in ends]
+        # a stretch also ends wherever one that it is a suffix of does, which are the states below it in the tree of links: in
+        # the order of that tree these ends lie next to each other, each kept once
+        below: list[list[int]] = [[] for _ in self.next]
+        for state in range(1, len(self.next)):
+            below[self.link[state]].append(state)
+        order, waiting = [], [0]
+        while waiting:
+            state = waiting.pop()
+            order.append(state)
+            waiting += below[state]
+        self.flat_ends: list[tuple[int, int]] = []
+        self.first_end, counts = [0] * len(self.next), [len(e) for e in ends]
+        for state in order:
+            self.first_end[state] = len(self.flat_ends)
+            self.flat_ends += ends[state]
+        for state in reversed(order[1:]):
+            counts[self.link[state]] += counts[state]
+        self.n_ends = counts
+
+    def ends(self, state: int) -> list[tuple[int, int]]:
+        """Every (sequence, end) at which the stretches of a state end."""
+        return self.flat_ends[self.first_end[state] : self.first_end[state] + self.n_ends[state]]
 
     def _new(self, length: int, ends: list) -> int:
         self.next.append({})
@@ -120,13 +166,13 @@ class Match:
     begin: int  # in the template
     length: int
 
+    @property
+    def end(self) -> int:
+        return self.start + self.length
 
-@dataclass
-class Chain:
-    start: int
-    end: int
-    reached: int  # in the template
-    covered: int
+    @property
+    def reached(self) -> int:
+        return self.begin + self.length
 
 
 class Scanner:
@@ -180,29 +226,66 @@ class Scanner:
                 if length >= self.sizes[phrase]:
                     places.append({"label": self.labels[phrase], "start": start + i + 1 - self.sizes[phrase]})
             if length >= self.min_match and (i + 1 == len(found) or found[i + 1][1] != length + 1):
-                for template, end in self.automaton.ends[state]:
+                for template, end in self.automaton.ends(state):
                     matches[template].append(Match(start + i + 1 - length, end - length, length))
 
     def chained(self, template: int, matches: list[Match]) -> list[dict]:
-        """Matches, in the order of the document, each put on the chain that it carries on furthest along the template."""
-        chains: list[Chain] = []
-        open_chains: list[Chain] = []
-        for m in matches:
-            open_chains = [c for c in open_chains if m.start - c.end <= self.max_gap]
-            ahead = {id(c): min(m.begin + m.length - max(m.begin, c.reached), m.start + m.length - c.end) for c in open_chains}
-            fitting = [c for c in open_chains if ahead[id(c)] > 0]
-            if fitting:
-                chain = max(fitting, key=lambda c: c.covered)
-                chain.covered += ahead[id(chain)]
-                chain.end, chain.reached = m.start + m.length, m.begin + m.length
-            else:
-                chain = Chain(m.start, m.start + m.length, m.begin + m.length, m.length)
-                chains.append(chain)
-                open_chains.append(chain)
+        """Chains of matches, in the order of the document, that go on in the template: each match is put behind the one that
+        makes its chain cover most words, and chains are then read off from the longest on.  No match is on two of them."""
+        covered, behind = [], []
+        near: deque[int] = deque()
+        for n, m in enumerate(matches):
+            while near and matches[near[0]].end < m.start - self.max_gap:
+                near.popleft()
+            best, before = m.length, -1
+            for i in near:
+                o = matches[i]
+                ahead = min(m.end - max(m.start, o.end), m.reached - max(m.begin, o.reached))
+                if ahead > 0 and covered[i] + ahead > best:
+                    best, before = covered[i] + ahead, i
+            covered.append(best)
+            behind.append(before)
+            near.append(n)
+        used = [False] * len(matches)
         size, label = self.sizes[template], self.labels[template]
-        return [
-            {"label": label, "start": c.start, "end": c.end, "coverage": min(1.0, c.covered / size)} for c in chains
-        ]
+        chains = []
+        for last in sorted(range(len(matches)), key=lambda n: (-covered[n], n)):
+            first = n = last
+            while n >= 0 and not used[n]:
+                used[n], first, n = True, n, behind[n]
+            words_ = covered[last] - (covered[n] if n >= 0 else 0)
+            if n != last:
+                share = min(1.0, words_ / size)
+                place = {"label": label, "start": matches[first].start, "end": matches[last].end}
+                chains.append(place | {"coverage": share, "covered": words_})
+        return chains
+
+    def spans(self, by_template: list[list[Match]], coverage: float) -> list[dict]:
+        """Spans of one document that cover enough of a template.  Licences share passages: of spans that overlap by more than
+        half of the shorter one, the one that covers more words stays, then the one with more of its template, then the first."""
+        found = []
+        for t, some in enumerate(by_template[self.n_phrases :], self.n_phrases):
+            if sum(m.length for m in some) >= coverage * self.sizes[t]:
+                found += [s for s in self.chained(t, some) if s["coverage"] >= coverage]
+        found.sort(key=lambda s: (-s["covered"], -s["coverage"], s["start"], s["label"]))
+        kept = Taken()
+        return sorted((s for s in found if kept.take(s["start"], s["end"])), key=lambda s: (s["start"], s["end"], s["label"]))
+
+
+class Taken:
+    """Stretches of a text, none of which lies for more than half of the shorter one in another."""
+
+    def __init__(self):
+        self.stretches: list[tuple[int, int]] = []
+
+    def take(self, start: int, end: int) -> bool:
+        """Add a stretch that is no longer in words than those before, unless too much of it is taken."""
+        at = bisect_left(self.stretches, (start, end))
+        for a, b in self.stretches[max(0, at - 2) : at + 2]:
+            if 2 * (min(end, b) - max(start, a)) > min(end - start, b - a):
+                return False
+        self.stretches.insert(at, (start, end))
+        return True
 
 
 @lru_cache(maxsize=4)
@@ -212,7 +295,7 @@ def own_scanner(phrases, templates, min_match: int, max_gap: int) -> Scanner:
 
 
 def scan_licenses(
-    docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, min_match: int = 3, max_gap: int = 8, coverage: float = 0.6
+    docs: DataFrame, phrases=PHRASES, templates=None, min_match: int = 4, max_gap: int = 8, coverage: float = 0.6
 ) -> DataFrame:
     """One row per document: ``places`` where a phrase's words stand consecutively, all of them, and ``spans`` that cover at
     least ``coverage`` of a template; positions count words from 0.
@@ -220,8 +303,12 @@ def scan_licenses(
     A-Z are lower-cased; words are letters, digits and characters beyond ASCII.  The automaton holds all phrases and templates,
     which are parameters.  Each whole text is streamed through it; where a match of ``min_match`` words or more cannot be
     continued it is noted with every place in a template that reads the same, and matches at most ``max_gap`` words apart that
-    go on in the same template are chained into one span.  Nothing is shuffled.
+    go on in the same template are chained into one span.  Where spans overlap, the one that covers most words stays.  Without
+    ``templates``, they are ``licence_templates()``: whole licence texts and notices.  Nothing is shuffled.
+
+    A null or empty text has no words, places or spans; repeated rows each give a row of their own, also without ``doc_id``.
     """
+    templates = licence_templates() if templates is None else tuple(templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,8 +331,7 @@ def scan_licenses(
             scanner.scan(term[a:b].tolist(), a - int(begins[d]), places[d], own)
         spans: list[list[dict]] = [[] for _ in range(n)]
         for d, by_template in matches.items():
-            for t, some in enumerate(by_template[scanner.n_phrases :], scanner.n_phrases):
-                spans[d] += [s for s in scanner.chained(t, some) if s["coverage"] >= coverage]
+            spans[d] = [{k: s[k] for k in ("label", "start", "end", "coverage")} for s in scanner.spans(by_template, coverage)]
         return pa.RecordBatch.from_arrays(
             [
                 doc_ids,

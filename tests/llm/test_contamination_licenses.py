@@ -96,7 +96,7 @@ def test_matching_statistics(seed):
         assert length == longest_suffix(text, i, sources)
         stretch = text[i - length : i]
         ends = [(n, k + length) for n, s in enumerate(sources) for k in range(len(s) - length + 1) if s[k : k + length] == stretch]
-        assert length == 0 or automaton.ends[state] == ends
+        assert length == 0 or sorted(automaton.ends(state)) == ends
 
 
 def places_of(text, phrases):
@@ -120,22 +120,67 @@ def test_places_of_phrases(spark):
     assert sorted(got, key=order) == sorted([(i, len(words_of(t)), places_of(t, phrases)) for i, t in rows], key=order)
 
 
+def whole(name):
+    return (licenses.FOLDER / name).read_text("utf-8")
+
+
+def spans_of(spark, rows, **options):
+    found = licenses.scan_licenses(documents(spark, rows), **options).collect()
+    return {r.doc_id: [(s.label, s.start, s.end, round(s.coverage, 2)) for s in r.spans] for r in found}
+
+
 def test_spans_cover_templates(spark):
-    mit = licenses.TEMPLATES[1][1].split()
+    mit = words_of(whole("mit.MIT.txt"))
     changed = [w if i % 15 != 7 else "anders" for i, w in enumerate(mit)]
     rows = [
         (1, "vor " * 5 + " ".join(mit) + " nach"),
         (2, "vor " * 5 + " ".join(changed) + " nach"),
-        (3, " ".join(mit[:20])),
+        (3, " ".join(mit[:40])),
         (4, "Licensed under CC BY-NC 4.0."),
         (5, " ".join(mit) + " und noch einmal " + " ".join(mit)),
         (6, "the software is provided to the person and the license of the"),
+        (7, "This work is licensed under CC BY-NC-SA 4.0"),
     ]
-    found = {r.doc_id: [(s.label, s.start, s.end, round(s.coverage, 2)) for s in r.spans] for r in licenses.scan_licenses(documents(spark, rows)).collect()}
-    n = len(mit)
+    found, n = spans_of(spark, rows), len(mit)
     assert found[1] == [("mit", 5, 5 + n, 1.0)]
     (label, start, end, coverage), = found[2]
     assert (label, start, end) == ("mit", 5, 5 + n) and 0.85 <= coverage < 1
     assert found[3] == [] and found[6] == []
-    assert found[4] == [("cc-by-nc", 0, 7, 1.0)]
+    assert found[4] == [("cc-by-nc", 0, 7, 0.7)]
     assert found[5] == [("mit", 0, n, 1.0), ("mit", n + 3, 2 * n + 3, 1.0)]
+    assert found[7] == [("cc-by-nc-sa", 0, 11, 1.0)]
+
+
+def test_every_whole_licence_is_known(spark):
+    """Each text as it is, reworded (every 23rd word another one), interrupted by six foreign words every 60, and its half."""
+    names = sorted(p.name for p in licenses.FOLDER.glob("*.txt"))
+    assert {n.split(".")[0] for n in names} == {"apache", "bsd", "cc0", "gpl", "isc", "lgpl", "mit", "mpl"}
+    rows = []
+    for k, name in enumerate(names):
+        w = words_of(whole(name))
+        reworded = [x if i % 23 != 11 else "anders" for i, x in enumerate(w)]
+        interrupted = [y for i, x in enumerate(w) for y in ([x] if i % 60 != 59 else [*("fremd " * 6).split(), x])]
+        rows += [(4 * k + j, " ".join(x)) for j, x in enumerate((w, reworded, interrupted, w[: len(w) // 2]))]
+    found = spans_of(spark, rows)
+    for k, name in enumerate(names):
+        label, n = name.split(".")[0], len(words_of(whole(name)))
+        assert found[4 * k] == [(label, 0, n, 1.0)]
+        for j, least in ((1, 0.8), (2, 0.95)):
+            (other, start, end, coverage), = found[4 * k + j]
+            assert other == label and start == 0 and end >= n and coverage >= least, (name, found[4 * k + j])
+        # half of a text is not that text, but may hold all of a notice, or of a shorter licence
+        assert all(end - start < 0.6 * n for _, start, end, _ in found[4 * k + 3]), (name, found[4 * k + 3])
+
+
+def test_ends_are_kept_once():
+    """Whole licence texts: as many ends as words, where copies up the links would be many more."""
+    scanner = licenses.own_scanner(licenses.PHRASES, licenses.licence_templates(), 4, 8)
+    assert len(scanner.automaton.flat_ends) == sum(scanner.sizes)
+
+
+def test_templates_are_a_parameter(spark, tmp_path):
+    (tmp_path / "own.1.txt").write_text("Do as you like with this, but do not blame us for it.")
+    templates = licenses.licence_templates(tmp_path)
+    assert templates[0] == ("own", "do as you like with this but do not blame us for it")
+    text = "So: do as you like with this; but do NOT blame us for it!"
+    assert spans_of(spark, [(1, text), (2, None), (3, "")], templates=templates) == {1: [("own", 1, 14, 1.0)], 2: [], 3: []}
