@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,11 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import materialise
-from .text import LOWER_ALNUM, keyed, map_arrow, mapped, row_key, slices, texts, words
+from .language_model import squeezed, unsqueezed
+from .text import LOWER_ALNUM, gathered, keyed, map_arrow, mapped, row_key, slices, texts, words
 
 SEGMENT = (
-    "terms binary, counts binary, postings binary, first_position binary, n_words binary, doc_ids array<long>, "
-    "keys array<struct<a: long, b: long>>"
+    "vocabulary array<string>, counts binary, postings binary, first_position binary, n_words binary, gap int, "
+    "doc_ids array<long>, keys array<struct<a: long, b: long>>"
 )
 FOUND = (
     "doc_id long, key struct<a: long, b: long>, n_words long, spans array<struct<start: long, end: long>>, "
@@ -24,33 +24,56 @@ FOUND = (
 )
 
 
+def _numbers(array: pa.Array) -> np.ndarray:
+    return array.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 class TestSet:
-    """The phrases to look for: for each window length, a matrix of term numbers, and the items of each row."""
+    """The phrases to look for, as stretches of the items' term numbers, each once; for every phrase, the items that have it.
+
+    Terms are numbered in the order of the words, items in that of their ids; all of it is flat arrays, a few times the size of
+    the items' text.
+    """
 
-    def __init__(self, items: list[tuple[str | None, str | None]], window: int):
-        flat, begins = words(mapped(texts(pa.array([t for _, t in items], pa.large_string())), LOWER_ALNUM))
+    def __init__(self, items: pa.Array, texts_: pa.LargeStringArray, window: int):
+        flat, begins = words(mapped(texts_, LOWER_ALNUM))
         coded = pc.dictionary_encode(flat)
-        self.vocabulary: pa.LargeStringArray = coded.dictionary
-        terms = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
-        owners: dict[bytes, set[str]] = defaultdict(set)
-        self.item_terms: list[tuple[str, np.ndarray]] = []
-        for i, (item, _) in enumerate(items):
-            own = terms[begins[i] : begins[i + 1]]
-            if not len(own):
-                continue
-            if item is not None:
-                self.item_terms.append((item, np.unique(own)))
-            for j in range(max(1, len(own) - window + 1)):
-                owned = owners[own[j : j + window].tobytes()]
-                if item is not None:
-                    owned.add(item)
-        by_length: dict[int, list[bytes]] = defaultdict(list)
-        for phrase in owners:
-            by_length[len(phrase) // 4].append(phrase)
-        self.phrases = [
-            (n, np.frombuffer(b"".join(some), np.int32).reshape(-1, n), [sorted(owners[p]) for p in some])
-            for n, some in sorted(by_length.items())
-        ]
+        in_order = pc.sort_indices(coded.dictionary)
+        self.vocabulary: pa.LargeStringArray = coded.dictionary.take(in_order)
+        number = np.empty(len(in_order), np.int32)
+        number[_numbers(in_order)] = np.arange(len(in_order))
+        self.terms = number[_numbers(coded.indices)]
+        self.items = sorted({i for i in items.to_pylist() if i is not None})
+        self.owner = _numbers(pc.index_in(items, value_set=pa.array(self.items, items.type)).fill_null(-1))
+        self.begins = begins
+        size = np.diff(begins)
+        # a window begins at each word with enough words of its item behind it; a shorter item is one window
+        n_windows = np.where(size > 0, np.maximum(1, size - window + 1), 0)
+        which = np.repeat(np.arange(len(size)), n_windows)
+        start = begins[which] + np.arange(len(which)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
+        length = np.minimum(size, window)[which]
+        self.phrases: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        for n in np.unique(length).tolist():
+            own, some = start[length == n], self.owner[which[length == n]]
+            rows = np.ascontiguousarray(self.stretches(own, n)).view(np.dtype((np.void, 4 * n))).ravel()
+            _, first, phrase = np.unique(rows, return_index=True, return_inverse=True)
+            pairs = np.unique(np.stack([phrase, some], axis=1)[some >= 0], axis=0)
+            owners = np.searchsorted(pairs[:, 0], np.arange(len(first) + 1))
+            self.phrases.append((n, own[first].astype(np.int32), owners, pairs[:, 1]))
+
+    def stretches(self, starts: np.ndarray, n: int) -> np.ndarray:
+        return self.terms[starts[:, None] + np.arange(n)]
+
+    def choose_rarest(self, counts: np.ndarray, rarest: int) -> None:
+        """For every item with more than two different words, its rarest ones, from the rarest on, by how often all documents
+        have them and then by the word.  An item with a word that none has stands near nowhere."""
+        self.rarest: list[tuple[int, np.ndarray]] = []
+        for item, a, b in zip(self.owner.tolist(), self.begins[:-1].tolist(), self.begins[1:].tolist()):
+            own = np.unique(self.terms[a:b])
+            if item >= 0 and len(own) > 2:
+                own = own[np.argsort(counts[own], kind="stable")[:rarest]]
+                if counts[own[0]]:
+                    self.rarest.append((item, own))
 
 
 def _held(values: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
@@ -59,14 +82,14 @@ def _held(values: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
     return sorted_values[at] == values if len(sorted_values) else np.zeros(len(values), bool)
 
 
-def build_index(docs: DataFrame, vocabulary: pa.LargeStringArray, gap: int) -> DataFrame:
-    """One row, a segment, per some megabytes of documents: for every term of the vocabulary that occurs, the sorted positions
-    at which it does.
+def index_documents(docs: DataFrame, gap: int = 17) -> DataFrame:
+    """The positional inverted index of whole documents: one row, a segment, per some megabytes of them, with every term that
+    occurs there and the sorted positions at which it does.
 
     A position counts words through all documents of the segment, with ``gap`` unused positions after each document, so no
-    phrase and no neighbourhood reaches from one document into the next.  Lists are kept as differences.
+    phrase and no neighbourhood of less than ``gap`` words reaches from one document into the next.  Lists are kept as
+    differences and compressed.  The index knows nothing of any benchmark: written once, it serves them all.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,22 +101,24 @@ def build_index(docs: DataFrame, vocabulary: pa.LargeStringArray, gap: int) -> D
     def segment(column: pa.LargeStringArray, *names: pa.Array) -> pa.RecordBatch:
         flat, begins = words(mapped(column, LOWER_ALNUM))
         n_words = np.diff(begins)
+        coded = pc.dictionary_encode(flat)
+        vocabulary = coded.dictionary.cast(pa.string())
+        term = coded.indices.to_numpy(zero_copy_only=False)
         first = begins[:-1] + gap * np.arange(len(n_words))
-        term = pc.index_in(flat, value_set=shared.value)
-        known = np.flatnonzero(term.is_valid().to_numpy(zero_copy_only=False))
-        term = term.drop_null().to_numpy(zero_copy_only=False)
-        position = known + gap * (np.searchsorted(begins, known, side="right") - 1)
         order = np.argsort(term, kind="stable")
-        term, position = term[order], position[order]
-        terms, at, counts = np.unique(term, return_index=True, return_counts=True)
+        counts = np.bincount(term, minlength=len(vocabulary))
+        position = (np.arange(len(term)) + np.repeat(gap * np.arange(len(n_words)), n_words))[order]
         steps = np.diff(position, prepend=0)
+        at = np.cumsum(counts) - counts
         steps[at] = position[at]
-        columns = [
-            *(pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (terms, counts, steps, first, n_words)),
-            *(pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), c) for c in names),
-        ]
         return pa.RecordBatch.from_arrays(
-            columns, names=["terms", "counts", "postings", "first_position", "n_words", "doc_ids", "keys"]
+            [
+                pa.ListArray.from_arrays(pa.array([0, len(vocabulary)], pa.int32()), vocabulary),
+                *(pa.array([squeezed(x)], pa.binary()) for x in (counts, steps, first, n_words)),
+                pa.array([gap], pa.int32()),
+                *(pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), c) for c in names),
+            ],
+            names=["vocabulary", "counts", "postings", "first_position", "n_words", "gap", "doc_ids", "keys"],
         )
 
     given = docs.select(
@@ -104,18 +129,47 @@ def build_index(docs: DataFrame, vocabulary: pa.LargeStringArray, gap: int) -> D
     return map_arrow(given, build, SEGMENT)
 
 
+def _known(batch: pa.RecordBatch, i: int, vocabulary: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a segment, the places in its list of terms that hold a term of ``vocabulary``, these terms' numbers, and how often it
+    has each of its terms."""
+    own = batch.column("vocabulary")[i].values.cast(pa.large_string())
+    number = _numbers(pc.index_in(own, value_set=vocabulary).fill_null(-1))
+    places = np.flatnonzero(number >= 0)
+    return places, number[places], unsqueezed(batch.column("counts")[i].as_py())
+
+
+def term_counts(index: DataFrame, vocabulary: pa.LargeStringArray) -> np.ndarray:
+    """How often all indexed documents have each term of ``vocabulary``."""
+    shared = index.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                places, numbers, counts = _known(batch, i, shared.value)
+                yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(counts[places])], names=["term", "n"])
+
+    rows = map_arrow(index.select("vocabulary", "counts"), run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    found, out = rows.toArrow(), np.zeros(len(vocabulary), np.int64)
+    out[_numbers(found.column("term").combine_chunks())] = _numbers(found.column("n").combine_chunks())
+    return out
+
+
 class Segment:
-    def __init__(self, row: dict, n_terms: int):
-        terms, counts, steps, self.first, self.n_words = (
-            np.frombuffer(row[c], np.int32) for c in ("terms", "counts", "postings", "first_position", "n_words")
-        )
-        self.count = np.zeros(n_terms, np.int64)
-        self.count[terms] = counts
-        self.begin = np.zeros(n_terms, np.int64)
-        self.begin[terms] = np.cumsum(counts) - counts
+    """The postings of some terms in one segment; other terms are not unpacked."""
+
+    def __init__(self, batch: pa.RecordBatch, i: int, vocabulary: pa.LargeStringArray):
+        places, numbers, counts = _known(batch, i, vocabulary)
+        steps, self.first, self.n_words = (unsqueezed(batch.column(c)[i].as_py()) for c in ("postings", "first_position", "n_words"))
+        self.gap = batch.column("gap")[i].as_py()
+        steps = gathered(steps, np.cumsum(counts) - counts, counts, places)
+        counts = counts[places]
+        begins = np.cumsum(counts) - counts
+        self.count = np.zeros(len(vocabulary), np.int64)
+        self.count[numbers] = counts
+        self.begin = np.zeros(len(vocabulary), np.int64)
+        self.begin[numbers] = begins
         # running sums within each list
-        total = np.cumsum(steps, dtype=np.int64)
-        begins = self.begin[terms]
+        total = np.cumsum(steps)
         self.position = total - np.repeat(total[begins] - steps[begins], counts) if len(steps) else total
 
     def postings(self, term: int) -> np.ndarray:
@@ -132,11 +186,10 @@ class Segment:
         return found
 
     def together(self, terms: np.ndarray, within: int) -> np.ndarray:
-        """Positions of the rarest of the terms that have all others at most ``within`` words away."""
-        order = np.argsort(self.count[terms], kind="stable")
-        found = self.postings(terms[order[0]])
-        for j in order[1:]:
-            other = self.postings(terms[j])
+        """Positions of the first term that have all others at most ``within`` words away."""
+        found = self.postings(terms[0])
+        for term in terms[1:]:
+            other = self.postings(term)
             if not len(found) or not len(other):
                 return found[:0]
             at = np.minimum(np.searchsorted(other, found - within), len(other) - 1)
@@ -147,27 +200,27 @@ class Segment:
         return np.searchsorted(self.first, position, side="right") - 1
 
 
-def _search(segment: Segment, tests: TestSet, near: int, rarest: int) -> tuple[list[list[dict]], list[set], list[set]]:
+def _search(segment: Segment, tests: TestSet, near: int) -> tuple[list[list[dict]], list[set], list[set]]:
     n_docs = len(segment.n_words)
     items: list[set] = [set() for _ in range(n_docs)]
     close: list[set] = [set() for _ in range(n_docs)]
     end = int(segment.first[-1] + segment.n_words[-1]) if n_docs else 0
     change = np.zeros(end + 1, np.int32)
-    for length, matrix, owners in tests.phrases:
-        for p in np.flatnonzero(segment.count[matrix].min(axis=1) > 0).tolist():
-            starts = segment.starts(matrix[p])
-            if len(starts):
-                change[starts] += 1
-                change[starts + length] -= 1
-                for d in np.unique(segment.document(starts)).tolist():
-                    items[d].update(owners[p])
-    for item, terms in tests.item_terms:
-        # an item of one or two words has no neighbourhood beyond its phrase
-        if len(terms) > 2:
-            rare = terms[np.argsort(segment.count[terms], kind="stable")[:rarest]]
-            if segment.count[rare[0]]:
-                for d in np.unique(segment.document(segment.together(rare, near))).tolist():
-                    close[d].add(item)
+    for length, begins, owners, owner in tests.phrases:
+        for some in range(0, len(begins), 1 << 16):
+            matrix = tests.stretches(begins[some : some + (1 << 16)], length)
+            for p in np.flatnonzero(segment.count[matrix].min(axis=1) > 0).tolist():
+                starts = segment.starts(matrix[p])
+                if len(starts):
+                    change[starts] += 1
+                    change[starts + length] -= 1
+                    having = owner[owners[some + p] : owners[some + p + 1]].tolist()
+                    for d in np.unique(segment.document(starts)).tolist():
+                        items[d].update(having)
+    for item, terms in tests.rarest:
+        if segment.count[terms].min() > 0:
+            for d in np.unique(segment.document(segment.together(terms, near))).tolist():
+                close[d].add(item)
     hit = np.cumsum(change) > 0
     edges = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))).reshape(-1, 2)
     spans: list[list[dict]] = [[] for _ in range(n_docs)]
@@ -177,23 +230,26 @@ def _search(segment: Segment, tests: TestSet, near: int, rarest: int) -> tuple[l
     return spans, items, close
 
 
-def search_index(index: DataFrame, tests: TestSet, near: int, rarest: int) -> DataFrame:
+def _found(index: DataFrame, tests: TestSet, near: int) -> DataFrame:
     """One row per indexed document; a task holds one segment at a time."""
     shared = index.sparkSession.sparkContext.broadcast(tests)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tests = shared.value
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in ("terms", "counts", "postings", "first_position", "n_words")}
-                segment = Segment(row, len(shared.value.vocabulary))
-                spans, items, close = _search(segment, shared.value, near, rarest)
+                segment = Segment(batch, i, tests.vocabulary)
+                if near >= segment.gap:
+                    raise ValueError(f"an index with gaps of {segment.gap} words cannot tell what is {near} words near")
+                spans, items, close = _search(segment, tests, near)
+                named = ([[tests.items[k] for k in sorted(x)] for x in some] for some in (items, close))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_ids")[i].values,
                         batch.column("keys")[i].values,
-                        pa.array(segment.n_words.astype(np.int64)),
+                        pa.array(segment.n_words),
                         pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                        *(pa.array([sorted(x) for x in some], pa.list_(pa.string())) for some in (items, close)),
+                        *(pa.array(x, pa.list_(pa.string())) for x in named),
                     ],
                     names=["doc_id", "key", "n_words", "spans", "items", "near_items"],
                 )
@@ -201,41 +257,51 @@ def search_index(index: DataFrame, tests: TestSet, near: int, rarest: int) -> Da
     return map_arrow(index, search, FOUND)
 
 
+def search_index(
+    index: DataFrame, benchmark: DataFrame, window: int = 13, near: int = 16, rarest: int = 4, block_bytes: int = 4 << 20
+) -> DataFrame:
+    """``find_contamination`` in documents that ``index_documents`` has indexed, with a gap of more than ``near``.
+
+    Test items are taken in blocks of about ``block_bytes`` of text (or one longer item), spread by hash; only one block's
+    phrases are ever on the driver and broadcast.  Each block is one pass over the index, which unpacks the postings of the
+    block's own terms, after one over its lists of terms for how rare these are in all documents.
+    """
+    given = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
+    given = given.where(F.length("text") > 0).distinct()
+    total = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-total // block_bytes))
+    found = []
+    for block in range(blocks):
+        part = given.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).toArrow()
+        tests = TestSet(part.column("item").combine_chunks(), texts(part.column("text")), window)
+        tests.choose_rarest(term_counts(index, tests.vocabulary), rarest)
+        found.append(_found(index, tests, near))
+    return found[0] if len(found) == 1 else _merged(found)
+
+
 def find_contamination(
     docs: DataFrame,
     benchmark: DataFrame,
     window: int = 13,
     near: int = 16,
     rarest: int = 4,
-    block_bytes: int = 16 << 20,
+    block_bytes: int = 4 << 20,
 ) -> DataFrame:
     """Exact and close occurrences of ``benchmark`` items (``item_id``, ``text``) in whole documents, one row per document.
 
     Texts are lower-cased (A-Z) and cut into words of letters, digits and characters beyond ASCII.  ``spans`` are the
     stretches of words covered by windows of ``window`` consecutive item words (a shorter item is one window), disjoint and
-    in order; ``items`` the items with such a window, ``near_items`` those whose ``rarest`` rarest terms of the documents at
-    hand stand at most ``near`` words from the rarest.  ``key`` identifies the row's content.
+    in order; ``items`` the items with such a window, ``near_items`` those with more than two different words whose ``rarest``
+    rarest ones, counted over all documents, stand at most ``near`` words from the rarest of them.  ``key`` identifies the
+    row's content.
 
-    The index holds the postings of all documents for the terms of the test items, segment by segment, in a table in shared
-    storage; it is built in one pass, without a shuffle, and searched without one.  Test items are taken in blocks of about
-    ``block_bytes`` of text, spread by hash; only one block's phrases are ever broadcast, and each block has its own pass.
+    The index of all documents is written to shared storage in one pass, without a shuffle, and searched without one.  To
+    search it for several benchmarks, use ``index_documents`` and ``search_index``.
 
     Rows of one ``item_id`` are one item; an item without id marks words but is not listed.  Null and empty texts have no
     words and an empty benchmark marks nothing.
     """
-    given = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
-    given = given.where(F.length("text") > 0).distinct()
-    total = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    found = []
-    for block in range(blocks):
-        part = given.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
-        tests = TestSet([tuple(r) for r in part.collect()], window)
-        index = materialise(build_index(docs, tests.vocabulary, near + 1))
-        found.append(search_index(index, tests, near, rarest))
-    if len(found) == 1:
-        return found[0]
-    return _merged(found)
+    return search_index(materialise(index_documents(docs, near + 1)), benchmark, window, near, rarest, block_bytes)
 
 
 def _merged(found: list[DataFrame]) -> DataFrame:

@@ -1,6 +1,6 @@
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from samples import LONG, ODD, documents, prose, rows_of
@@ -71,6 +71,54 @@ def test_close_terms(spark):
     assert rows_of(found.select("doc_id", "items", "near_items")) == [(1, [], ["q"]), (2, [], []), (3, [], [])]
 
 
+def near_items_of(rows, items, near, rarest):
+    """Plain definition: counts over all documents, then the distance of every place of the rarest word to the others."""
+    texts_ = [words_of(t) for _, t in rows]
+    counts = Counter(w for t in texts_ for w in t)
+    found = []
+    for (i, _), w in zip(rows, texts_):
+        close = set()
+        for item, t in items:
+            own = sorted(set(words_of(t)), key=lambda x: (counts[x], x.encode()))
+            if item is None or len(own) < 3 or not counts[own[0]]:
+                continue
+            places = [[k for k, x in enumerate(w) if x == term] for term in own[:rarest]]
+            if any(all(any(abs(k - j) <= near for j in other) for other in places[1:]) for k in places[0]):
+                close.add(str(item))
+        found.append((i, sorted(close)))
+    return found
+
+
+def test_one_index_serves_several_benchmarks(spark, tmp_path):
+    """Written once, searched for two benchmarks; what is near does not depend on how documents fall into segments."""
+    rng = random.Random(8)
+    source = prose(20, 9, 40, 120)
+    rows = [*ODD[:-1]]
+    for i in range(60):
+        a, b = rng.choice(source).split(), rng.choice(source).split()
+        k = rng.randrange(len(a))
+        rows.append((100 + i, " ".join(a[:k] + rng.sample(b, min(len(b), 12)) + a[k:])))
+    for parts in (1, 7):
+        folder = str(tmp_path / f"index{parts}")
+        contamination.index_documents(documents(spark, rows).repartition(parts), gap=9).write.parquet(folder)
+        index = spark.read.parquet(folder)
+        assert index.count() == parts
+        for items in (list(enumerate(source[:8])), [(f"q{i}", t) for i, t in enumerate(source[5:])] + [("q1", "zwei wörter"), (None, source[1])]):
+            benchmark = spark.createDataFrame([(str(i) if i is not None else None, t) for i, t in items], "item_id string, text string")
+            for block_bytes in (1 << 22, 900):
+                found = contamination.search_index(index, benchmark, 5, near=8, rarest=3, block_bytes=block_bytes)
+                wanted = [(i, n, h, list(f)) for i, t in rows for n, h, f in [contamination_of(t, items, 5)]]
+                assert rows_of(found.select("doc_id", "n_words", contamination.words_hit(), "items")) == sorted(wanted, key=repr)
+                assert rows_of(found.select("doc_id", "near_items")) == sorted(near_items_of(rows, items, 8, 3), key=repr)
+
+
+def test_an_index_with_small_gaps_is_refused(spark):
+    index = contamination.index_documents(documents(spark, [(1, "a b c")]), gap=3)
+    benchmark = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    with pytest.raises(Exception, match="gaps of 3 words"):
+        contamination.search_index(index, benchmark, near=3).collect()
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert rows_of(contamination.find_contamination(documents(spark, [(1, "a b")]), none).select("n_words", "spans")) == [(2, [])]
