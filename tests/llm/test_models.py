@@ -125,6 +125,66 @@ def test_passages_do_not_depend_on_neighbours():
     assert attention.passage_features(texts(pa.array([], pa.string())), 64)[0].shape == (0, attention.FEATURES)
 
 
+def plain_passages(text, passage_words):
+    """Features of a text's passages, word by word and byte by byte."""
+    data, blank = (text or "").encode(), b" \t\n\x0b\x0c\r"
+    kinds = [int(attention._CLASS[b]) for b in data]
+    begins = [i for i, b in enumerate(data) if b not in blank and (i == 0 or data[i - 1] in blank)]
+    if not begins:
+        return [[0.0] * attention.FEATURES]
+    ends = begins[1:] + [len(data)]
+    found, every = [], [data[a:b].rstrip(blank) for a, b in zip(begins, ends)]
+    for k in range(0, len(begins), passage_words):
+        some = range(k, min(k + passage_words, len(begins)))
+        first, last = begins[some[0]], ends[some[-1]]
+        x = [0.0] * attention.FEATURES
+        for i in range(first, last):
+            if i + 2 < len(data):
+                x[kinds[i] * 64 + kinds[i + 1] * 8 + kinds[i + 2]] += 1 / (last - first)
+        n, extra = len(some), attention.FEATURES - 8
+        for lag in range(1, 5):
+            x[extra + lag - 1] = sum(w >= lag and every[w] == every[w - lag] for w in some) / n
+        x[extra + 4] = math.log1p(sum(len(every[w]) for w in some) / n) / 2
+        x[extra + 5] = sum(len(every[w]) > 14 for w in some) / n
+        x[extra + 6] = math.log1p(n) / 4
+        x[extra + 7] = math.log1p(data[first:last].count(b"\n") / n)
+        found.append(x)
+    return found
+
+
+def plain_score(model, passages):
+    """The gated attention model in loops over passages, units and features."""
+    p, o = model.p, model.options
+    states, energies = [], []
+    for x in passages:
+        x = [(v - m) / s for v, m, s in zip(x, model.mean.tolist(), model.spread.tolist())]
+        h = [math.tanh(sum(v * e for v, e in zip(x, p["E"][:, j].tolist()))) for j in range(o.hidden)]
+        energy = 0.0
+        for j in range(o.attention):
+            t, g = (sum(h[i] * float(p[k][i, j]) for i in range(o.hidden)) for k in ("V", "U"))
+            energy += float(p["w"][j]) * math.tanh(t) / (1 + math.exp(-g))
+        states.append(h)
+        energies.append(math.exp(energy))
+    z = [sum(e * h[j] for e, h in zip(energies, states)) / sum(energies) for j in range(o.hidden)]
+    return 1 / (1 + math.exp(-sum(v * float(c) for v, c in zip(z, p["c"])) - float(p["b"][0])))
+
+
+def test_scores_of_attention_against_plain_loops(spark):
+    rows = [(i, t) for i, t in ODD if t != LONG] + [(100 + i, t) for i, t in enumerate(prose(12))]
+    rows += [(200, " führend  und\n\nso so so"), (201, "a" * 40 + " b" * 70), (202, "漢字 " * 50), (203, LONG[:3000] + "  ")]
+    rng = np.random.default_rng(4)
+    model = attention.AttentionModel(attention.Options(hidden=6, attention=4, passage_words=16))
+    model.mean, model.spread = (rng.uniform(a, b, attention.FEATURES).astype(np.float32) for a, b in ((0, 0.1), (0.1, 1)))
+    model.p["b"][:] = 0.2
+    for _, t in rows:
+        x, _ = attention.passage_features(texts(pa.array([t], pa.string())), 16)
+        assert np.abs(x - np.array(plain_passages(t, 16))).max() < 1e-5, t
+    found = attention.score_quality(documents(spark, rows), model, 16).collect()
+    wanted = sorted(((i, plain_score(model, plain_passages(t, 16))) for i, t in rows), key=lambda r: (repr(r[0]), r[1]))
+    for (i, score), (j, plain) in zip(sorted(map(tuple, found), key=lambda r: (repr(r[0]), r[1])), wanted, strict=True):
+        assert i == j and score == pytest.approx(plain, abs=1e-4)
+
+
 def test_quality_on_held_out_documents(spark):
     folder = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
