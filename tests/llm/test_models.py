@@ -380,3 +380,53 @@ def test_thresholds_keep_the_recall_wanted():
     caught = network.probability(network.logits([windows[k] for k in held])) >= network.thresholds["mixed"]
     assert caught.mean() >= 0.9 and network.thresholds["mixed"] < 0.5
     assert 0 < network.precision["mixed"] < 1
+
+
+def long_words(n, seed):
+    rng = random.Random(seed)
+    syllables = ["ba", "ren", "to", "lich", "ver", "stan", "mi", "gor", "ung", "sel", "tra", "ke", "po", "nal"]
+    known = ["".join(rng.choices(syllables, k=rng.randint(1, 5))) for _ in range(4000)]
+    return [" ".join(rng.choices(known, k=120)) for _ in range(n)]
+
+
+def test_planted_findings_are_what_the_patterns_miss(spark):
+    docs = documents(spark, list(enumerate(long_words(60, 1))) + [(99, "key 0123456789abcdef0")])
+    docs = docs.withColumn("text", F.concat("text", F.lit(" at 10:30")))
+    found = secrets.findings(docs, secrets.Options(one_text_in=1)).collect()
+    planted = [r for r in found if r.label >= 2]
+    assert {r.label for r in found} == {0, 1, 2, 3} and len(planted) > 60
+    for r in planted:
+        value = r.text[r.begin : r.end]
+        assert not plain_spans(value) and secrets.candidates(r.text, []).count((r.begin, r.end)) == 1
+    again = secrets.findings(docs.repartition(5), secrets.Options(one_text_in=1)).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, found))
+    without = secrets.findings(docs, secrets.Options(planted=(), lookalikes=())).collect()
+    assert sorted(map(tuple, without)) == sorted(tuple(r) for r in found if r.label < 2)
+
+
+# a kind is harder to find unseen when no other one looks like it
+@pytest.mark.parametrize("unseen, least", [(("uuid", "upper hex", "alphanumeric"), 0.9), (("prefixed", "grouped"), 0.5)])
+def test_secrets_of_kinds_never_seen_are_found(spark, unseen, least):
+    strange = ("dated", "snake case")
+    options = secrets.Options(
+        planted=tuple(k for k in secrets.PLANTED if k not in unseen),
+        lookalikes=tuple(k for k in secrets.LOOKALIKES if k not in strange),
+        one_text_in=1,
+    )
+    network = secrets.train(documents(spark, list(enumerate(long_words(2000, 2)))), options)
+    rng = random.Random(3)
+    asked, caught = Counter(), Counter()
+    for text in long_words(300, 4):
+        words = text.split()
+        for kind in [*secrets.PLANTED, *secrets.LOOKALIKES]:
+            made = secrets.PLANTED[kind](rng) if kind in secrets.PLANTED else secrets.LOOKALIKES[kind](rng, words)
+            if secrets.base_spans(made) or secrets.candidates(made, []) != [(0, len(made))]:
+                continue
+            k = rng.randrange(len(words))
+            spans = secrets.judged(" ".join([*words[:k], made, *words[k:]]), network, options)
+            asked[kind] += 1
+            caught[kind] += any(s[1] == secrets.KINDS.index("model") for s in spans)
+    share = {kind: caught[kind] / n for kind, n in asked.items()}
+    assert min(share[k] for k in secrets.PLANTED if k not in unseen) >= 0.9, share
+    assert min(share[k] for k in unseen) >= least, share
+    assert max(share[k] for k in secrets.LOOKALIKES) <= 0.1, share
