@@ -382,6 +382,64 @@ def test_thresholds_keep_the_recall_wanted():
     assert 0 < network.precision["mixed"] < 1
 
 
+def numbered_secrets(n):
+    rng = random.Random(n)
+    keys = ["".join(rng.choices("0123456789abcdef", k=32)) for _ in range(n)]
+    return [(i, f"key {k} and ref x{i:04}y{i}zz9") for i, k in enumerate(keys)]
+
+
+def test_every_finding_trains_the_network_or_sets_its_thresholds(spark):
+    options = secrets.Options(block=700, averaged=2, epochs=2, planted=(), lookalikes=())
+    docs = documents(spark, numbered_secrets(3600))
+    found = secrets.findings(docs, options).withColumn("order", F.xxhash64("text", "begin", "end"))
+    held = F.pmod(F.xxhash64("order", F.lit(options.seed)), F.lit(3)) == 0
+    rows = found.withColumn("held", held).collect()
+    assert Counter(r.label for r in rows) == {0: 3600, 1: 3600}
+    blocks = secrets.packed(found.where(~held), options)
+    kept = sorted(blocks.collect(), key=lambda r: r.block)
+    used = Counter()
+    for r in kept:
+        text, at = r.codes, 0
+        for size, begin, end, secret in zip(r.sizes, r.begins, r.ends, r.secret):
+            used[bytes(text[at : at + size]), begin, end, secret] += 1
+            at += size
+        assert at == len(text)
+    assert len(kept) > 3 and used == Counter(
+        (secrets._codes(r.text).astype(np.uint8).tobytes(), r.begin, r.end, r.label == 1) for r in rows if not r.held
+    )
+
+    # blocks one after the other, without Spark
+    plain = secrets.CharNetwork(options)
+    for epoch in range(options.epochs):
+        states, sizes, start = [], [], plain.state
+        for r in kept:
+            plain.state = start
+            windows = secrets.Windows(
+                np.frombuffer(r.codes, np.uint8).astype(np.int64), *(np.array(c, np.int64) for c in (r.sizes, r.begins, r.ends))
+            )
+            plain.learn(windows, np.array(r.secret), np.random.default_rng([options.seed, epoch, r.block]))
+            states.append(plain.state)
+            sizes.append(len(r.secret))
+        plain.state = np.average(states, axis=0, weights=sizes)
+    network = secrets.train(docs, options)
+    assert network.state == pytest.approx(plain.state, rel=1e-3, abs=1e-5)
+
+    # the threshold is the one that all known secrets held back ask for
+    known = sorted(network.logits([(r.text, r.begin, r.end) for r in rows if r.held and r.label == 1]))
+    least = known[int((len(known) - 1) * (1 - options.recall))]
+    assert len(known) > 1000
+    cell = math.floor(least * secrets.CELLS) / secrets.CELLS
+    assert network.thresholds["hex"] == pytest.approx(network.probability(cell), abs=1e-12)
+
+
+def test_whole_tables_show_the_network_every_text(spark):
+    docs = documents(spark, list(enumerate(long_words(120, 6))))
+    label = secrets.findings(docs, secrets.EVERY_TEXT).groupBy("label").count().collect()
+    planted = {r.label: r["count"] for r in label}
+    # now and then what is drawn is no candidate
+    assert planted[2] >= 100 and planted[3] >= 80
+
+
 def long_words(n, seed):
     rng = random.Random(seed)
     syllables = ["ba", "ren", "to", "lich", "ver", "stan", "mi", "gor", "ung", "sel", "tra", "ke", "po", "nal"]
