@@ -2,6 +2,7 @@ import math
 import random
 import re
 from collections import Counter
+from dataclasses import replace
 from zlib import crc32
 
 import numpy as np
@@ -224,6 +225,35 @@ def test_labels_that_teach_nothing(spark):
     assert attention.score_quality(documents(spark, []), 1.0).count() == 0
 
 
+# the second table is too long for rows of sixteen bits, and its two softmaxes differ in width
+@pytest.mark.parametrize("change", [{}, {"word_rows": 1 << 17, "members": 16, "endings": 28}])
+def test_training_steps_against_plain_loops(change):
+    options = replace(SMALL, batch=50, **change)
+    rng = np.random.default_rng(2)
+    members, lengths = rng.integers(0, options.total, 120), np.array([40, 1, 79])
+    model = language_model.MaxEnt(options, rng.permutation(options.total), rng.integers(0, 50, options.total))
+    table, squares = model.table.astype(float), np.zeros(model.table.shape)
+    first, second = model.rows(members, *(language_model.before(members, lengths, k) for k in (1, 2, 3)))
+    order = np.random.default_rng(3).permutation(len(members))
+    for i in range(0, len(order), options.batch):
+        steps = []
+        for rows, width, wanted in ((first, options.classes, model.klass), (second, options.members, model.inner)):
+            for k in range(rows.shape[1]):
+                gradient = {}
+                for t in order[i : i + options.batch].tolist():
+                    p = np.exp(table[rows[t], :width].sum(axis=0))
+                    p /= p.sum()
+                    p[wanted[members[t]]] -= 1
+                    gradient[rows[t, k]] = gradient.get(rows[t, k], 0) + p
+                steps.append((width, gradient))
+        for width, gradient in steps:
+            for row, g in gradient.items():
+                squares[row, :width] += g * g
+                table[row, :width] -= options.rate * g / np.sqrt(squares[row, :width] + 1)
+    model.train(members, lengths, np.zeros_like(model.table), np.random.default_rng(3))
+    assert np.abs(model.table - table).max() < 1e-4
+
+
 # secrets ---------------------------------------------------------------------------------------------------------
 
 
