@@ -18,6 +18,8 @@ SEGMENT = (
     "vocabulary array<string>, counts binary, postings binary, first_position binary, n_words binary, gap int, "
     "doc_ids array<long>, keys array<struct<a: long, b: long>>"
 )
+# Text of a segment: building and searching one takes a worker some ten times that; each repeats its terms and is searched once.
+SEGMENT_BYTES = 4 << 20
 FOUND = (
     "doc_id long, key struct<a: long, b: long>, n_words long, spans array<struct<start: long, end: long>>, "
     "items array<string>, near_items array<string>"
@@ -82,6 +84,21 @@ def _held(values: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
     return sorted_values[at] == values if len(sorted_values) else np.zeros(len(values), bool)
 
 
+def _numbered(column: pa.LargeStringArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of all texts by first occurrence, every word as a place in that list, and how many words each text has.
+
+    Words take many times the space of their texts, so only some texts are held as words at a time.
+    """
+    coded, n_words = [], []
+    for part in slices(column, 2 << 20):
+        flat, begins = words(mapped(part, LOWER_ALNUM))
+        coded.append(pc.dictionary_encode(flat))
+        n_words.append(np.diff(begins))
+    chunks = pa.chunked_array(coded).unify_dictionaries().chunks
+    term = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in chunks])
+    return chunks[0].dictionary.cast(pa.string()), term, np.concatenate(n_words)
+
+
 def index_documents(docs: DataFrame, gap: int = 17) -> DataFrame:
     """The positional inverted index of whole documents: one row, a segment, per some megabytes of them, with every term that
     occurs there and the sorted positions at which it does.
@@ -94,22 +111,21 @@ def index_documents(docs: DataFrame, gap: int = 17) -> DataFrame:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
-            for part in slices(texts(batch.column("text")), 16 << 20):
+            for part in slices(texts(batch.column("text")), SEGMENT_BYTES):
                 yield segment(part, *(batch.column(c).slice(done, len(part)) for c in ("doc_id", "key")))
                 done += len(part)
 
     def segment(column: pa.LargeStringArray, *names: pa.Array) -> pa.RecordBatch:
-        flat, begins = words(mapped(column, LOWER_ALNUM))
-        n_words = np.diff(begins)
-        coded = pc.dictionary_encode(flat)
-        vocabulary = coded.dictionary.cast(pa.string())
-        term = coded.indices.to_numpy(zero_copy_only=False)
-        first = begins[:-1] + gap * np.arange(len(n_words))
-        order = np.argsort(term, kind="stable")
+        vocabulary, term, n_words = _numbered(column)
         counts = np.bincount(term, minlength=len(vocabulary))
-        position = (np.arange(len(term)) + np.repeat(gap * np.arange(len(n_words)), n_words))[order]
-        steps = np.diff(position, prepend=0)
+        before = gap * np.arange(len(n_words))
+        first = np.cumsum(n_words) - n_words + before
+        # four bytes a position, as the lists are kept
+        position = np.arange(len(term), dtype=np.uint32)
+        position += np.repeat(before.astype(np.uint32), n_words)
+        position = position[np.argsort(term, kind="stable")]
         at = np.cumsum(counts) - counts
+        steps = np.diff(position, prepend=np.uint32(0))
         steps[at] = position[at]
         return pa.RecordBatch.from_arrays(
             [

@@ -1,11 +1,15 @@
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from samples import LONG, ODD, documents, prose, rows_of
 
 from breathline.llm import contamination, licenses
+from breathline.llm.language_model import unsqueezed
 from breathline.llm.licenses import SuffixAutomaton
 
 A_TO_Z = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -112,6 +116,39 @@ def test_one_index_serves_several_benchmarks(spark, tmp_path):
                 assert rows_of(found.select("doc_id", "near_items")) == sorted(near_items_of(rows, items, 8, 3), key=repr)
 
 
+def test_a_large_batch_is_indexed_in_bounded_memory(spark, monkeypatch):
+    """Segments of some megabytes whatever a batch holds, no word lost where stretches and segments meet."""
+    monkeypatch.setattr(contamination, "map_arrow", lambda given, function, schema: function)
+    build = contamination.index_documents(documents(spark, []), gap=5)
+    rng = random.Random(4)
+    known = [f"w{i:x}" for i in range(20_000)]
+    rows = [" ".join(rng.choices(known, k=rng.choice([0, 1, 400, 2000]))) for _ in range(4_000)]
+    ids = pa.array(range(len(rows)), pa.int64())
+    key = pa.StructArray.from_arrays([ids, ids], names=["a", "b"])
+    batch = pa.RecordBatch.from_arrays([ids, key, pa.array([r or None for r in rows])], names=["doc_id", "key", "text"])
+    assert sum(map(len, rows)) > 12 << 20
+    tracemalloc.start()
+    try:
+        segments = list(build(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 64 << 20
+    done = 0
+    for segment in segments:
+        names = np.array(segment.column("vocabulary")[0].as_py())
+        counts, steps, first, n_words = (
+            unsqueezed(segment.column(c)[0].as_py()) for c in ("counts", "postings", "first_position", "n_words")
+        )
+        at = np.full(first[-1] + n_words[-1], "", names.dtype)
+        for term, of in zip(names, np.split(steps, np.cumsum(counts)[:-1])):
+            at[np.cumsum(of)] = term
+        for a, n in zip(first.tolist(), n_words.tolist()):
+            assert at[a : a + n].tolist() == rows[done].split() and (at[a + n : a + n + 5] == "").all()
+            done += 1
+    assert done == len(rows)
+
+
 def test_an_index_with_small_gaps_is_refused(spark):
     index = contamination.index_documents(documents(spark, [(1, "a b c")]), gap=3)
     benchmark = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
